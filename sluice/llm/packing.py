@@ -9,7 +9,7 @@ again, mixed across groups, and packed anew until one group is left. Everything
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -121,6 +121,10 @@ def _pack_group(pdf: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"].to_numpy(), "length": lengths, "group": pdf["group"].to_numpy(), "bin": bins, "offset": offsets, "given": given[bins], "gap": gap})
 
 
+def _packer(capacity: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: _pack_group(pdf, capacity, last)
+
+
 def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Sequence and offset of each piece (row, length): row, sequence_id, offset."""
     full = pieces.where(F.col("length") == capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -128,11 +132,8 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP
     while True:
         n = pool.count()
         groups = max(1, -(-n // group))
+        pack = _packer(capacity, groups == 1)
         dealt = pool.withColumn("group", F.pmod(F.xxhash64("row", F.lit(step)), F.lit(groups)))
-
-        def pack(pdf: pd.DataFrame, last: bool = groups == 1) -> pd.DataFrame:
-            return _pack_group(pdf, capacity, last)
-
         packed = materialize(dealt.groupBy("group").applyInPandas(pack, "row long, length long, group long, bin long, offset long, given boolean, gap long"))
         sequence = F.shiftleft(F.lit(step + 1).cast("long"), 56) + F.shiftleft(F.col("group"), 16) + F.col("bin")
         done.append(packed.where("not given").select("row", sequence.alias("sequence_id"), "offset"))
@@ -154,7 +155,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     """
     path = path or public_tokenizers.path(TOKENIZER)
     pieces = materialize(cut_pieces(docs, path, capacity, with_ids).withColumn("row", F.monotonically_increasing_id()))
-    return pieces.join(pack_lengths(pieces, capacity), "row").drop("row")
+    return pieces.join(pack_lengths(pieces, capacity).hint("shuffle_hash"), "row").drop("row")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
