@@ -93,7 +93,7 @@ def resolve_exempt_paths(repos: DataFrame, registry_list: list[str] | None) -> D
     """O18. The registry's globs, or the built-in ones if it names none, and the repo's own; trimmed, first occurrence kept."""
     base = F.array(*[F.lit(g) for g in (EXEMPT_GLOBS if registry_list is None else registry_list)]).cast("array<string>")
     own = F.coalesce("exempt_paths", F.array().cast("array<string>"))
-    clean = F.array_distinct(F.filter(F.transform(F.concat(base, own), F.trim), lambda g: g != ""))
+    clean = F.array_distinct(F.filter(F.transform(F.concat(base, own), lambda g: F.trim(g)), lambda g: g != ""))
     return repos.withColumn("exempt", clean)
 
 

@@ -79,13 +79,13 @@ COMMIT = "^commit ([0-9a-f]{40,64}) ?(.*)$"
 
 
 def parse_history(logs: DataFrame) -> DataFrame:
-    """O5. Added and removed lines of histories (repo, text), one marker line `commit <sha> <summary>` per commit."""
-    lines = logs.select("repo", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """O5. Added and removed lines of logs (log_id, repo, text), one marker line `commit <sha> <summary>` per commit."""
+    lines = logs.select("log_id", "repo", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     mark = F.col("line").rlike(COMMIT)
-    sha = _fill(F.when(mark, F.regexp_extract("line", COMMIT, 1)), "repo")
-    summary = _fill(F.when(mark, F.regexp_extract("line", COMMIT, 2)), "repo")
+    sha = _fill(F.when(mark, F.regexp_extract("line", COMMIT, 1)), "log_id")
+    summary = _fill(F.when(mark, F.regexp_extract("line", COMMIT, 2)), "log_id")
     kept = lines.withColumn("sha", sha).withColumn("summary", summary).where("sha is not null").where(F.col("line").rlike(r"^[+-]") & ~F.col("line").rlike(r"^(\+\+\+|---)( |$)"))
-    return kept.select("repo", "sha", "summary", F.substring("line", 1, 1).alias("sign"), F.substring("line", 2, 1 << 30).alias("content"))
+    return kept.select("log_id", "repo", "sha", "summary", F.substring("line", 1, 1).alias("sign"), F.substring("line", 2, 1 << 30).alias("content"))
 
 
 def parse_markers(files: DataFrame) -> DataFrame:
