@@ -141,11 +141,11 @@ def o09(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seen(spark: SparkSession, d: str) -> DataFrame:
-    """Entries as an older version wrote them: every third document's key, some without a date."""
-    return T.files(spark, d).where("doc_id % 3 = 0").selectExpr("'v1|q|' || repo || '|' || path || '|1' AS hit_key", "CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE cast(date_add(DATE'2024-01-01', cast(doc_id % 200 AS int)) AS string) END AS value")
+    """Entries as an older version wrote them: a key of every document, some without a date."""
+    return T.files(spark, d).selectExpr("'v1|q|' || repo || '|' || path || '|1' AS hit_key", "CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE cast(date_add(DATE'2024-01-01', cast(doc_id % 200 AS int)) AS string) END AS value")
 
 
-SEEN_SQL = f"{T.FILES_SQL}, seen AS (SELECT 'v1|q|' || repo || '|' || path || '|1' AS hit_key, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) END AS first_seen FROM files WHERE doc_id % 3 = 0)"
+SEEN_SQL = f"{T.FILES_SQL}, seen AS (SELECT 'v1|q|' || repo || '|' || path || '|1' AS hit_key, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) END AS first_seen FROM files)"
 
 
 @query("o10_seen_state", f"WITH {SEEN_SQL} SELECT hit_key, CAST(first_seen AS VARCHAR) AS first_seen FROM seen")
