@@ -33,7 +33,7 @@ def choose_regex(lines: DataFrame, globs: list[str]) -> DataFrame:
 
 def _match(lines: DataFrame, regex: Column | str) -> DataFrame:
     re_ = _fold(regex)
-    hit = lines.where(F.rlike("line", re_)).withColumn("match", F.regexp_extract("line", re_, F.lit(0)) if isinstance(regex, Column) else F.regexp_extract("line", f"(?iu){regex}", 0))
+    hit = lines.where(F.rlike("line", re_)).withColumn("match", F.call_function("regexp_extract", F.col("line"), re_, F.lit(0)) if isinstance(regex, Column) else F.regexp_extract("line", f"(?iu){regex}", 0))
     return hit.where("match <> ''").withColumn("column", F.regexp_instr("line", re_))
 
 
