@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,12 +185,3 @@ def resolve_engagement(queries: DataFrame, engagements: DataFrame) -> DataFrame:
     best = pairs.withColumn("best", F.min("rank").over(Window.partitionBy("query"))).where("rank is null or rank = best")
     found = best.groupBy("query").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("rank").alias("rank"))
     return found.select("query", F.when(F.size("ids") == 1, F.col("ids")[0]).alias("id"), F.when(F.size("ids") > 1, F.array_join("ids", ",")).alias("candidates"), "rank")
-
-
-def valid_regex(pattern: str) -> bool:
-    """Whether Python's matcher accepts a pattern."""
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
