@@ -2,8 +2,8 @@
 
 Pieces are dealt to groups of about GROUP pieces, each packed best-fit decreasing on its own. Dual
 feasible functions bound a group's bins from below; a group at its bound is certified. Groups with
-a gap give up their emptiest bins, certified ones only the emptiest; what was given up is dealt
-again, mixed across groups, and packed anew until one group is left. Everything else is final.
+a gap give up their emptiest bins, certified ones those with room to spare; what was given up is
+dealt again, mixed across groups, and packed anew until one group is left. Everything else is final.
 """
 
 from __future__ import annotations
@@ -117,7 +117,9 @@ def _pack_group(pdf: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     gap = len(fill) - lower_bound(lengths, capacity)
     given = np.zeros(len(fill), bool)
     if not last:
-        given[np.argsort(fill, kind="stable")[: max(8, 2 * gap + 1) if gap else 1]] = True
+        # the emptiest go: by the gap, and of bins with a fiftieth or more to spare up to a quarter of all
+        spare = min(int((fill < capacity - capacity // 50).sum()), len(fill) // 4)
+        given[np.argsort(fill, kind="stable")[: max(8, 2 * gap + 1, spare) if gap else max(1, spare)]] = True
     return pd.DataFrame({"row": pdf["row"].to_numpy(), "length": lengths, "group": pdf["group"].to_numpy(), "bin": bins, "offset": offsets, "given": given[bins], "gap": gap})
 
 
