@@ -31,9 +31,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_key(text: Column | str = "text") -> Column:
-    """64-bit hash of a text; null counts as empty."""
-    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+def release(df: DataFrame) -> None:
+    """Delete a table that materialize wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name.rpartition("/")[0])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch(df: DataFrame, name: str) -> str:

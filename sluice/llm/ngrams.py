@@ -9,6 +9,7 @@ buckets; what stays apart in a bucket is compared in blocks, so no bucket is exp
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialize, table
+from sluice.llm.common import materialize, release, table
 from sluice.llm.components import components
 
 WORDS = 3
@@ -27,8 +28,10 @@ PERCENT = 90  # two sets link when 100 * intersection >= PERCENT * union
 SKETCH_BITS = 24  # one saturating byte for each of 2**24 hash values: a fixed 16 MB, whatever the input
 SKETCH_BLOCKS = 64
 BLOCK = 256  # classes of a bucket compared in one task
-BROADCAST_IDS = 500_000  # more ids than this are joined by a shuffle
-WORK = 2 << 20  # bytes hashed at a time
+CLUSTER = 1024  # classes that large buckets chain together and that are compared in one task
+SMALL = 8  # buckets up to this size give all their pairs that fit
+BROADCAST_IDS = 1_000_000  # more ids than this are joined by a shuffle
+WORK = 1 << 20  # bytes hashed at a time
 _R = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -76,7 +79,7 @@ def _sets(data: list[bytes], words: int) -> list[np.ndarray]:
     gap = _SPACE[buf]
     edge = np.flatnonzero(np.diff(np.r_[True, gap]))
     start, end = edge[::2], edge[1::2]
-    p, q = _powers(1 << max(22, int(len(buf)).bit_length()))
+    p, q = _powers(1 << max(21, int(len(buf)).bit_length()))
     total = np.r_[np.uint64(0), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)])]
     word = _mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
     owner = np.searchsorted(stops, start, side="right")
@@ -109,16 +112,23 @@ def _set_key(h: np.ndarray) -> int:
     return int(_mix(np.array([(_mix(h ^ x)).sum(dtype=np.uint64)]))[0].astype(np.int64))
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches in small parts, so that a worker holds few sets at a time."""
+    for pdf in batches:
+        for low in range(0, len(pdf), rows):
+            yield pdf.iloc[low : low + rows]
+
+
 def _classify(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row per document, then the partition's sketch in blocks."""
         sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
-        for pdf in batches:
+        for pdf in _slices(batches):
             sets = shingle_sets(pdf["text"].tolist(), words)
             hot = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             at, n = np.unique(_bucket(hot), return_counts=True)
             sketch[at] = np.minimum(sketch[at].astype(np.int64) + n, 255)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "node": [_set_key(s) for s in sets], "block": -1, "sketch": None}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": [len(s) for s in sets], "node": [_set_key(s) for s in sets], "block": -1, "sketch": None}).astype({"doc_id": "Int64"})
         step = len(sketch) // SKETCH_BLOCKS
         blocks = [(i, sketch[i * step : (i + 1) * step]) for i in range(SKETCH_BLOCKS)]
         blocks = [(i, zlib.compress(b.tobytes(), 1)) for i, b in blocks if b.any()]
@@ -156,7 +166,7 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 def _prefixes(sketch: Broadcast, words: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sketch.value
-        for pdf in batches:
+        for pdf in _slices(batches):
             tokens, nodes, sizes, places = [], [], [], []
             for h in shingle_sets(pdf["text"].tolist(), words):
                 if len(h):
@@ -173,7 +183,7 @@ def _prefixes(sketch: Broadcast, words: int, percent: int) -> Callable[[Iterator
 
 def _whole_sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _slices(batches):
             sets = shingle_sets(pdf["text"].tolist(), words)
             yield pd.DataFrame({"node": [_set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
@@ -182,7 +192,12 @@ def _whole_sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Documents whose doc_id is (not) among some ids; broadcast only if these are counted to be few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    return docs.join(_few(ids), "doc_id", how)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast a table only if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def suffix_histogram(h: np.ndarray) -> np.ndarray:
@@ -255,17 +270,64 @@ def _compare_block(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def _blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Groups (g, node, component) that cover every pair of classes of one bucket and two components."""
-    marked = shared.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    apart = marked.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "m")
-    left = materialize(marked.join(apart, "token"))
-    few = left.where(F.col("m") <= BLOCK).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("members"))  # at most BLOCK each
+def _buckets(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Rows (bucket, m, node, n, pos) of prefix shingles that several classes share, in buckets of like sizes.
+
+    Sizes that fit differ by the threshold at most, so with size classes of that ratio they fall into
+    one class or two neighbours; a bucket holds a shingle's rows of a class and of the next one.
+    """
+    twice = prefixes.groupBy("token").count().where("count > 1").select("token")
+    twice = materialize(twice)
+    shared = prefixes.join(_few(twice), "token").distinct()
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
+    size = F.floor(F.log(F.col("n").cast("double")) / width)
+    dealt = shared.withColumn("size", F.explode(F.array(size, size - 1))).withColumn("bucket", F.xxhash64("token", "size")).select("bucket", "node", "n", "pos")
+    dealt = materialize(dealt)
+    m = dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    out = materialize(dealt.join(m, "bucket"))
+    release(dealt)
+    return out
+
+
+def _fits(x: Column, y: Column, percent: int) -> Column:
+    """Length filter and positional filter on two rows that share a shingle at known places."""
+    reach = F.least(x["pos"], y["pos"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"])  # the most that can be common
+    return (x["node"] != y["node"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * reach >= percent * (x["n"] + y["n"]))
+
+
+def _candidates(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): all that fit in small buckets, and those of two leaders with the rest in larger ones."""
+    me = F.struct("node", "n", "pos")
+    ends = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    small = buckets.where(F.col("m") <= SMALL).groupBy("bucket").agg(F.collect_list(me).alias("rows"))  # at most SMALL each
+    small = small.select(F.explode(F.flatten(F.transform("rows", lambda x: F.transform(F.filter("rows", lambda y: (x["node"] < y["node"]) & _fits(x, y, percent)), lambda y: ends(x, y))))).alias("p")).select("p.*")
+    large = buckets.where(F.col("m") > SMALL)
+    leaders = large.groupBy("bucket").agg(F.min_by(me, F.xxhash64("node")).alias("one"), F.max_by(me, F.xxhash64("node")).alias("two"))
+    led = large.withColumn("me", me).join(leaders, "bucket")
+    star = [led.where(_fits(F.col("me"), F.col(c), percent)).select(ends(F.col("me"), F.col(c)).alias("p")).select("p.*") for c in ("one", "two")]
+    return small.unionByName(star[0]).unionByName(star[1]).distinct()
+
+
+def _blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups (g, node, component) that cover every pair of classes of one large bucket and two components."""
+    large = buckets.where(F.col("m") > SMALL).select("bucket", "node").distinct()
+    marked = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    apart = marked.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "m")
+    left = materialize(marked.join(apart, "bucket"))
+    # buckets of one group of near copies differ little: classes that they chain together are sent once
+    head = left.groupBy("bucket").agg(F.min("node").alias("head"))
+    chained = components(left.join(head, "bucket").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    sizes = chained.groupBy("component").count().withColumn("whole", F.col("count") <= CLUSTER)
+    chained = materialize(chained.join(sizes, "component").select("node", F.col("component").alias("cluster"), "whole"))
+    placed = left.join(_few(chained), "node")
+    once = placed.where("whole").select(F.xxhash64(F.lit("cluster"), "cluster").alias("g"), "node", "component").distinct()
+    left = placed.where("not whole")
+    few = left.where(F.col("m") <= BLOCK).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("members"))  # at most BLOCK each
     few = few.select("members").distinct().select(F.xxhash64("members").alias("g"), F.explode("members").alias("x")).select("g", "x.*")
     wide = left.where(F.col("m") > BLOCK).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("token", F.least(own, other), F.greatest(own, other))))
-    return few.unionByName(wide.select(pair.alias("g"), "node", "component"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other))))
+    return materialize(once.unionByName(few).unionByName(wide.select(pair.alias("g"), "node", "component")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -279,31 +341,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     scanned = materialize(rows.mapInPandas(_classify(words), "doc_id long, n int, node long, block int, sketch binary"))
-    members = scanned.where("block < 0").select("doc_id", "n", "node")
+    members = materialize(scanned.where("block < 0").select("doc_id", "n", "node"))
     classes = materialize(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
     spare = members.where("n > 0").join(classes, "node").where("doc_id <> first").select("doc_id").distinct()
     sketch = _sketch(scanned)
+    release(scanned)
     schema = "token long, node long, n int, pos int"
     prefixes = materialize(_only(rows, materialize(spare), "left_anti").mapInPandas(_prefixes(sketch, words, percent), schema))
-    me = F.struct("node", "n", "pos")
-    leaders = prefixes.groupBy("token").agg(F.count("*").alias("df"), F.min_by(me, F.xxhash64("node")).alias("one"), F.max_by(me, F.xxhash64("node")).alias("two")).where("df > 1").drop("df")
-    shared = materialize(prefixes.join(leaders, "token").distinct())
-
-    def star(leader: str) -> DataFrame:
-        l = F.col(leader)  # noqa: E741
-        reach = F.least("pos", l["pos"]) + F.least(F.col("n") - F.col("pos"), l["n"] - l["pos"])  # the most that can be common
-        fits = (100 * F.least("n", l["n"]) >= percent * F.greatest("n", l["n"])) & ((100 + percent) * reach >= percent * (F.col("n") + l["n"]))
-        return shared.where((F.col("node") != l["node"]) & fits).select(F.least("node", l["node"]).alias("a"), F.greatest("node", l["node"]).alias("b"))
-
-    wanted = shared.select("node").distinct().join(classes, "node").select(F.col("first").alias("doc_id")).distinct()
-    sets = materialize(_only(rows, materialize(wanted), "left_semi").mapInPandas(_whole_sets(words), "node long, shingles binary").dropDuplicates(["node"]))
-    pairs = star("one").unionByName(star("two")).distinct()
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    buckets = _buckets(prefixes, percent)
+    release(prefixes)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Whole sets of some classes; a repeated row repeats its set."""
+        ids = materialize(nodes.distinct().join(classes, "node").select(F.col("first").alias("doc_id")).distinct())
+        return materialize(_only(rows, ids, "left_semi").mapInPandas(_whole_sets(words), "node long, shingles binary"))
+
+    pairs = materialize(_candidates(buckets, percent))
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    with_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(_few(pairs), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    first = materialize(with_b.where(_linked(percent)("sa", "sb")).select("a", "b"))
-    labels = components(first)
-    blocks = _blocks(shared.select("token", "node").distinct(), labels)
-    second = materialize(blocks.join(sets, "node").groupBy("g").applyInPandas(_compare_block(percent), "a long, b long"))
+    first = materialize(with_b.where(_linked(percent)("sa", "sb")).select("a", "b").distinct())
+    release(sets)
+    blocks = _blocks(buckets, components(first))
+    second = materialize(sets_of(blocks.select("node")).join(_few(blocks), "node").groupBy("g").applyInPandas(_compare_block(percent), "a long, b long"))
     final = components(first.unionByName(second))
     named = final.join(classes, "node", "left").groupBy("component").agg(F.min("first").alias("least"))
     of_node = classes.join(final, "node", "left").join(named, "component", "left").select("node", F.coalesce("least", "first").alias("component_id"))
