@@ -185,7 +185,7 @@ def _whole_sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _slices(batches):
             sets = shingle_sets(pdf["text"].tolist(), words)
-            yield pd.DataFrame({"node": [_set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"node": [_set_key(s) for s in sets], "bins": [suffix_histogram(s).astype("int32") for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     return run
 
@@ -212,9 +212,6 @@ def _linked(percent: int) -> Callable[..., Column]:
         for x, y in zip(a, b, strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(x) + len(y)
-            if (percent + 100) * (both - np.abs(suffix_histogram(x) - suffix_histogram(y)).sum()) < 2 * percent * both:
-                out.append(False)
-                continue
             common = both - len(np.union1d(x, y))
             out.append(bool(100 * common >= percent * (both - common)))
         return pd.Series(out)
@@ -354,12 +351,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Whole sets of some classes; a repeated row repeats its set."""
         ids = materialize(nodes.distinct().join(classes, "node").select(F.col("first").alias("doc_id")).distinct())
-        return materialize(_only(rows, ids, "left_semi").mapInPandas(_whole_sets(words), "node long, shingles binary"))
+        return materialize(_only(rows, ids, "left_semi").mapInPandas(_whole_sets(words), "node long, bins array<int>, shingles binary"))
 
     pairs = materialize(_candidates(buckets, percent))
     sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-    with_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(_few(pairs), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    # the suffix filter needs histograms only; whole sets go to the pairs that are left
+    bins = lambda c: sets.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}"))
+    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, v: acc + v)
+    both = F.aggregate("bins_a", F.lit(0), lambda acc, v: acc + v) + F.aggregate("bins_b", F.lit(0), lambda acc, v: acc + v)
+    close = materialize(pairs.join(bins("a"), "a").join(bins("b"), "b").where((percent + 100) * (both - apart) >= 2 * percent * both).select("a", "b").distinct())
+    with_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(_few(close), "a")
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    with_b = with_a.join(other.join(_few(close.select("b").distinct()), "b", "left_semi"), "b")
     first = materialize(with_b.where(_linked(percent)("sa", "sb")).select("a", "b").distinct())
     release(sets)
     blocks = _blocks(buckets, components(first))
