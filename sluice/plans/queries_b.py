@@ -463,7 +463,7 @@ MAILS_SQL = "mails AS (SELECT source AS repo, doc_id AS pos, lower(regexp_extrac
 
 @query("o83_author_domains", f"WITH {MAILS_SQL} SELECT repo, domain, place FROM ranked WHERE place <= 8")
 def o83(spark: SparkSession, d: str) -> DataFrame:
-    commits = read(spark, d, "documents").selectExpr("source AS repo", "doc_id AS pos", r"'u' || doc_id || '@' || upper(regexp_extract(text, '[\\p{L}]+', 0)) || '.Example' AS email")
+    commits = read(spark, d, "documents").selectExpr("source AS repo", "doc_id AS pos", r"'u' || doc_id || '@' || regexp_extract(text, '[\\p{L}]+', 0) || '.Example' AS email")
     return suggest.author_domains(commits).select("repo", "domain", *long("place"))
 
 
