@@ -105,7 +105,9 @@ def find_private(docs: DataFrame) -> DataFrame:
     texts = scanned.select("copy").agg(F.approx_count_distinct("copy")).first()[0] or 1
     near_rows = scanned.select("key", "copy", F.explode("near").alias("w")).select("key", "copy", "w.*")
     pairs = near_rows.groupBy("term", "entity").agg(F.count_distinct("copy").alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
-    pairs = materialize(pairs)
+    # texts with the term near any entity are some of the texts with the term: pairs too rare among these cannot disclose
+    n_near = near_rows.groupBy("term").agg(F.count_distinct("copy").alias("n_near"))
+    pairs = materialize(pairs.join(n_near, "term").where(F.col("n_pair") >= DISCLOSES * F.col("n_near")).drop("n_near"))
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     nothing = scanned.select("doc_id", "key", "base", F.array().cast(SPANS).alias("extra"))
