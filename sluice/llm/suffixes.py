@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialize, scratch, table
+from sluice.llm.common import materialize, release, scratch, table
 
 LENGTH = 200
 GRAM = 32
@@ -27,7 +27,7 @@ WORK = 2 << 20  # bytes handled at a time
 PLACES = 24  # low bits of a sliding minimum hold the place; the upper ones order the k-grams
 GROUP_BYTES = 2 << 20  # of contexts sorted together
 WIDEST = 5_000  # an anchor with more different contexts is counted window by window instead
-BROADCAST_ROWS = 500_000  # more keys than this are joined by a shuffle
+BROADCAST_ROWS = 1_000_000  # more keys than this are joined by a shuffle
 _R = 0xD1342543DE82EF95  # odd multiplier of the rolling hash
 
 
@@ -246,16 +246,15 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "text").where(F.octet_length(F.encode("text", "UTF-8")) >= LENGTH)
     found = materialize(rows.mapInPandas(_scan, "key long, g long, h long, start int, end int"))
-    anchors = materialize(found.groupBy("g").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1").select("g", (F.col("low") == F.col("high")).alias("same")))
+    anchors = materialize(found.groupBy("g").count().where("count > 1").select("g"))
     again = materialize(found.join(_few(anchors), "g"))
-    whole = again.where("same").select("key", "start", "end")
-    mixed = again.where("not same")
+    release(found)
     one = F.struct("key", "start", "end")
-    kinds = materialize(mixed.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(one).alias("one")))
-    copied = mixed.join(kinds.where("n > 1").select("g", "h"), ["g", "h"], "left_semi").select("key", "start", "end")
+    kinds = materialize(again.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(one).alias("one")))
+    copied = again.join(kinds.where("n > 1").select("g", "h"), ["g", "h"], "left_semi").select("key", "start", "end")
     # one of each different context goes to the sort; anchors with very many go window by window
-    wide = materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > WIDEST).select("g", F.lit(True).alias("wide")))
-    sample = kinds.join(_few(wide), "g", "left").select("g", "one.*", (F.col("n") == 1).alias("lone"), F.coalesce("wide", F.lit(False)).alias("wide"))
+    several = materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g", (F.col("kinds") > WIDEST).alias("wide")))
+    sample = kinds.join(_few(several), "g").select("g", "one.*", (F.col("n") == 1).alias("lone"), "wide")
     wanted = materialize(sample.groupBy("key").agg(F.collect_list(F.struct("start", "end", "g", "lone", "wide")).alias("wanted")))  # at most a document's contexts
     texts = rows.join(_few(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"])
     pieces = texts.join(wanted.hint("shuffle_hash"), "key").mapInPandas(_cut_pieces, "key long, start int, g long, lone boolean, wide boolean, piece binary")
@@ -267,7 +266,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     windows = pieces.where("wide").mapInPandas(_windows, "key long, start int, digest binary")
     twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     counted = windows.join(twice, "digest", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("end"))
-    return whole.unionByName(copied).unionByName(sorted_).unionByName(counted)
+    return copied.unionByName(sorted_).unionByName(counted)
 
 
 def merged(found: list, size: int) -> list[tuple[int, int]]:
