@@ -8,13 +8,17 @@ dealt again, mixed across groups, and packed anew until one group is left. Every
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -24,32 +28,65 @@ from sluice.llm.common import materialize, table
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value of the tokenizer
 GROUP = 4096  # pieces a group, on average
-CACHE = 300_000  # distinct words a worker remembers before it starts afresh
+CACHE = 400_000  # distinct words a worker remembers before it starts afresh
+
+
+class WordEncoder:
+    """Ids of words as little-endian 32-bit bytes, remembered up to CACHE words.
+
+    Words of printable characters below U+0250 are lower-cased, split and merged piece by piece, the
+    end of a piece being a byte that UTF-8 does not use; for these the normal form changes nothing.
+    All others go through the tokenizer itself.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(printable)]
+        back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+        special, suffix = {t["content"] for t in spec["added_tokens"]}, spec["model"]["end_of_word_suffix"]
+        ranks = {}
+        for token, i in spec["model"]["vocab"].items():
+            if token not in special:
+                ends = token.endswith(suffix) and token != suffix
+                ranks[bytes(back[c] for c in (token.removesuffix(suffix) if ends else token)) + b"\xff" * ends] = i
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.seen: dict[str, bytes] = {"": b""}
+
+    def _simple(self, word: str) -> bytes:
+        word = word.lower()
+        ids: list[int] = []
+        for piece in [word] if word.isalpha() else PIECES.findall(word):
+            ids += self.merge(piece.encode() + b"\xff")
+        return array("I", ids).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        fresh = words - self.seen.keys()
+        if len(self.seen) + len(fresh) > CACHE:
+            self.seen = {"": b""}
+            fresh = words - self.seen.keys()
+        odd = [w for w in fresh if not w.isprintable() or max(w) >= "\u0250" or "<|" in w]
+        for w in fresh.difference(odd):
+            self.seen[w] = self._simple(w)
+        self.seen.update(zip(odd, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> tuple[Tokenizer, dict[str, list[int]]]:
-    return Tokenizer.from_file(path), {}
+def load(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of whole texts. The tokenizer never joins across a blank or a line feed, so words are encoded once and remembered."""
-    tokenizer, seen = load(path)
-    split = [[w for w in t.replace("\n", " ").split(" ") if w] if t else [] for t in texts]
-    if len(seen) > CACHE:
-        seen.clear()
-    fresh = list({w for words in split for w in words} - seen.keys())
-    for i in range(0, len(fresh), 50_000):
-        part = fresh[i : i + 50_000]
-        seen.update(zip(part, (e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-    out = []
-    for words in split:
-        ids: list[int] = []
-        for w in words:
-            ids += seen[w]
-        out.append(np.array(ids, np.uint32))
-    return out
+    encoder = load(path)
+    split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+    encoder.learn({w for words in split for w in words})
+    seen = encoder.seen
+    return [np.frombuffer(b"".join([seen[w] for w in words]), "<u4") for words in split]
 
 
 def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int, with_ids: bool) -> Iterator[pd.DataFrame]:

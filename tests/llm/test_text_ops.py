@@ -105,7 +105,7 @@ def test_word_ids():
     path = public_tokenizers.path(packing.TOKENIZER)
     plain = Tokenizer.from_file(path)
     rng = random.Random(2)
-    parts = ["Ab", "the ", "\n", "É", "́", "\x1c", "<|startoftext|>", "Σ", "99", "!", "\t", "  "]
+    parts = ["Ab", "the ", "\n", "É", "́", "\x1c", "<|startoftext|>", "Σ", "99", "!", "\t", "  ", "İ", "²", "don't", "ß", "\xad", "Ǆ", "µª"]
     for _ in range(200):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 100)))
         assert packing.encode_texts([text], path)[0].tolist() == plain.encode(text, add_special_tokens=False).ids
