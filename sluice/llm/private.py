@@ -1,10 +1,11 @@
-"""Operator 7: personal data, with information-theoretic sanitisation of what stands near it.
-
-Base spans come from four patterns. Each found value is a protected entity. Terms (words) near an
-entity are counted with it over the corpus: a term discloses an entity as far as the entity's chance
-given the term, n(term, entity) / n(term) over distinct texts, exceeds its chance at large. Terms
-above the threshold are generalised where they stand near that entity, those that nearly determine
-it are removed. All of it is DataFrame expressions.
+"""Operator 7: personal data, with information-theoretic sanitisation of the words that give it away.
+
+Base spans come from four patterns. Each found value is a protected entity. Terms are the words of a
+text outside its values, wherever they stand. They are counted with the entities of whole texts: a
+term discloses an entity as far as the entity's chance given the term, n(term, entity) / n(term) over
+distinct texts, exceeds its chance at large. Terms above the threshold are generalised wherever they
+stand, in texts without the entity too; those that nearly determine one are removed. All of it is
+DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
 WORD = r"[\p{L}][\p{L}\p{N}'-]{2,}+"
-REACH = 80  # code points on either side of an entity in which terms are looked for
-NEAR = 5  # terms taken on either side
 SUPPORT = 3  # distinct texts that must show the pair
 DISCLOSES = 0.5  # chance of the entity given the term from which a term is generalised
 DETERMINES = 0.9  # and from which it is removed
@@ -64,67 +63,103 @@ def _entity(kind: str) -> Callable[[Column], Column]:
     return lambda e: F.xxhash64(F.lit(kind), same(e["hit"]))
 
 
-def _near(t: Column, kind: str) -> Callable[[Column], Column]:
-    """Terms near a found value: key of the entity, term and span."""
+def _blank(t: Column, base: Column) -> Column:
+    """The text with spaces in place of its values: what is left keeps its offsets."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        fresh = F.greatest(acc["at"], s["start"])
+        gap = F.substring(t, acc["at"] + 1, fresh - acc["at"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.repeat(F.lit(" "), F.greatest(s["end"] - fresh, F.lit(0)))).alias("out"))
+
+    done = F.aggregate(F.array_sort(base), start, add, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    return F.when(F.size(base) == 0, t).otherwise(done)
+
+
+def _words(bare: Column) -> Column:
+    return F.regexp_extract_all(bare, F.lit(WORD), F.lit(0))
+
+
+def _places(bare: Column, remove: Column, general: Column) -> Column:
+    """Spans of every word that is among the terms; an array grows only where there is one."""
+    gaps = F.transform(F.split(bare, WORD, -1), lambda g: F.length(g))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["hit"])
+        kind = lambda ord_, name: F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), F.lit(ord_).alias("ord"), end.cast("int").alias("end"), F.lit(name).alias("kind"))))
+        out = F.when(F.array_contains(remove, F.lower(x["hit"])), kind(5, "remove")).when(F.array_contains(general, F.lower(x["hit"])), kind(4, "general")).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    rows = F.filter(F.arrays_zip(gaps.alias("gap"), _words(bare).alias("hit")), lambda x: x["hit"].isNotNull())
+    return F.aggregate(rows, empty, add, lambda acc: acc["out"]).cast(SPANS)
+
+
+def _disclosing(texts: DataFrame) -> DataFrame:
+    """Terms of distinct texts (copy, entities, words in one string) that disclose an entity: term, determines.
+
+    With n_pair at most n_entity, an entity in fewer than SUPPORT texts, or in too many for INFORMATION
+    bits, has no such term, and a term in more than n_entity / DISCLOSES texts does not disclose it.
+    So pairs are made only where they can pass; none that passes is lost.
+    """
+    n_texts = texts.count()
+    held = texts.select("copy", F.explode("entities").alias("entity"))
+    n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= SUPPORT) & (F.log2(n_texts / F.col("n_entity")) >= INFORMATION))
+    held = materialize(held.join(n_entity, "entity"))
+    most = held.agg(F.max("n_entity")).first()[0] or 0
+    words = texts.select(_term())
+    n_term = materialize(words.groupBy("term").agg(F.count("*").alias("n_term")).where((F.col("term") != "") & F.col("n_term").between(SUPPORT, int(most / DISCLOSES))))
+    n_terms = n_term.count()
+    live = held.groupBy("copy").agg(F.collect_list(F.struct("entity", "n_entity")).alias("held"))
+    known = texts.select("copy", "words").join(live, "copy").select("held", _term()).join(_few(n_term, n_terms), "term")
+    may = F.filter("held", lambda e: e["n_entity"] >= DISCLOSES * F.col("n_term"))
+    pairs = known.select("term", "n_term", F.explode(may).alias("e")).groupBy("term", "n_term", "e").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
+    chance = F.col("n_pair") / F.col("n_term")
+    bits = F.log2(chance * n_texts / F.col("e.n_entity"))
+    return pairs.where((chance >= DISCLOSES) & (bits >= INFORMATION)).groupBy("term").agg(F.max(chance >= DETERMINES).alias("determines"))
 
-    def terms(e: Column) -> Column:
-        low = F.greatest(e["start"] - REACH, F.lit(0))
-        left = F.substring(t, low + 1, e["start"] - low)
-        right = F.substring(t, e["end"] + 1, F.lit(REACH))
 
-        def place(words: Column, at: Column) -> Column:
-            return F.transform(words, lambda w: F.struct(_entity(kind)(e).alias("entity"), F.lower(w["hit"]).alias("term"), (w["start"] + at).cast("int").alias("start"), (w["end"] + at).cast("int").alias("end")))
+def _term() -> Column:
+    return F.explode(F.split("words", " ")).alias("term")
 
-        # a word that the window cuts at its outer edge is part of a word
-        before = F.filter(place(hits(left, WORD), low), lambda w: (low == 0) | (w["start"] > low))
-        after = F.filter(place(hits(right, WORD), e["end"]), lambda w: (w["end"] < e["end"] + REACH) | (w["end"] == F.length(t)))
-        return F.concat(F.slice(before, F.greatest(F.size(before) - NEAR + 1, F.lit(1)), F.lit(NEAR)), F.slice(after, 1, NEAR))
 
-    return terms
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_TERMS else df
 
 
 def find_private(docs: DataFrame) -> DataFrame:
     """Spans of personal data and of disclosing terms in each document (doc_id, text).
 
     Returns doc_id, key (hash of id and text), base and extra: arrays of start, ord, end, kind, offsets
-    in code points. Extra spans (kinds general and remove) never overlap base spans. A null text
-    counts as empty and has no spans. Repeated rows and copies count as one text in the statistics and
-    get equal spans. An empty table gives no rows. Other columns are not read.
+    in code points. Extra spans (kinds general and remove) never overlap base spans and stand at every
+    occurrence of a disclosing term. A null text counts as empty and has no spans. Repeated rows and
+    copies count as one text in the statistics and get equal spans. An empty table gives no rows.
+    Other columns are not read.
     """
     t = F.col("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"key": F.xxhash64("doc_id", "text"), "copy": F.xxhash64("text")})
     # the matches become columns first, so that each is searched for once
-    found = rows.select("doc_id", "text", *[c.alias(k) for k, c in base_hits(t).items()])
-    near = F.flatten(F.concat(*[F.transform(k, _near(t, k)) for k in KINDS]))
-    base = F.concat(*[as_spans(F.col(k), k, i) for i, k in enumerate(KINDS)])
-    entities = F.concat(*[F.transform(k, _entity(k)) for k in KINDS])
-    lone = F.filter("near", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    scanned = found.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("copy"), base.alias("base"), near.alias("near"), F.array_distinct(entities).alias("entities"))
-    scanned = materialize(scanned.withColumn("near", lone))
-
-    texts = scanned.select("copy").agg(F.approx_count_distinct("copy")).first()[0] or 1
-    near_rows = scanned.select("key", "copy", F.explode("near").alias("w")).select("key", "copy", "w.*")
-    pairs = near_rows.groupBy("term", "entity").agg(F.count_distinct("copy").alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
-    # texts with the term near any entity are some of the texts with the term: pairs too rare among these cannot disclose
-    n_near = near_rows.groupBy("term").agg(F.count_distinct("copy").alias("n_near"))
-    pairs = materialize(pairs.join(n_near, "term").where(F.col("n_pair") >= DISCLOSES * F.col("n_near")).drop("n_near"))
-    terms = pairs.select("term").distinct()
+    found = rows.select("doc_id", "key", "copy", "text", *[c.alias(k) for k, c in base_hits(t).items()])
+    base = F.concat(*[as_spans(F.col(k), k, i) for i, k in enumerate(KINDS)]).alias("base")
+    entities = F.array_distinct(F.concat(*[F.transform(k, _entity(k)) for k in KINDS]))
+    scanned = materialize(found.select("doc_id", "key", base))
+
+    # a word holds no space: in one string the words of a text move in fewer bytes than as an array
+    words = F.array_join(F.array_distinct(F.transform(_words(_blank(t, F.col("base"))), lambda w: F.lower(w))), " ")
+    texts = found.select("copy", "text", base, entities.alias("entities")).select("copy", "base", "entities", words.alias("words"))
+    texts = materialize(texts.groupBy("copy").agg(*[F.first(c).alias(c) for c in ("base", "entities", "words")]))
+    terms = materialize(_disclosing(texts))
     n_terms = terms.count()
     nothing = scanned.select("doc_id", "key", "base", F.array().cast(SPANS).alias("extra"))
     if not n_terms:
         return nothing
-    words = rows.select(F.xxhash64("text").alias("copy"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)))).alias("term"))
-    few = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    n_term = words.join(few, "term").groupBy("term").agg(F.count_distinct("copy").alias("n_term"))
-    n_entity = scanned.select("copy", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count_distinct("copy").alias("n_entity"))
-    chance = F.col("n_pair") / F.greatest("n_term", "n_pair")
-    bits = F.log2(chance * texts / F.col("n_entity"))
-    disclosing = pairs.join(n_term, "term").join(n_entity, "entity").where((chance >= DISCLOSES) & (bits >= INFORMATION)).select("term", "entity", (chance >= DETERMINES).alias("determines"))
-    span = F.struct("start", F.when(F.col("determines"), 5).otherwise(4).alias("ord"), "end", F.when(F.col("determines"), "remove").otherwise("general").alias("kind"))
-    extra = near_rows.join(disclosing, ["term", "entity"]).groupBy("key").agg(F.collect_set(span).cast(SPANS).alias("found"))
-    # a term near two entities may be both; removal counts
-    one = F.filter("found", lambda s: (s["kind"] == "remove") | ~F.exists("found", lambda o: (o["kind"] == "remove") & (o["start"] == s["start"])))
-    return scanned.join(extra, "key", "left").select("doc_id", "key", "base", F.coalesce(one, F.array()).cast(SPANS).alias("extra"))
+    told = texts.select("copy", _term()).join(_few(terms, n_terms), "term")
+    of = lambda sure: F.collect_list(F.when(F.col("determines") == sure, F.col("term")))
+    told = materialize(told.groupBy("copy").agg(of(True).alias("remove"), of(False).alias("general")).join(texts.select("copy", "base"), "copy"))
+    marked = rows.select("key", "copy", "text").join(_few(told, told.count()), "copy").select("key", _blank(t, F.col("base")).alias("bare"), "remove", "general")
+    extra = marked.select("key", _places(F.col("bare"), F.col("remove"), F.col("general")).alias("extra")).groupBy("key").agg(F.first("extra").alias("extra"))
+    return scanned.select("doc_id", "key", "base").join(extra, "key", "left").select("doc_id", "key", "base", F.coalesce("extra", F.array().cast(SPANS)).alias("extra"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Secrets, personal data, BPE, FLAC, fingerprints and sharding against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -81,6 +82,48 @@ def test_disclosing_terms(spark):
     assert all(clean[i] == texts[i] for i in range(5, 60))
 
 
+def disclosing_spans(texts):
+    """Extra spans by a plain loop over every word and value of whole texts."""
+    terms, entities, at = {}, {}, []
+    for t in sorted(set(texts)):
+        bare = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: " " * len(m[0]), t)
+        for m in re.finditer(r"[^\W\d_](?:[^\W_]|['-]){2,}", bare):
+            terms.setdefault(m[0].lower(), set()).add(t)
+            at.append((t, m[0].lower(), m.start(), m.end()))
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+            entities.setdefault(m[0].lower(), set()).add(t)
+    kinds = {}
+    for w, a in terms.items():
+        for b in entities.values():
+            n = len(a & b)
+            if n >= private.SUPPORT and n / len(a) >= private.DISCLOSES and math.log2(n / len(a) * len(set(texts)) / len(b)) >= private.INFORMATION:
+                kinds.setdefault(w, []).append(n / len(a) >= private.DETERMINES)
+    spans = {t: [] for t in texts}
+    for t, w, a, b in at:
+        if w in kinds:
+            spans[t].append((a, b, "remove" if any(kinds[w]) else "general"))
+    return [",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans[t])) for t in texts]
+
+
+def test_disclosing_terms_of_whole_texts(spark, monkeypatch):
+    filler = " ".join(["plain words here and there"] * 60)
+    texts = [f"Quorvex {filler} day {i} write to lone@far.example" for i in range(6)]  # far beyond any window
+    texts += [f"quorvex alone, day {i}" for i in range(2)]  # discloses without the value: 6 of 8
+    texts += [f"mail near@by.example about Brilmund {i}" for i in range(4)] + [f"{filler} {i} Brilmund near@by.example" for i in range(4)]
+    texts += [f"day {i} plain words here and there for mail about all, write to others" for i in range(120)] + ["Brilmundly x@y.example"]
+    rng = random.Random(8)
+    names = [f"Name{c}" for c in "abcdefgh"]
+    texts += [" ".join(rng.choice([*names, f"u{rng.randint(0, 3)}@v.example", "Plain", "words", "x" * 50]) for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    texts += texts[:3]
+    want = disclosing_spans(texts)
+    assert want[0].startswith("remove:0:7") or want[0].startswith("general:0:7")
+    assert want[6] == "general:0:7" and want[8].endswith("remove:27:35") and want[12]
+    for most in (private.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(private, "BROADCAST_TERMS", most)
+        got = {r["doc_id"]: r["s"] for r in private.find_private(text_table(spark, texts)).select("doc_id", joined(F.col("extra")).alias("s")).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_bpe(spark, docs):
     path = public_tokenizers.path(bpe.TOKENIZER)
     plain = Tokenizer.from_file(path)
