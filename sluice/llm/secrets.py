@@ -1,7 +1,9 @@
 """Operator 1: secret scans with a battery of randomness tests.
 
-Base spans come from three patterns. Beyond them, tokens of 20 and more encoding characters are
-tested for randomness in the encoding they are inferred to use: chi-squared uniformity over its
+Base spans come from three patterns. Beyond them, tokens of FLOOR and more encoding characters are
+tested for randomness in the encoding they are inferred to use (one that fits none is cut at its odd
+characters first, and its parts are tested; numbers alone are left to the base kind hex, since random
+digits are no less likely as an ordinary number): chi-squared uniformity over its
 alphabet, runs above and below its middle, and serial correlation, joined by Fisher's method. A
 token that looks random is reported if it is also unlikely as ordinary text: the likelihood ratio
 of the uniform law to the corpus's own letter frequencies bounds its p-value, and a weighted
@@ -20,18 +22,23 @@ from pyspark.sql import functions as F
 from sluice.llm.common import materialize, table
 from sluice.llm.spans import SPANS, as_spans, chars, hits, joined
 
+TOKENS = "array<struct<start:int,end:int,body:string>>"
 KEYS = "(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = KEYS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LONG = KEYS + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+FLOOR = 12  # shorter tokens are not tested; README has the recall by length
+TOKEN = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{FLOOR},}}+={{0,2}}"
 ORDINARY = "(?<![A-Za-z])[A-Za-z]{12,}+"  # words whose letters give the corpus's frequencies
 # inferred encodings in order: name, shape, alphabet (fixed values of the encodings)
 _D, _L, _U = string.digits, string.ascii_lowercase, string.ascii_uppercase
 ENCODINGS = [
     ("hex", "^[0-9a-f]+$", _D + "abcdef"),
     ("HEX", "^[0-9A-F]+$", _D + "ABCDEF"),
+    ("upper", "^[A-Z]+$", _U),
+    ("lower", "^[a-z]+$", _L),
+    ("letters", "^[A-Za-z]+$", _U + _L),
     ("base32", "^[A-Z2-7]+$", _U + "234567"),
     ("base36", "^[0-9a-z]+$", _D + _L),
     ("BASE36", "^[0-9A-Z]+$", _D + _U),
@@ -42,6 +49,7 @@ ENCODINGS = [
 FDR = 0.01
 RANDOM_ENOUGH = 0.001  # the battery rejects tokens below this
 SHARES = {"lower": 0.70, "upper": 0.05, "digit": 0.20, "other": 0.05}  # of symbols in ordinary identifiers
+CAPITALS = SHARES | {"lower": SHARES["upper"], "upper": SHARES["lower"]}  # and in words of capitals
 FINEST = 5000  # p-values are compared in hundredths of -log10, up to this
 
 
@@ -52,12 +60,30 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, q).otherwise(1 - q)
 
 
+def _alphabet(body: Column) -> Column:
+    return F.coalesce(*[F.when(body.rlike(s), F.lit(a)) for _, s, a in ENCODINGS])
+
+
+def _cut(tokens: Column, odd: str) -> Column:
+    """Tokens (start, end, body) without an encoding, cut at odd characters; the last part keeps the end with its padding."""
+
+    def parts(t: Column) -> Column:
+        empty = F.struct(t["start"].alias("at"), F.array().cast(TOKENS).alias("out"))
+        pieces = F.split(t["body"], odd, -1)
+        one = lambda acc, x: F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("body")))
+        cut = F.aggregate(pieces, empty, lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], one(acc, x)).alias("out")), lambda acc: acc["out"])
+        last = t["start"] + F.length(t["body"])
+        return F.transform(cut, lambda x: F.struct(x["start"].alias("start"), F.when(x["end"] == last, t["end"]).otherwise(x["end"]).alias("end"), x["body"].alias("body")))
+
+    return F.flatten(F.transform(tokens, lambda t: F.when(_alphabet(t["body"]).isNull(), parts(t)).otherwise(F.array(t))))
+
+
 def _battery(tokens: Column) -> Column:
     """Tokens in a known encoding: span, length, alphabet size, sorted symbols, and Fisher's joint p-value of randomness."""
     body = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.regexp_replace(t["hit"], "=+$", "").alias("body")))
-    body = F.filter(body, lambda t: t["body"].rlike("[0-9]") & t["body"].rlike("[A-Za-z]"))
-    known = F.transform(body, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), chars(t["body"]).alias("chars"), F.coalesce(*[F.when(t["body"].rlike(s), F.lit(a)) for _, s, a in ENCODINGS]).alias("alphabet")))
-    known = F.filter(known, lambda t: t["alphabet"].isNotNull())
+    body = _cut(_cut(body.cast(TOKENS), "/"), "[+_-]")
+    body = F.filter(body, lambda t: (F.length(t["body"]) >= FLOOR) & t["body"].rlike("[A-Za-z]"))
+    known = F.transform(body, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), chars(t["body"]).alias("chars"), _alphabet(t["body"]).alias("alphabet")))
     indexed = F.transform(known, lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), F.array_join(F.array_sort(t["chars"]), "").alias("symbols"),
         F.length(t["alphabet"]).cast("double").alias("k"), F.size(t["chars"]).cast("double").alias("n"),
@@ -91,14 +117,18 @@ def _battery(tokens: Column) -> Column:
     return F.transform(counted, scored)
 
 
-def _frequencies(scanned: DataFrame) -> dict[str, float]:
-    """Log of the chance of each symbol in ordinary text, from the letters of all ordinary words: 26 sums reach the driver."""
+def _frequencies(scanned: DataFrame) -> list[dict[str, float]]:
+    """Log of the chance of each symbol in ordinary text and in words of capitals, from the letters of all ordinary words: 26 sums reach the driver."""
     sums = scanned.agg(*[F.coalesce(F.sum(F.col("letters")[i]), F.lit(0)).alias(c) for i, c in enumerate(_L)]).first()
     total = sum(sums[c] for c in _L) + 26
     f = {c: (sums[c] + 1) / total for c in _L}
-    q = {c: SHARES["lower"] * f[c] for c in _L} | {c.upper(): SHARES["upper"] * f[c] for c in _L}
-    q |= {c: SHARES["digit"] / 10 for c in _D} | {c: SHARES["other"] / 4 for c in "+/-_"}
-    return {c: math.log(v) for c, v in q.items()}
+
+    def logs(shares: dict[str, float]) -> dict[str, float]:
+        q = {c: shares["lower"] * f[c] for c in _L} | {c.upper(): shares["upper"] * f[c] for c in _L}
+        q |= {c: shares["digit"] / 10 for c in _D} | {c: shares["other"] / 4 for c in "+/-_"}
+        return {c: math.log(v) for c, v in q.items()}
+
+    return [logs(SHARES), logs(CAPITALS)]
 
 
 def _threshold(tokens: DataFrame) -> int:
@@ -134,12 +164,15 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     letters = F.array(*[(F.length("words") - F.length(F.translate("words", c, ""))).cast("long") for c in _L])
     # what is stored holds no token: its symbols are sorted
     scanned = materialize(found.select("doc_id", "base", _battery(apart).alias("tokens"), letters.alias("letters")))
-    logs = _frequencies(scanned)
-    ordinary = F.create_map(*[F.lit(x) for kv in logs.items() for x in kv])
+    ordinary, capitals = (F.create_map(*[F.lit(x) for kv in logs.items() for x in kv]) for logs in _frequencies(scanned))
+
+    def against(x: Column, law: Column) -> Column:
+        return F.aggregate(chars(x["symbols"]), F.lit(0.0), lambda acc, c: acc - F.log(x["k"]) - F.element_at(law, c))
 
     def evidence(x: Column) -> Column:
-        """-log10 of the bound on the chance that ordinary text gives such symbols."""
-        per = F.aggregate(chars(x["symbols"]), F.lit(0.0), lambda acc, c: acc - F.log(x["k"]) - F.element_at(ordinary, c))
+        """-log10 of the bound on the chance that ordinary text gives such symbols; without a digit they may be a word of capitals."""
+        per = against(x, ordinary)
+        per = F.when(x["symbols"].rlike("[A-Z]") & ~x["symbols"].rlike("[0-9]"), F.least(per, against(x, capitals))).otherwise(per)
         return F.greatest(per / math.log(10), F.lit(0.0))
 
     weighed = F.transform("tokens", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["p_random"].alias("p_random"), F.log2(x["n"]).alias("weight"), evidence(x).alias("evidence")))

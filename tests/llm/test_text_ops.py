@@ -53,6 +53,23 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any(got[i] for i in range(200))
 
 
+def test_random_tokens_of_any_symbols(spark):
+    rng = random.Random(7)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    plain = ["thenationandtheother ingestionandretention ANDTHENATIONOFTHEOTHERS thisIsTheNameOfSomethingLonger path/to/the-other_thing/and+more 1234567890123456789"] * 200
+    letters = [draw(low + low.upper(), 48) for _ in range(20)]  # no digit
+    safe = low + low.upper() + "0123456789-_"
+    url = [draw(safe, 21) + "_" + draw(safe, 21) for _ in range(20)]  # in a path whose other part holds '+'
+    short = [draw(low + low.upper() + "0123456789", 19) for _ in range(20)]
+    texts = plain + [f"see {k} there" for k in letters] + [f"see a+b/{k}/ there" for k in url] + [f"see {k} there" for k in short]
+    got = {r["doc_id"]: r["s"] for r in secrets.scan_secrets(text_table(spark, texts)).select("doc_id", joined(F.col("extra")).alias("s")).collect()}
+    assert not any(got[i] for i in range(200))
+    assert sum(got[i] == "random:4:52" for i in range(200, 220)) >= 18
+    assert sum("random:8:51" in got[i] for i in range(220, 240)) >= 18
+    assert sum(got[i] == "random:4:23" for i in range(240, 260)) >= 14
+
+
 def luhn(s):
     return sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(int(c) for c in s[::-1])) % 10 == 0
 
