@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sluice.operators.credentials import scan_credentials
 from sluice.operators.sweep import hit_key
 
-CAP = 8 << 20
 TOOL = "tool_name string, tool_response struct<stdout:string,stderr:string,output:string,content:string,result:string>, tool_result_text string"
 SHELL = ["bash", "Bash", "shell"]
 OVERRIDE = r"(?:^|/)\.leak-scan\.ya?ml$"
@@ -23,11 +22,11 @@ def stream_new_hits(stream: DataFrame, ttl: str) -> DataFrame:
 
 
 def tool_texts(events: DataFrame) -> DataFrame:
-    """O60. Text of shell-tool events (event_id, ts, json): all output fields joined, at most CAP bytes."""
+    """O60. Text of shell-tool events (event_id, ts, json): all output fields joined, of any length."""
     e = events.withColumn("e", F.from_json("json", TOOL)).where(F.col("e.tool_name").isin(SHELL))
     r = "e.tool_response"
     joined = F.concat_ws("\n", *[f"{r}.{c}" for c in ("stdout", "stderr", "output", "content", "result")], "e.tool_result_text")
-    return e.select("event_id", "ts", joined.alias("text")).where(F.octet_length("text") <= CAP)
+    return e.select("event_id", "ts", joined.alias("text"))
 
 
 def credential_counts(events: DataFrame, late: str = "1 hour", width: str = "10 minutes") -> DataFrame:

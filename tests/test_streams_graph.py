@@ -27,6 +27,14 @@ def test_new_hits_once(spark, tmp_path):
     assert sorted(r["hit_key"] for r in spark.read.json(str(tmp_path / "out")).collect()) == sorted(r["hit_key"] for r in streams.stream_new_hits(hits, "1 day").collect())
 
 
+def test_long_tool_output_counts(spark):
+    key = "ghp" + "_" + "a1B2" * 9
+    event = "to_json(named_struct('tool_name', 'bash', 'tool_response', named_struct('stdout', concat(repeat('line of output ', 600000), key)))) AS json"
+    events = spark.createDataFrame([(1, key)], "event_id long, key string").selectExpr("event_id", "timestamp '2024-01-01' AS ts", event)
+    assert streams.tool_texts(events).selectExpr("octet_length(text) AS n").first()["n"] > 8 << 20
+    assert [r["n"] for r in streams.credential_counts(events).collect()] == [1]
+
+
 def test_tool_output_windows(spark, data, tmp_path):
     events = queries_b.tool_events(spark, data)
     batch = {(str(r["start"]), r["kind"], r["n"]) for r in streams.credential_counts(events).collect()}
