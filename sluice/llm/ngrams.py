@@ -1,55 +1,44 @@
 """Operator 6: Jaccard join on word shingles, rare first.
 
-Texts become sets of hashed three-word shingles; equal sets form one class. A class's shingles are
-ordered by a count sketch of the whole corpus, rarest first, and only the prefix that a partner at
-the threshold must share is joined on. Candidates pass a length, a positional and a suffix filter and
-are verified on their whole sets. Groups of near copies are first linked to leaders of their
-buckets; what stays apart in a bucket is compared in blocks, so no bucket is expanded into pairs.
+Texts become sets of hashed three-word shingles; equal sets form one class. The shingles of all
+classes are counted exactly: blocks of sets send their distinct shingles to hash ranges, each range
+adds them up, and what occurs in two or more classes goes back to the blocks that hold it. A class's
+shingles are then ordered rarest first, and of the prefix that a partner at the threshold must share
+only shingles with a second class become rows. Candidates pass a length, a positional and a suffix
+filter and are verified on their whole sets, once per pair. Buckets of a prefix shingle give all
+pairs while they are small, else those with two leaders; what stays apart in a bucket after that is
+compared in blocks, so no bucket is expanded into pairs. Nothing here is broadcast or held in memory
+that grows with the input: every table is joined by key, and only counted small ones are broadcast.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialize, release, table
+from sluice.llm.common import arrow_map, few, materialize, powers, release, row_key, scratch, slices, table, values
 from sluice.llm.components import components
 
 WORDS = 3
 PERCENT = 90  # two sets link when 100 * intersection >= PERCENT * union
-SKETCH_BITS = 24  # one saturating byte for each of 2**24 hash values: a fixed 16 MB, whatever the input
-SKETCH_BLOCKS = 64
-BLOCK = 256  # classes of a bucket compared in one task
-CLUSTER = 1024  # classes that large buckets chain together and that are compared in one task
-SMALL = 8  # buckets up to this size give all their pairs that fit
-BROADCAST_IDS = 1_000_000  # more ids than this are joined by a shuffle
-WORK = 1 << 20  # bytes hashed at a time
+BLOCK = 1 << 19  # shingles of a block of sets, of a counted range, and of a chunk compared with one leader
+TILE = 64  # shingles that a block sends to a range, on average, at least: blocks and ranges grow with the root of the input
+GRID = 1 << 18  # shingles of one side of a block comparison
+SMALL = 8  # in buckets up to this size every member is a leader, in larger ones two are
+WORK = 1 << 18  # bytes hashed at a time
 _R = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, modulo 2**64."""
-    out = []
-    for r in (_R, pow(_R, -1, 1 << 64)):
-        p = np.ones(n, np.uint64)
-        done = 1
-        while done < n:
-            more = min(done, n - done)
-            p[done : done + more] = p[:more] * np.uint64(pow(r, done, 1 << 64))
-            done += more
-        out.append(p)
-    return out[0], out[1]
+_BREAK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,104 +47,74 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; fewer words give one shingle, no words none."""
-    out: list[np.ndarray] = []
-    data = [(t or "").encode("utf-8", "replace").lower() for t in texts]
-    at = 0
-    while at < len(data):
-        end, held = at, 0
-        while end < len(data) and (end == at or held + len(data[end]) < WORK):
-            held += len(data[end]) + 1
-            end += 1
-        out += _sets(data[at:end], words)
-        at = end
-    return out
-
-
-def _sets(data: list[bytes], words: int) -> list[np.ndarray]:
+def _word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts one after the other, and the number of words of each."""
     buf = np.frombuffer(b" ".join([*data, b""]), np.uint8)
     stops = np.cumsum([len(d) + 1 for d in data])
-    gap = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.r_[True, gap]))
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[buf]]))
     start, end = edge[::2], edge[1::2]
-    p, q = _powers(1 << max(21, int(len(buf)).bit_length()))
+    p, q = powers(_R, 1 << max(19, int(len(buf)).bit_length()))
     total = np.r_[np.uint64(0), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)])]
     word = _mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
-    owner = np.searchsorted(stops, start, side="right")
-    first = np.searchsorted(owner, np.arange(len(data) + 1))
-    h = word.copy()
+    return word, np.diff(np.searchsorted(start, np.r_[0, stops]))
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """A text cut at white space into parts of about WORK bytes."""
+    out, at = [], 0
+    while len(text) - at > WORK:
+        found = _BREAK.search(text, at + WORK)
+        end = found.start() if found else len(text)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text; fewer words give one shingle, no words none."""
+    parts, owner = [], []
+    for i, t in enumerate(texts):
+        for piece in _pieces((t or "").encode("utf-8", "replace").lower()):
+            parts.append(piece)
+            owner.append(i)
+    hashes, counts, at = [], np.zeros(len(texts), np.int64), 0
+    while at < len(parts):
+        end, held = at, 0
+        while end < len(parts) and (end == at or held + len(parts[end]) < WORK):
+            held += len(parts[end]) + 1
+            end += 1
+        word, n = _word_hashes(parts[at:end])
+        hashes.append(word)
+        np.add.at(counts, owner[at:end], n)
+        at = end
+    word = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    h = word
     for k in range(1, words):
         h = h[:-1] if len(h) else h
         h = _mix(h * np.uint64(_R) + word[k : k + len(h)])
-    out = []
-    for a, b in zip(first, first[1:], strict=False):
+    out, first = [], np.r_[0, np.cumsum(counts)]
+    for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
         if b - a >= words:
             out.append(np.unique(h[a : b - words + 1]))
         elif b > a:  # the whole sequence, kept apart from shingles by its length
-            x = np.uint64(b - a)
+            x = np.array([b - a], np.uint64)
             for w in word[a:b]:
-                x = _mix(np.array([x]) * np.uint64(_R) + w)[0]
-            out.append(np.array([x], np.uint64))
+                x = _mix(x * np.uint64(_R) + w)
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
 def _set_key(h: np.ndarray) -> int:
     """Signed 64-bit hash of a whole set."""
     x = np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(_R)
     return int(_mix(np.array([(_mix(h ^ x)).sum(dtype=np.uint64)]))[0].astype(np.int64))
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """Batches in small parts, so that a worker holds few sets at a time."""
-    for pdf in batches:
-        for low in range(0, len(pdf), rows):
-            yield pdf.iloc[low : low + rows]
-
-
-def _classify(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per document, then the partition's sketch in blocks."""
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
-        for pdf in _slices(batches):
-            sets = shingle_sets(pdf["text"].tolist(), words)
-            hot = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            at, n = np.unique(_bucket(hot), return_counts=True)
-            sketch[at] = np.minimum(sketch[at].astype(np.int64) + n, 255)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": [len(s) for s in sets], "node": [_set_key(s) for s in sets], "block": -1, "sketch": None}).astype({"doc_id": "Int64"})
-        step = len(sketch) // SKETCH_BLOCKS
-        blocks = [(i, sketch[i * step : (i + 1) * step]) for i in range(SKETCH_BLOCKS)]
-        blocks = [(i, zlib.compress(b.tobytes(), 1)) for i, b in blocks if b.any()]
-        if blocks:
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(blocks), "Int64"), "n": 0, "node": 0, "block": [i for i, _ in blocks], "sketch": [b for _, b in blocks]})
-
-    return run
-
-
-def _add_sketches(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.int64)
-    for s in pdf["sketch"]:
-        total += np.frombuffer(zlib.decompress(s), np.uint8)
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "slot": pdf["slot"].iloc[:1], "sketch": [zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
-
-
-def _sketch(rows: DataFrame) -> Broadcast:
-    """The corpus's sketch, added up in two levels and broadcast."""
-    part = rows.where("block >= 0").select("block", F.pmod(F.spark_partition_id(), F.lit(64)).alias("slot"), "sketch")
-    schema = "block int, slot int, sketch binary"
-    once = part.groupBy("block", "slot").applyInPandas(_add_sketches, schema)
-    found = once.withColumn("slot", F.lit(0)).groupBy("block", "slot").applyInPandas(_add_sketches, schema).collect()  # SKETCH_BLOCKS rows
-    step = (1 << SKETCH_BITS) // SKETCH_BLOCKS
-    total = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in found:
-        total[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(zlib.decompress(r["sketch"]), np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(total)
+def suffix_histogram(h: np.ndarray) -> np.ndarray:
+    """Shingles in each sixteenth of the hash range: differences bound the symmetric difference from below."""
+    return np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16).astype(np.int32)
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -163,106 +122,105 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (-(-percent * n // 100)) + 1
 
 
-def _prefixes(sketch: Broadcast, words: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sketch.value
-        for pdf in _slices(batches):
-            tokens, nodes, sizes, places = [], [], [], []
-            for h in shingle_sets(pdf["text"].tolist(), words):
-                if len(h):
-                    order = np.lexsort((h, counts[_bucket(h)]))[: prefix_length(len(h), percent)]
-                    tokens.append(h[order])
-                    nodes.append(np.full(len(order), _set_key(h), np.int64))
-                    sizes.append(np.full(len(order), len(h), np.int32))
-                    places.append(np.arange(len(order), dtype=np.int32))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "pos": np.concatenate(places)})
-
-    return run
-
-
-def _whole_sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _slices(batches):
-            sets = shingle_sets(pdf["text"].tolist(), words)
-            yield pd.DataFrame({"node": [_set_key(s) for s in sets], "bins": [suffix_histogram(s).astype("int32") for s in sets], "shingles": [s.tobytes() for s in sets]})
-
-    return run
+def _six(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, six bytes each: enough to count by, any order of shingles is exact."""
+    return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose doc_id is (not) among some ids; broadcast only if these are counted to be few."""
-    return docs.join(_few(ids), "doc_id", how)
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast a table only if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def _members(words: int) -> Callable[[pa.RecordBatch], dict]:
+    def work(part: pa.RecordBatch) -> dict:
+        sets = shingle_sets(values(part, "text"), words)
+        return {"n": [len(s) for s in sets], "node": [_set_key(s) for s in sets]}
 
+    return work
 
-def suffix_histogram(h: np.ndarray) -> np.ndarray:
-    """Shingles in each sixteenth of the hash range: differences bound the symmetric difference from below."""
-    return np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16)
 
+def _sets(words: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets in blocks of about `size` shingles; a block's number holds its partition's."""
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for part in slices(batches, "text"):
+            sets = [s for s in shingle_sets(values(part, "text"), words) if len(s)]
+            place = []
+            for s in sets:
+                if held and held + len(s) > size:
+                    block, held = block + 1, 0
+                held += len(s)
+                place.append(block)
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array(place, pa.int64()), "node": pa.array([_set_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()),
+                "bins": pa.array([suffix_histogram(s) for s in sets], pa.list_(pa.int32())), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+            })
 
-def _linked(percent: int) -> Callable[..., Column]:
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y)
-            common = both - len(np.union1d(x, y))
-            out.append(bool(100 * common >= percent * (both - common)))
-        return pd.Series(out)
+    return run
 
-    return linked
 
+def _to_ranges(ranges: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def send(block: int, sets: list[np.ndarray]) -> pa.RecordBatch:
+        """The distinct shingles of (a part of) a block, in how many of its sets each is, by hash range."""
+        h, n = np.unique(np.concatenate(sets) >> np.uint64(16) << np.uint64(16), return_counts=True)
+        place = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        cut = [slice(a, b) for a, b in zip(first, np.r_[first[1:], len(h)], strict=True)]
+        return pa.RecordBatch.from_pydict({
+            "range": pa.array(place[first].astype(np.int64), pa.int64()), "block": pa.array([block] * len(cut), pa.int64()),
+            "tokens": pa.array([_six(h[c]) for c in cut], pa.binary()), "counts": pa.array([zlib.compress(n[c].astype("<u4").tobytes(), 1) for c in cut], pa.binary()),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets, held = None, [], 0
+        for part in slices(batches, "shingles"):
+            for b, s in zip(values(part, "block"), values(part, "shingles"), strict=True):
+                if sets and (b != block or held > size):
+                    yield send(block, sets)
+                    sets, held = [], 0
+                block = b
+                sets.append(np.frombuffer(s, np.uint64))
+                held += len(sets[-1])
+        if sets:
+            yield send(block, sets)
 
-def _compare_block(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between classes of different components in one block; only as many as join components."""
-        pdf = pdf.drop_duplicates("node").sort_values("node")
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-        n = np.array([len(s) for s in sets])
-        comp = pdf["component"].to_numpy()
-        both = n[:, None] + n[None, :]
-        open_ = np.triu(comp[:, None] != comp[None, :], 1)
-        open_ &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-        bins = np.stack([suffix_histogram(s) for s in sets])
-        apart = sum(np.abs(bins[:, None, k] - bins[None, :, k]) for k in range(16))
-        open_ &= (percent + 100) * (both - apart) >= 2 * percent * both
-        a, b = np.nonzero(open_)
-        if len(a) > 4 * len(sets):
-            _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            seen = np.cumsum(count > 1) - 1
-            keep = count[place] > 1
-            row, col = np.repeat(np.arange(len(sets)), n)[keep], seen[place[keep]]
-            common = np.zeros((len(sets), len(sets)), np.float32)
-            for low in range(0, int(col.max(initial=-1)) + 1, 4096):
-                here = (col >= low) & (col < low + 4096)
-                dense = np.zeros((len(sets), 4096), np.float32)
-                dense[row[here], col[here] - low] = 1
-                common += dense @ dense.T
-            shared = common[a, b].astype(np.int64)
-        else:
-            shared = np.array([n[i] + n[j] - len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)], np.int64)
-        hit = 100 * shared >= percent * (both[a, b] - shared) if len(a) else np.zeros(0, bool)
-        root = {c: c for c in comp.tolist()}
+    return run
 
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
 
-        node, out = pdf["node"].to_numpy(), []
-        for i, j in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
-            x, y = find(int(comp[i])), find(int(comp[j]))
-            if x != y:
-                root[x] = y
-                out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _count_range(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Totals of one range's shingles; those of two or more classes go back to their blocks, with the total's level."""
+    tokens = [_from_six(t) for t in pdf["tokens"]]
+    counts = np.concatenate([np.frombuffer(zlib.decompress(c), "<u4") for c in pdf["counts"]])
+    _, place = np.unique(np.concatenate(tokens), return_inverse=True)
+    total = np.bincount(place, counts)
+    level = np.where(total > 1, np.minimum(8 * np.log2(np.maximum(total, 1)), 255), 0).astype(np.uint8)[place]  # eighths of a doubling
+    cut = np.r_[0, np.cumsum([len(t) for t in tokens])]
+    keep = level > 0
+    out = [(b, _six(t[keep[x:y]] << np.uint64(16)), level[x:y][keep[x:y]].tobytes()) for b, t, x, y in zip(pdf["block"], tokens, cut, cut[1:], strict=False)]
+    return pd.DataFrame([r for r in out if r[2]], columns=["block", "tokens", "levels"])
+
+
+def _prefixes(percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(sets: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """Prefix rows of a block: shingles of one class only come first and give no rows."""
+        if not len(known) or not len(sets):
+            return pd.DataFrame({"token": [], "node": [], "n": [], "pos": []}).astype({"token": "int64", "node": "int64", "n": "int32", "pos": "int32"})
+        tokens, levels = np.concatenate([_from_six(t) for t in known["tokens"]]), np.concatenate([np.frombuffer(v, np.uint8) for v in known["levels"]])
+        tokens, at = np.unique(tokens, return_index=True)
+        levels = levels[at]
+        h = np.concatenate([np.frombuffer(s, np.uint64) for s in sets["shingles"]])
+        n = sets["n"].to_numpy(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        short = h >> np.uint64(16)
+        place = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
+        level = np.where(tokens[place] == short, levels[place], 0)
+        order = np.lexsort((h, level, owner))  # owners are in order already: only the ranks within each change
+        pos = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+        use = (level[order] > 0) & (pos < prefix_length(n, percent)[owner])
+        own = owner[use]
+        return pd.DataFrame({"token": h[order][use].view(np.int64), "node": sets["node"].to_numpy(np.int64)[own], "n": n[own].astype(np.int32), "pos": pos[use].astype(np.int32)})
 
     return run
 
@@ -273,12 +231,9 @@ def _buckets(prefixes: DataFrame, percent: int) -> DataFrame:
     Sizes that fit differ by the threshold at most, so with size classes of that ratio they fall into
     one class or two neighbours; a bucket holds a shingle's rows of a class and of the next one.
     """
-    twice = prefixes.groupBy("token").count().where("count > 1").select("token")
-    twice = materialize(twice)
-    shared = prefixes.join(_few(twice), "token").distinct()
     width = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
     size = F.floor(F.log(F.col("n").cast("double")) / width)
-    dealt = shared.withColumn("size", F.explode(F.array(size, size - 1))).withColumn("bucket", F.xxhash64("token", "size")).select("bucket", "node", "n", "pos")
+    dealt = prefixes.distinct().withColumn("size", F.explode(F.array(size, size - 1))).select(F.xxhash64("token", "size").alias("bucket"), "node", "n", "pos")
     dealt = materialize(dealt)
     m = dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     out = materialize(dealt.join(m, "bucket"))
@@ -293,98 +248,166 @@ def _fits(x: Column, y: Column, percent: int) -> Column:
 
 
 def _candidates(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): all that fit in small buckets, and those of two leaders with the rest in larger ones."""
+    """Pairs (a, b) that fit, a being a leader of a bucket: every member of small buckets, two of larger ones."""
     me = F.struct("node", "n", "pos")
-    ends = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    ends = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"))
     small = buckets.where(F.col("m") <= SMALL).groupBy("bucket").agg(F.collect_list(me).alias("rows"))  # at most SMALL each
     small = small.select(F.explode(F.flatten(F.transform("rows", lambda x: F.transform(F.filter("rows", lambda y: (x["node"] < y["node"]) & _fits(x, y, percent)), lambda y: ends(x, y))))).alias("p")).select("p.*")
     large = buckets.where(F.col("m") > SMALL)
     leaders = large.groupBy("bucket").agg(F.min_by(me, F.xxhash64("node")).alias("one"), F.max_by(me, F.xxhash64("node")).alias("two"))
-    led = large.withColumn("me", me).join(leaders, "bucket")
-    star = [led.where(_fits(F.col("me"), F.col(c), percent)).select(ends(F.col("me"), F.col(c)).alias("p")).select("p.*") for c in ("one", "two")]
-    return small.unionByName(star[0]).unionByName(star[1]).distinct()
+    led = large.withColumn("me", me).join(few(materialize(leaders)), "bucket")
+    led = led.select(F.explode(F.filter(F.array("one", "two"), lambda x: _fits(x, F.col("me"), percent))).alias("x"), "me").select(ends(F.col("x"), F.col("me")).alias("p")).select("p.*")
+    return small.unionByName(led).distinct()
+
+
+def _verify(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (a, salt): the leader's set first (b null), then those to compare with it. One set is held."""
+        leader, own = None, np.zeros(0, np.uint64)
+        for part in slices(batches, "shingles"):
+            a, b = [], []
+            for x, salt, y, data in zip(values(part, "a"), values(part, "salt"), values(part, "b"), part.column(part.schema.get_field_index("shingles")), strict=True):
+                other = np.frombuffer(data.as_buffer(), np.uint64)
+                if y is None:
+                    leader, own = (x, salt), other.copy()
+                    continue
+                if leader != (x, salt):
+                    raise ValueError("a set to compare came without its leader")
+                common = len(own) + len(other) - len(np.union1d(own, other))
+                if 100 * common >= percent * (len(own) + len(other) - common):
+                    a.append(x)
+                    b.append(y)
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a leader, b) that link. A leader's set is sent once per chunk of partners, a partner's once per pair."""
+    sized = sets.select(F.col("node").alias("a"), F.col("n").cast("long").alias("n")).distinct()
+    chunks = pairs.groupBy("a").agg(F.count("*").alias("m")).join(sized, "a").select("a", F.ceil(F.col("m") * F.col("n") / BLOCK).alias("chunks"))
+    dealt = materialize(pairs.join(few(materialize(chunks)), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("salt")))
+    data = sets.select("node", "shingles")
+    lead = dealt.select("a", "salt").distinct().withColumn("node", F.col("a")).withColumn("b", F.lit(None).cast("long"))
+    both = dealt.select("a", "salt", F.col("b").alias("node"), "b").unionByName(lead.select("a", "salt", "node", "b"))
+    sent = data.join(few(both), "node").select("a", "salt", "b", "shingles")
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_verify(percent), "a long, b long")
+
+
+def _compare_block(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between classes of different components in one block; only as many as join components."""
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+        n = np.array([len(s) for s in sets])
+        comp, node = pdf["component"].to_numpy(), pdf["node"].to_numpy()
+        bins = np.stack([suffix_histogram(s) for s in sets]).astype(np.int32)
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for i in range(len(sets) - 1):  # a row of the comparison at a time
+            both = n[i] + n[i + 1 :]
+            open_ = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
+            open_ &= (percent + 100) * (both - np.abs(bins[i + 1 :] - bins[i]).sum(1)) >= 2 * percent * both
+            for j in (np.flatnonzero(open_) + i + 1).tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x == y:
+                    continue
+                common = int(np.isin(sets[i], sets[j], assume_unique=True, kind="sort").sum())
+                if 100 * common >= percent * (n[i] + n[j] - common):
+                    root[x] = y
+                    out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def _blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Groups (g, node, component) that cover every pair of classes of one large bucket and two components."""
-    large = buckets.where(F.col("m") > SMALL).select("bucket", "node").distinct()
-    marked = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    apart = marked.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "m")
-    left = materialize(marked.join(apart, "bucket"))
-    # buckets of one group of near copies differ little: classes that they chain together are sent once
-    head = left.groupBy("bucket").agg(F.min("node").alias("head"))
-    chained = components(left.join(head, "bucket").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    sizes = chained.groupBy("component").count().withColumn("whole", F.col("count") <= CLUSTER)
-    chained = materialize(chained.join(sizes, "component").select("node", F.col("component").alias("cluster"), "whole"))
-    placed = left.join(_few(chained), "node")
-    once = placed.where("whole").select(F.xxhash64(F.lit("cluster"), "cluster").alias("g"), "node", "component").distinct()
-    left = placed.where("not whole")
-    few = left.where(F.col("m") <= BLOCK).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("members"))  # at most BLOCK each
-    few = few.select("members").distinct().select(F.xxhash64("members").alias("g"), F.explode("members").alias("x")).select("g", "x.*")
-    wide = left.where(F.col("m") > BLOCK).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other))))
-    return materialize(once.unionByName(few).unionByName(wide.select(pair.alias("g"), "node", "component")))
+    """Groups (g, node, component) that cover every pair of classes of one large bucket and two components.
+
+    Buckets of one group of near copies differ little, so classes that they chain together are one
+    unit if they hold at most GRID shingles; other buckets are units of their own. A unit is cut
+    into parts of about GRID shingles, and every two parts meet in one group.
+    """
+    large = buckets.where(F.col("m") > SMALL).select("bucket", "node", "n").distinct()
+    marked = large.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    apart = marked.groupBy("bucket").agg(F.sum(F.col("n").cast("long")).alias("size"), F.min("node").alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    left = materialize(marked.join(apart.select("bucket", "size", "head"), "bucket"))
+    chained = components(left.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    size_of = left.select("node", "n").distinct()
+    clusters = chained.join(size_of, "node").groupBy("component").agg(F.sum(F.col("n").cast("long")).alias("all")).where(F.col("all") <= GRID)
+    whole = materialize(chained.join(clusters, "component").select("node", F.col("component").alias("cluster"), "all"))
+    placed = left.join(few(whole), "node", "left")
+    unit = F.when(F.col("cluster").isNotNull(), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("bucket"))
+    units = placed.select(unit.alias("unit"), F.ceil(F.coalesce("all", "size") / GRID).cast("int").alias("parts"), "node", "component").distinct()
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("unit", F.least(own, other), F.greatest(own, other))))
+    return materialize(units.select(pair.alias("g"), "node", "component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Classes of documents (doc_id, text) that chains of links join: doc_id, n_shingles, component_id.
+    """Classes of documents (doc_id, text) that chains of links join: key, doc_id, n_shingles, component_id, kept.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets. component_id
-    is the smallest doc_id reachable. Documents without words or text have no shingles and stand
-    alone. Repeated rows and copies fall into one class; rows with a null doc_id get a component only
-    through others. An empty table gives no rows. Other columns are not read.
+    is the smallest doc_id reachable; a row is known by its doc_id and text (key), so one doc_id on
+    different texts keeps each text's links. kept marks one document of each component, of the
+    smallest doc_id and, where texts share it, the smallest key. Documents without words or text have no shingles and
+    stand alone. Repeated rows and copies fall into one class; rows with a null doc_id link others
+    too, and a component of such rows only has a null component_id. An empty table gives no rows.
+    Other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    scanned = materialize(rows.mapInPandas(_classify(words), "doc_id long, n int, node long, block int, sketch binary"))
-    members = materialize(scanned.where("block < 0").select("doc_id", "n", "node"))
-    classes = materialize(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
-    spare = members.where("n > 0").join(classes, "node").where("doc_id <> first").select("doc_id").distinct()
-    sketch = _sketch(scanned)
-    release(scanned)
-    schema = "token long, node long, n int, pos int"
-    prefixes = materialize(_only(rows, materialize(spare), "left_anti").mapInPandas(_prefixes(sketch, words, percent), schema))
+    rows = docs.select("doc_id", "text", row_key().alias("key"))
+    members = materialize(arrow_map(rows, _members(words), "n int, node long", keep=["doc_id", "key"]))
+    classes = materialize(members.where("n > 0").groupBy("node").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first"), F.min("key").alias("key"), F.max("n").alias("n")))
+    spare = materialize(members.where("n > 0").join(classes.select("node", F.col("key").alias("rep")), "node").where("key <> rep").select("key").distinct())
+    total = classes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    size = max(BLOCK, math.isqrt(TILE * total))
+    sets = rows.join(few(spare), "key", "left_anti").select("text").mapInArrow(_sets(words, size), "block long, node long, n int, bins array<int>, shingles binary")
+    sets = materialize(sets)
+    sent = sets.select("block", "shingles").mapInArrow(_to_ranges(max(1, -(-total // size)), size), "range long, block long, tokens binary, counts binary")
+    shared = sent.groupBy("range").applyInPandas(_count_range, "block long, tokens binary, levels binary")
+    grouped = sets.select("block", "node", "n", "shingles").groupBy("block").cogroup(shared.groupBy("block"))
+    prefixes = materialize(grouped.applyInPandas(_prefixes(percent), "token long, node long, n int, pos int"))
     buckets = _buckets(prefixes, percent)
-    release(prefixes)
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """Whole sets of some classes; a repeated row repeats its set."""
-        ids = materialize(nodes.distinct().join(classes, "node").select(F.col("first").alias("doc_id")).distinct())
-        return materialize(_only(rows, ids, "left_semi").mapInPandas(_whole_sets(words), "node long, bins array<int>, shingles binary"))
+    release(prefixes, spare)
 
     pairs = materialize(_candidates(buckets, percent))
-    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-    # the suffix filter needs histograms only; whole sets go to the pairs that are left
     bins = lambda c: sets.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}"))
     apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, v: acc + v)
     both = F.aggregate("bins_a", F.lit(0), lambda acc, v: acc + v) + F.aggregate("bins_b", F.lit(0), lambda acc, v: acc + v)
-    close = materialize(pairs.join(bins("a"), "a").join(bins("b"), "b").where((percent + 100) * (both - apart) >= 2 * percent * both).select("a", "b").distinct())
-    with_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(_few(close), "a")
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    with_b = with_a.join(other.join(_few(close.select("b").distinct()), "b", "left_semi"), "b")
-    first = materialize(with_b.where(_linked(percent)("sa", "sb")).select("a", "b").distinct())
-    release(sets)
+    close = pairs.join(bins("a"), "a").join(bins("b"), "b").where((percent + 100) * (both - apart).cast("long") >= 2 * percent * both.cast("long"))
+    close = materialize(close.select("a", "b").distinct())
+    first = materialize(_linked(close, sets, percent))
     blocks = _blocks(buckets, components(first))
-    second = materialize(sets_of(blocks.select("node")).join(_few(blocks), "node").groupBy("g").applyInPandas(_compare_block(percent), "a long, b long"))
+    gathered = sets.select("node", "shingles").join(few(blocks), "node")
+    second = materialize(gathered.groupBy("g").applyInPandas(_compare_block(percent), "a long, b long"))
     final = components(first.unionByName(second))
-    named = final.join(classes, "node", "left").groupBy("component").agg(F.min("first").alias("least"))
-    of_node = classes.join(final, "node", "left").join(named, "component", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    placed = members.where("n > 0").join(of_node, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    release(sets, buckets, pairs, close)
+    named = final.join(classes, "node").groupBy("component").agg(F.min("first").alias("least"))
+    of_node = classes.join(final, "node", "left").join(named, "component", "left").select("node", F.coalesce("least", "first").alias("best"))
+    placed = members.where("n > 0").join(of_node, "node").select("key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("key") == F.col("best.key")).alias("kept"))
+    alone = members.where("n = 0").select("key", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return placed.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id. All columns stay.
 
-    Repeated rows of that doc_id stay repeated; documents without words all stay.
+    Rows that repeat that document (equal doc_id and text) stay repeated; documents without words,
+    null texts among them, all stay. An empty table gives no rows.
     """
-    found = near_duplicates(docs, words, percent)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return _only(docs, gone, "left_anti").select(*docs.columns)
+    key = scratch(docs, "key_")
+    gone = materialize(near_duplicates(docs, words, percent).where("not kept").select(F.col("key").alias(key)).distinct())
+    return docs.withColumn(key, row_key()).join(few(gone), key, "left_anti").select(*docs.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key", "kept")
