@@ -1,9 +1,11 @@
 """Operator 2: best-fit packing with bound-certified repacking.
 
-Pieces are dealt to groups of about GROUP pieces, each packed best-fit decreasing on its own. Dual
-feasible functions bound a group's bins from below; a group at its bound is certified. Groups with
-a gap give up their emptiest bins, certified ones those with room to spare; what was given up is
-dealt again, mixed across groups, and packed anew until one group is left. Everything else is final.
+Pieces are dealt to groups of about GROUP pieces (more if they are tiny: a group fills FEWEST bins or
+more), each packed best-fit decreasing on its own. Dual feasible functions bound a group's bins from
+below; a group at its bound is certified. Groups with a gap give up their emptiest bins, certified
+ones those with room to spare, at most half of all; what was given up is dealt again, mixed across
+groups, and packed anew until one group is left. Everything else is final and carries its group's
+number of bins and bound.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 import tiktoken
@@ -23,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm.common import materialize, table
+from sluice.llm.common import arrow_map, byte_symbols, materialize, table, values
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value of the tokenizer
 GROUP = 4096  # pieces a group, on average
-CACHE = 400_000  # distinct words a worker remembers before it starts afresh
+FEWEST = 64  # bins that a group fills at least, on average
+CACHE = 200_000  # distinct words a worker remembers before it starts afresh
 
 
 class WordEncoder:
@@ -45,9 +49,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+        back = byte_symbols()
         special, suffix = {t["content"] for t in spec["added_tokens"]}, spec["model"]["end_of_word_suffix"]
         ranks = {}
         for token, i in spec["model"]["vocab"].items():
@@ -89,22 +91,18 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join([seen[w] for w in words]), "<u4") for words in split]
 
 
-def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int, with_ids: bool) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), 500):
-            part = pdf.iloc[at : at + 500]
-            rows = []
-            for doc_id, ids in zip(part["doc_id"], encode_texts(part["text"].tolist(), path), strict=True):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                for n, start in enumerate(range(0, len(ids), capacity)):
-                    piece = ids[start : start + capacity]
-                    rows.append((doc_id, n, start, len(piece), zlib.crc32(piece.tobytes()), *((piece.astype("int32"),) if with_ids else ())))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"doc_id": "Int64"})
-
-
 def cut_pieces(docs: DataFrame, path: str, capacity: int, with_ids: bool) -> DataFrame:
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(partial(_pieces, path=path, capacity=capacity, with_ids=with_ids), schema)
+    def work(part: pa.RecordBatch) -> dict:
+        out = {c: [] for c in ("row_", "piece", "start", "length", "ids_crc32", "ids")}
+        for row, ids in enumerate(encode_texts(values(part, "text"), path)):
+            ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+            for n, start in enumerate(range(0, len(ids), capacity)):
+                piece = ids[start : start + capacity]
+                for c, v in zip(out, (row, n, start, len(piece), zlib.crc32(piece.tobytes()), piece.astype("int32")), strict=True):
+                    out[c].append(v)
+        return out
+
+    return arrow_map(docs.select("doc_id", "text"), work, "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, keep=["doc_id"])
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,13 +149,15 @@ def _pack_group(pdf: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "row"])
     lengths = pdf["length"].to_numpy()
     bins, offsets, fill = best_fit(lengths, capacity)
-    gap = len(fill) - lower_bound(lengths, capacity)
+    bound = lower_bound(lengths, capacity)
+    gap = len(fill) - bound
     given = np.zeros(len(fill), bool)
     if not last:
-        # the emptiest go: by the gap, and of bins with a fiftieth or more to spare up to a quarter of all
+        # the emptiest go: by the gap, and of bins with a fiftieth or more to spare up to a quarter of all; half of all at most
         spare = min(int((fill < capacity - capacity // 50).sum()), len(fill) // 4)
-        given[np.argsort(fill, kind="stable")[: max(8, 2 * gap + 1, spare) if gap else max(1, spare)]] = True
-    return pd.DataFrame({"row": pdf["row"].to_numpy(), "length": lengths, "group": pdf["group"].to_numpy(), "bin": bins, "offset": offsets, "given": given[bins], "gap": gap})
+        most = max(8, 2 * gap + 1, spare) if gap else max(1, spare)
+        given[np.argsort(fill, kind="stable")[: min(most, len(fill) // 2)]] = True
+    return pd.DataFrame({"row": pdf["row"].to_numpy(), "length": lengths, "group": pdf["group"].to_numpy(), "bin": bins, "offset": offsets, "given": given[bins], "bins": len(fill), "bound": bound})
 
 
 def _packer(capacity: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -165,17 +165,22 @@ def _packer(capacity: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Sequence and offset of each piece (row, length): row, sequence_id, offset."""
-    full = pieces.where(F.col("length") == capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    """Sequence and offset of each piece (row, length), with the certificate of the group that placed it.
+
+    Returns row, sequence_id, offset, group_bins and group_bound: the bins that the group's last packing
+    took and the fewest that any could take. A full piece is a group of its own. Each round leaves at
+    most half of the bins, so rounds grow with the logarithm of the input.
+    """
+    full = pieces.where(F.col("length") == capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("group_bins"), F.lit(1).cast("long").alias("group_bound"))
     done, pool, step = [full], pieces.where(F.col("length") < capacity).select("row", "length"), 0
     while True:
-        n = pool.count()
-        groups = max(1, -(-n // group))
+        n, tokens = pool.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = max(1, min(-(-n // group), tokens // (FEWEST * capacity)))
         pack = _packer(capacity, groups == 1)
         dealt = pool.withColumn("group", F.pmod(F.xxhash64("row", F.lit(step)), F.lit(groups)))
-        packed = materialize(dealt.groupBy("group").applyInPandas(pack, "row long, length long, group long, bin long, offset long, given boolean, gap long"))
-        sequence = F.shiftleft(F.lit(step + 1).cast("long"), 56) + F.shiftleft(F.col("group"), 16) + F.col("bin")
-        done.append(packed.where("not given").select("row", sequence.alias("sequence_id"), "offset"))
+        packed = materialize(dealt.groupBy("group").applyInPandas(pack, "row long, length long, group long, bin long, offset long, given boolean, bins long, bound long"))
+        sequence = F.shiftleft(F.lit(step + 1).cast("long"), 56) + F.shiftleft(F.col("group"), 24) + F.col("bin")
+        done.append(packed.where("not given").select("row", sequence.alias("sequence_id"), "offset", F.col("bins").alias("group_bins"), F.col("bound").alias("group_bound")))
         if groups == 1:
             break
         pool, step = packed.where("given").select("row", "length"), step + 1
@@ -188,9 +193,10 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most `capacity` tokens, an end id after each document.
 
-    Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if
-    asked for. Only documents longer than a sequence are cut. A null or empty text is the end id alone.
-    Repeated rows are packed once each; an empty table gives no rows. Other columns are not read.
+    Returns a row per piece: doc_id, piece, start, length, ids_crc32, ids if asked for, sequence_id,
+    offset, and the certificate group_bins, group_bound. Only documents longer than a sequence are
+    cut. A null or empty text is the end id alone, so tables of tiny texts pack by tokens. Repeated
+    rows are packed once each; an empty table gives no rows. Other columns are not read.
     """
     path = path or public_tokenizers.path(TOKENIZER)
     pieces = materialize(cut_pieces(docs, path, capacity, with_ids).withColumn("row", F.monotonically_increasing_id()))
