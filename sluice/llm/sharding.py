@@ -3,9 +3,10 @@
 Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours and stay in one
 shard unless a boundary must fall inside their group. The splitters are found by counting exact
 bytes below probes: each round divides the open interval of every unsettled splitter into
-FANOUT parts and counts the bytes of each part in one aggregation. A splitter settles once a
-probe is within the tolerance of its target. A group of equal texts too large for the tolerance
-is probed further by doc_id. Rows are then exchanged once, to get their slots.
+2**FANOUT_BITS parts and counts the bytes of each part in one aggregation. A splitter settles once a
+probe is within the tolerance of its target, or next to it stands one row. A group of equal texts
+too large for the tolerance is probed further by doc_id, in the same rounds. Rows are then
+exchanged once, to get their slots.
 """
 
 from __future__ import annotations
@@ -16,84 +17,74 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import scratch, table
+from sluice.llm.common import materialize, scratch, table
 
 SHARDS = 16
 TOLERANCE = 0.0005  # of a shard's mean bytes
-FANOUT_BITS = 8  # 256 probes an interval and round: at most 15 * 256 counts reach the driver
+FANOUT_BITS = 8  # 256 probes an interval and round
 SLOT_BINS = 256  # row numbers are dealt per (shard, bin): no task holds a whole shard
-LOW, HIGH = -(1 << 63), 1 << 63
+LOW = -(1 << 63)
 
 
-def _parts(key: Column, intervals: list[tuple[int, int]]) -> Column:
-    """(interval, part) of a key in disjoint intervals [low, low + 2**bits)."""
+def _parts(intervals: list[tuple[int | None, int, int]]) -> Column:
+    """(interval, part) of a row (k, d) in disjoint intervals (group, low, bits): [low, low + 2**bits) of k, or of d inside one k."""
     cases = []
-    for i, (low, bits) in enumerate(intervals):
+    for i, (group, low, bits) in enumerate(intervals):
         step = max(bits - FANOUT_BITS, 0)
-        # low is aligned, so XOR gives the distance from it; the bits are those of an unsigned value
-        away = key.bitwiseXOR(F.lit(low if low < HIGH else low - (1 << 64)))
+        # low is aligned, so XOR gives the distance from it; flipping the sign bit makes the signed order unsigned
+        away = F.col("k" if group is None else "d").bitwiseXOR(F.lit(_signed(low)))
         inside = F.shiftrightunsigned(away, bits) == 0 if bits < 64 else F.lit(True)
-        part = F.shiftrightunsigned(away, step)
-        cases.append(F.when(inside, F.struct(F.lit(i).alias("i"), part.alias("part"))))
+        if group is not None:
+            inside = (F.col("k") == F.lit(_signed(group))) & inside
+        cases.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(away, step).alias("part"))))
     return F.coalesce(*cases)
 
 
-def _search(rows: DataFrame, key: Column, targets: list[int], tolerance: float) -> list[tuple[int, bool]]:
-    """For each target: the boundary (unsigned 64-bit) whose bytes below come closest, and whether within tolerance.
+def _splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int | None]]:
+    """Boundaries (key, doc key or None): a row is at or above one if its key is larger, or equal with a doc key at or above.
 
-    Only (interval, part, bytes) of open intervals reaches the driver. Intervals are aligned, so
-    those of different targets are equal or disjoint.
+    Each round divides the open interval of every unsettled boundary in one aggregation. Intervals
+    are aligned, so those of different boundaries are equal or disjoint. An interval of one key is
+    divided by the rows' doc keys; one row cannot be divided.
     """
-    state = [{"low": 0, "bits": 64, "below": 0, "best": None} for _ in targets]
-    open_ = list(range(len(targets)))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    slack = tolerance * total / shards
+    state = [{"target": total * i // shards, "at": (None, 0, 64), "below": 0, "best": None} for i in range(1, shards)]
+    open_ = state if total else []
     while open_:
-        spans = sorted({(state[t]["low"], state[t]["bits"]) for t in open_})
-        part = _parts(key, [(low, bits) for low, bits in spans])
-        counted = rows.select(part.alias("p"), "size").where("p is not null").groupBy("p").agg(F.sum("size").alias("n"))
-        found: dict[int, dict[int, int]] = {}
-        for r in counted.collect():
-            found.setdefault(r["p"]["i"], {})[r["p"]["part"]] = r["n"]
+        spans = sorted({s["at"] for s in open_}, key=lambda a: (a[0] is not None, a[0] or 0, a[1], a[2]))
+        bounds = [F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("d").alias("d0"), F.max("d").alias("d1")]
+        counted = rows.select(_parts(spans).alias("p"), "size", "k", "d").where("p is not null").groupBy("p").agg(F.sum("size").alias("n"), *bounds)
+        found: dict[int, list] = {}
+        for r in counted.collect():  # at most shards * 2**FANOUT_BITS rows
+            found.setdefault(r["p"]["i"], []).append(r)
         still = []
-        for t in open_:
-            s = state[t]
-            step = max(s["bits"] - FANOUT_BITS, 0)
-            below, low = s["below"], s["low"]
-            chosen = None
-            for part_no, n in sorted(found.get(spans.index((s["low"], s["bits"])), {}).items()):
-                at = low + (part_no << step)
-                for edge, value in ((at, below), (at + (1 << step), below + n)):
-                    gap = abs(value - targets[t])
+        for s in open_:
+            group, low, bits = s["at"]
+            step, below, chosen = max(bits - FANOUT_BITS, 0), s["below"], None
+            for r in sorted(found.get(spans.index(s["at"]), []), key=lambda r: r["p"]["part"]):
+                at = low + (r["p"]["part"] << step)
+                for edge, value in ((at, below), (at + (1 << step), below + r["n"])):
+                    gap = abs(value - s["target"])
                     if s["best"] is None or gap < s["best"][0]:
-                        s["best"] = (gap, edge)
-                if below <= targets[t] < below + n:
-                    chosen = (at, below)
-                below += n
-            if s["best"] is None or s["best"][0] <= tolerance or chosen is None or step == 0:
-                s["low"] = chosen[0] if chosen else low
-                s["below"] = chosen[1] if chosen else s["below"]
+                        s["best"] = (gap, (edge, None) if group is None else (group, edge))
+                if below <= s["target"] < below + r["n"]:
+                    chosen = (at, below, r)
+                below += r["n"]
+            if s["best"][0] <= slack or chosen is None:
                 continue
-            s["low"], s["below"], s["bits"] = chosen[0], chosen[1], step
-            still.append(t)
+            at, s["below"], r = chosen
+            if r["d0"] == r["d1"] and r["k0"] == r["k1"]:
+                continue  # one row, or repeats of it, which stay together
+            one_key = group is None and r["k0"] == r["k1"]
+            s["at"] = (_unsigned(r["k0"]), 0, 64) if one_key else (group, at, step)
+            still.append(s)
         open_ = still
-    return [(s["best"][1] if s["best"] else 1 << 64, s["best"] is None or s["best"][0] <= tolerance, s["low"], s["below"]) for s in state]
+    return [s["best"][1] if s["best"] else (1 << 64, None) for s in state]
 
 
-def _splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int | None]]:
-    """Boundaries (key, doc key or None): a row is at or above one if its key is larger, or equal with a doc key at or above."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    targets = [total * i // shards for i in range(1, shards)]
-    # flip the sign bit, so that the unsigned order is the signed order
-    key = F.col("k").bitwiseXOR(F.lit(LOW))
-    out = []
-    slack = tolerance * total / shards
-    for target, (edge, settled, low, below) in zip(targets, _search(rows, key, targets, slack), strict=True):
-        if settled:
-            out.append((edge, None))
-        else:  # one key holds the target: look inside it, by doc_id
-            inside = rows.where(F.col("k") == _signed(low))
-            cut = _search(inside, F.col("d").bitwiseXOR(F.lit(LOW)), [target - below], slack)[0]
-            out.append((low, cut[0]))
-    return out
+def _unsigned(signed: int) -> int:
+    return signed - LOW
 
 
 def _signed(unsigned: int) -> int:
@@ -135,8 +126,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
     bounds = _splitters(probe, shards, tolerance)
     shard = reduce(lambda a, b: a + b, [_above(F.col("k"), F.col("d"), b).cast("int") for b in bounds], F.lit(0))
     bin_ = F.pmod(F.xxhash64("d", "k", F.lit(1)), F.lit(SLOT_BINS)).cast("int")
-    counts = probe.groupBy(shard.alias("shard"), bin_.alias("bin")).count()
     # at most shards * SLOT_BINS rows: running offsets in one small window, then broadcast
+    counts = materialize(probe.groupBy(shard.alias("shard"), bin_.alias("bin")).count())
+    probe.unpersist()
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("shard").alias("s_"), F.col("bin").alias("b_"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset_"))
     k, d = F.col(names["k_"]), F.col(names["d_"])
