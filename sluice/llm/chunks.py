@@ -13,17 +13,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import table
+from sluice.llm.common import arrow_map, materialize, slices, table, values
 
 SHORTEST, USUAL, LONGEST = 16, 48, 192  # bytes
 STRICT, LOOSE = np.uint32(0b1111111 << 25), np.uint32(0b1111 << 28)  # top bits: they depend on the most bytes
 REACH = 32  # bytes that one hash value depends on
-DOCS_PER_BIN = 2_000
+RANGE_CHARS = 12 << 20  # characters of a range of doc_ids, on average
 _rng = np.random.Generator(np.random.PCG64(20240601))
 GEAR = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)  # fixed by its seed: fingerprints compare across runs
 
@@ -91,20 +92,20 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
     return sum(a[d] for d in a.keys() & b.keys()) / total if total else 1.0
 
 
+def _prints(part: pa.RecordBatch) -> dict:
+    texts = [t or "" for t in values(part, "text")]
+    sets = [chunk_set(t.encode()) for t in texts]
+    signed = [[{"digest": d - (1 << 64) if d >> 63 else d, "length": n} for d, n in sorted(s.items())] for s in sets]
+    return {"n_chars": [len(t) for t in texts], "fingerprint": [fingerprint(s) for s in sets], "chunks": signed}
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint, chunks (array of digest and length) of every document.
+    """doc_id, n_chars, fingerprint, chunks (array of digest and length) of every document (doc_id, text).
 
     A null text counts as empty; the empty text has the empty fingerprint. Repeated rows give equal
-    rows. Other columns are not read.
+    rows, an empty table none. Other columns are not read.
     """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [chunk_set((t or "").encode()) for t in pdf["text"]]
-            signed = [[(d - (1 << 64) if d >> 63 else d, n) for d, n in sorted(s.items())] for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": [len(t or "") for t in pdf["text"]], "fingerprint": [fingerprint(s) for s in sets], "chunks": signed})
-
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_chars long, fingerprint string, chunks array<struct<digest:long,length:int>>")
+    return arrow_map(docs.select("doc_id", "text"), _prints, "n_chars long, fingerprint string, chunks array<struct<digest:long,length:int>>", keep=["doc_id"])
 
 
 def edited(text: str, following: str) -> str:
@@ -113,56 +114,72 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (bin, place); each is compared with the row after it in the same bin."""
-    kept = None  # doc_id, text, chunks of the row whose neighbour is still to come
-    for pdf in batches:
+RESULT = {
+    "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string",
+    "near_edited": "double", "near_next": "double",
+}
+EDGE = RESULT | {"part": "int", "last": "boolean", "text": "string"}  # and the first and last row of a range, for the neighbours across it
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _row(doc_id: int | None, text: str, own: dict[int, int], following: str, chunks: dict[int, int]) -> tuple:
+    data = edited(text, following).encode()
+    other = chunk_set(data)
+    return doc_id, len(text), hashlib.sha256(data).hexdigest(), fingerprint(own), fingerprint(other), containment(own, other), containment(own, chunks)
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in columns.items())
+
+
+def _batch(rows: list[tuple], columns: dict[str, str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[t]) for i, t in enumerate(columns.values())], names=list(columns))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted range: each row against the one after it; the first and the last row come out as edges."""
+    number, kept = TaskContext.get().partitionId(), None
+    blank = (None, None, None)
+    for part in slices(batches, "text"):
         out = []
-        for bin_, guest, doc_id, text in zip(pdf["bin_"], pdf["guest"], pdf["doc_id"], pdf["text"], strict=True):
-            text = text or ""
+        for doc_id, text in zip(values(part, "doc_id"), values(part, "text"), strict=True):
             chunks = chunk_set(text.encode())
-            if kept is not None and kept[0] == bin_:
-                _, before_id, before, own = kept
-                new = edited(before, text)
-                data = new.encode()
-                other = chunk_set(data)
-                out.append((before_id, len(before), hashlib.sha256(data).hexdigest(), fingerprint(own), fingerprint(other), containment(own, other), containment(own, chunks)))
-            kept = None if guest else (bin_, doc_id, text, chunks)
-        yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+            if kept is None:
+                out.append((doc_id, *[None] * 6, number, False, text))
+            else:
+                out.append((*_row(*kept, text, chunks), *blank))
+            kept = (doc_id, text, chunks)
+        yield _batch(out, EDGE)
+    if kept is not None:
+        yield _batch([(kept[0], *[None] * 6, number, True, kept[1])], EDGE)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        rows = zip(values(part, "doc_id"), values(part, "text"), values(part, "following"), strict=True)
+        yield _batch([_row(i, t, chunk_set(t.encode()), f, chunk_set(f.encode())) for i, t, f in rows], RESULT)
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprint every document (doc_id, text) and its edited text, and compare it with both neighbours.
 
     The next document is the one with the next smaller doc_id; after the smallest comes the largest.
-    Equal doc_ids follow in order of their text's hash; a null doc_id comes last. Documents are dealt
-    into bins by ranges of doc_id; the first of each bin also goes, as a guest, to the end of the bin
-    before it. One document is its own neighbour. An empty table gives no rows.
+    Equal doc_ids follow in order of their text's hash; a null doc_id comes last; a null text counts
+    as empty. Documents are dealt once, into sorted ranges; only the first and the last row of a
+    range meet those of other ranges. One document is its own neighbour. An empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    count = ids.count()
-    bins = max(1, -(-count // DOCS_PER_BIN))
-    share = [i / bins for i in range(1, bins)]
-    cuts = sorted(set((ids.agg(F.percentile_approx("doc_id", share, max(10_000, 20 * bins)).alias("q")).first()["q"] or []) if share else []))
-
-    @F.pandas_udf("int")
-    def bin_of(doc_id: pd.Series) -> pd.Series:  # bins run against doc_id: bin 0 has the largest
-        return pd.Series(len(cuts) - np.searchsorted(cuts, doc_id.to_numpy("int64", na_value=-(1 << 63)), side="left"))
-
-    low = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    dealt = rows.withColumn("bin_", bin_of("doc_id")).withColumn("place", F.struct(-(low + 1), F.xxhash64("text")))
-    # the first place of each bin: one small row a bin
-    narrow = dealt.groupBy("bin_").agg(F.min("place").alias("place"))
-    heads = sorted((r["bin_"], r["place"]) for r in narrow.collect())
-    before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}
-    firsts = dealt.sparkSession.createDataFrame([(b, p[0], p[1], before[b]) for b, p in heads], "b int, p0 long, p1 long, to int")
-    names = dealt.select("place.*").columns
-    flat = dealt.select("bin_", "doc_id", "text", F.col(f"place.{names[0]}").alias("p0"), F.col(f"place.{names[1]}").alias("p1"))
-    guests = flat.join(F.broadcast(firsts), ["p0", "p1"]).where("b = bin_").dropDuplicates(["p0", "p1"])  # one row a bin
-    both = flat.select("bin_", F.lit(False).alias("guest"), "doc_id", "text", "p0", "p1").unionByName(guests.select(F.col("to").alias("bin_"), F.lit(True).alias("guest"), "doc_id", "text", "p0", "p1"))
-    laid = both.repartition(max(1, len(heads)), "bin_").sortWithinPartitions("bin_", "guest", "p0", "p1").select("bin_", "guest", "doc_id", "text")
-    return laid.mapInPandas(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    size = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    order = [F.col("doc_id").desc_nulls_last(), F.col("place").asc()]
+    dealt = rows.withColumn("place", F.xxhash64("text")).repartitionByRange(max(1, -(-size // RANGE_CHARS)), *order).sortWithinPartitions(*order)
+    found = materialize(dealt.select("doc_id", "text").mapInArrow(_compare, _ddl(EDGE)))
+    edges = found.where("part is not null")
+    heads = edges.where("not last").select(F.col("part").alias("to"), F.col("text").alias("following"))
+    # one number a range: which range comes next, the first after the last
+    ring = Window.orderBy("part")
+    numbers = edges.where("last").select("part").withColumn("to", F.coalesce(F.lead("part").over(ring), F.min("part").over(Window.partitionBy(F.lit(1)))))
+    pairs = edges.where("last").select("part", "doc_id", "text").join(numbers, "part").join(heads, "to").select("doc_id", "text", "following")
+    return found.where("part is null").select(*RESULT).unionByName(pairs.mapInArrow(_across, _ddl(RESULT)))
 
 
 def op9_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
