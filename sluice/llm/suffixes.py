@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialize, release, scratch, table
+from sluice.llm.common import arrow_map, few, materialize, powers, release, row_key, scratch, slices, table, values
 
 LENGTH = 200
 GRAM = 32
@@ -27,29 +27,14 @@ WORK = 2 << 20  # bytes handled at a time
 PLACES = 24  # low bits of a sliding minimum hold the place; the upper ones order the k-grams
 GROUP_BYTES = 2 << 20  # of contexts sorted together
 WIDEST = 5_000  # an anchor with more different contexts is counted window by window instead
-BROADCAST_ROWS = 1_000_000  # more keys than this are joined by a shuffle
 _R = 0xD1342543DE82EF95  # odd multiplier of the rolling hash
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for r in (_R, pow(_R, -1, 1 << 64)):
-        p = np.ones(n, np.uint64)
-        done = 1
-        while done < n:
-            more = min(done, n - done)
-            p[done : done + more] = p[:more] * np.uint64(pow(r, done, 1 << 64))
-            done += more
-        out.append(p)
-    return out[0], out[1]
-
-
 class Rolling:
     """Hashes of stretches of a buffer."""
 
     def __init__(self, buf: np.ndarray) -> None:
-        self.p, self.q = _powers(1 << max(22, int(len(buf)).bit_length()))
+        self.p, self.q = powers(_R, 1 << max(20, int(len(buf)).bit_length()))
         self.total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.p[: len(buf)], out=self.total[1:])
 
@@ -86,21 +71,17 @@ def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return gram[anchor[first]].view(np.int64), roll(first, end).view(np.int64) ^ (end - first), first, end
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out: list[pd.DataFrame] = []
-        held = 0
-        for key, text in zip(pdf["key"], pdf["text"], strict=True):
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of every text, WORK bytes at a time; the strings that start in one part are all in it."""
+    for part in slices(batches, "text", size=WORK // 4):
+        out: list[tuple[np.ndarray, ...]] = []
+        for key, text in zip(values(part, "key"), values(part, "text"), strict=True):
             data = text.encode()
             for low in range(0, max(len(data) - LENGTH + 1, 0), WORK):
                 g, h, start, end = contexts(data[low : low + WORK + LENGTH - 1])
-                out.append(pd.DataFrame({"key": key, "g": g, "h": h, "start": (start + low).astype(np.int32), "end": (end + low).astype(np.int32)}))
-                held += len(g)
-            if held > 200_000:
-                yield pd.concat(out)
-                out, held = [], 0
+                out.append((np.full(len(g), key, np.int64), g, h, (start + low).astype(np.int32), (end + low).astype(np.int32)))
         if out:
-            yield pd.concat(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "g", "h", "start", "end"])
 
 
 def two_stage_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -229,34 +210,26 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key, "start": np.arange(start, start + n, dtype=np.int32), "digest": [hashlib.sha256(piece[i : i + LENGTH]).digest() for i in range(n)]})
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast a table only if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    return docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-
-
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """key (hash of doc_id and text), start, end: bytes of each document (doc_id, text) that repeated strings cover.
 
     Rows of one key may overlap. Texts shorter than LENGTH bytes, empty and null ones have none.
     Repeated rows count as occurrences of their own, and share a key.
     """
-    rows = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "text").where(F.octet_length(F.encode("text", "UTF-8")) >= LENGTH)
-    found = materialize(rows.mapInPandas(_scan, "key long, g long, h long, start int, end int"))
+    rows = docs.select(row_key().alias("key"), "text").where(F.octet_length(F.encode("text", "UTF-8")) >= LENGTH)
+    found = materialize(rows.mapInArrow(_scan, "key long, g long, h long, start int, end int"))
     anchors = materialize(found.groupBy("g").count().where("count > 1").select("g"))
-    again = materialize(found.join(_few(anchors), "g"))
+    again = materialize(found.join(few(anchors), "g"))
     release(found)
     one = F.struct("key", "start", "end")
     kinds = materialize(again.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(one).alias("one")))
-    copied = again.join(kinds.where("n > 1").select("g", "h"), ["g", "h"], "left_semi").select("key", "start", "end")
+    # beyond a broadcast, adaptive execution splits the rows of a passage that very many documents hold
+    copied = again.join(few(kinds.where("n > 1").select("g", "h")), ["g", "h"], "left_semi").select("key", "start", "end")
     # one of each different context goes to the sort; anchors with very many go window by window
     several = materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g", (F.col("kinds") > WIDEST).alias("wide")))
-    sample = kinds.join(_few(several), "g").select("g", "one.*", (F.col("n") == 1).alias("lone"), "wide")
+    sample = kinds.join(few(several), "g").select("g", "one.*", (F.col("n") == 1).alias("lone"), "wide")
     wanted = materialize(sample.groupBy("key").agg(F.collect_list(F.struct("start", "end", "g", "lone", "wide")).alias("wanted")))  # at most a document's contexts
-    texts = rows.join(_few(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    texts = rows.join(few(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"])
     pieces = texts.join(wanted.hint("shuffle_hash"), "key").mapInPandas(_cut_pieces, "key long, start int, g long, lone boolean, wide boolean, piece binary")
     pieces = materialize(pieces)
     size = sample.where("not wide").agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
@@ -280,16 +253,16 @@ def merged(found: list, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def _apply(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
+def _apply(docs: DataFrame, finish: Callable[[pa.RecordBatch, str], dict], schema: str, keep: list[str]) -> DataFrame:
     """finish over all documents with their stretches; those without any are not shuffled."""
     key, spans = scratch(docs, "key_"), scratch(docs, "spans_")
-    found = repeated_stretches(docs).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias(spans)).withColumnRenamed("key", key)
+    found = repeated_stretches(docs).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias(spans)).withColumnRenamed("key", key)  # at most a document's stretches
     found = materialize(found)
-    keyed = _keyed(docs, key)
-    keys = _few(found.select(key))
+    keyed = docs.withColumn(key, row_key())
+    keys = few(found.select(key))
     clean = keyed.join(keys, key, "left_anti").withColumn(spans, F.array().cast("array<struct<start:int,end:int>>"))
     hit = keyed.join(keys, key, "left_semi").join(found.hint("shuffle_hash"), key).select(*clean.columns)
-    return clean.unionByName(hit).drop(key).mapInPandas(lambda batches: (finish(pdf, spans) for pdf in batches), schema)
+    return arrow_map(clean.unionByName(hit).drop(key), lambda part: finish(part, spans), schema, keep)
 
 
 def _kept(text: str | None, spans: list) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -302,28 +275,29 @@ def _kept(text: str | None, spans: list) -> tuple[bytes, int, list[tuple[int, in
     return b"".join([*kept, data[at:]]), len(data), gone
 
 
-def _digests(pdf: pd.DataFrame, spans: str) -> pd.DataFrame:
-    rows = []
-    for doc_id, text, found in zip(pdf["doc_id"], pdf["text"], pdf[spans], strict=True):
-        kept, size, gone = _kept(text, found)
-        rows.append((doc_id, size, size - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _digests(part: pa.RecordBatch, spans: str) -> dict:
+    found = [_kept(t, s) for t, s in zip(values(part, "text"), values(part, spans), strict=True)]
+    return {"n_bytes": [n for _, n, _ in found], "n_removed": [n - len(k) for k, n, _ in found], "n_spans": [len(g) for _, _, g in found], "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in found]}
 
 
-def _texts(pdf: pd.DataFrame, spans: str) -> pd.DataFrame:
-    kept = [_kept(t, s)[0].decode("utf-8", "ignore") if t is not None else None for t, s in zip(pdf["text"], pdf[spans], strict=True)]
-    return pdf.drop(columns=spans).assign(text=kept)
+def _texts(part: pa.RecordBatch, spans: str) -> dict:
+    return {"left_": [_kept(t, s)[0].decode("utf-8", "ignore") if t is not None else None for t, s in zip(values(part, "text"), values(part, spans), strict=True)]}
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents without bytes that repeated strings cover; all columns stay.
 
-    A character that a cut would split goes whole. Null texts stay null; an empty table gives no rows.
+    A character that a cut would split goes whole. All copies of a repeated row lose their bytes.
+    Null texts stay null, empty and short ones as they are; an empty table gives no rows.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _apply(docs, _texts, schema)
+    left = scratch(docs, "left_")
+    cut = _apply(docs, lambda part, spans: {left: _texts(part, spans)["left_"]}, f"{left} string", [c for c in docs.columns if c.lower() != "text"])
+    return cut.withColumnRenamed(left, "text").select(*docs.columns)
+
+
+DIGESTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents, as digests."""
-    return _apply(table(spark, sf_dir, "documents").select("doc_id", "text"), _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _apply(table(spark, sf_dir, "documents").select("doc_id", "text"), _digests, DIGESTS, ["doc_id"])
