@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm.common import table
+from sluice.llm.common import arrow_map, table, values
 
 BLOCK = 1024  # samples a frame
 UNIT = 64  # payloads are padded to a multiple of this
@@ -339,63 +338,64 @@ def feature(payload: bytes) -> str:
     return f"{len(x)};{x.mean():.4f};{x.std():.4f};{int(((x[1:] < 0) != (x[:-1] < 0)).sum())};{energy}"
 
 
-def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Stretches of rows with about `most` bytes."""
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
-def _to_media(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = pdf["text"].tolist()
-        for a, b in _runs([len(t or "") + UNIT for t in texts], WORK):
-            payloads = [pad(t) for t in texts[a:b]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "n_bytes": [len((t or "").encode()) for t in texts[a:b]], "media": encode_streams(payloads)})
+def _to_media(part: pa.RecordBatch) -> dict:
+    texts = values(part, "text")
+    return {"n_bytes": [len((t or "").encode()) for t in texts], "media": encode_streams([pad(t) for t in texts])}
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (a FLAC stream) of every document (doc_id, text).
 
     A null or empty text gives one unit of zero bytes. Equal texts give equal streams; repeated rows
-    give equal rows. Other columns are not read.
+    give equal rows; an empty table gives none. Other columns are not read.
     """
-    return docs.select("doc_id", "text").mapInPandas(_to_media, "doc_id long, n_bytes long, media binary")
+    return arrow_map(docs.select("doc_id", "text"), _to_media, "n_bytes long, media binary", keep=["doc_id"])
+
 
+def pcm_blocks(stream: bytes, payload: bytes) -> list[tuple[int, bytes]]:
+    """PCM blocks of a decoded stream, each with the sample it starts at: seeking to a sample reads one block."""
+    size = int.from_bytes(stream[8:10], "big")  # the stream's own block size
+    return [(at, (np.frombuffer(payload[at : at + size], np.uint8) ^ 128).tobytes()) for at in range(0, len(payload), size)]
 
-def _to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for a, b in _runs([len(m) for m in pdf["media"]], WORK):
-            rows = []
-            for doc_id, p in zip(pdf["doc_id"].iloc[a:b], decode_streams(pdf["media"].iloc[a:b].tolist()), strict=True):
-                rows += [(doc_id, i // BLOCK, i, len(p[i : i + BLOCK]), (np.frombuffer(p[i : i + BLOCK], np.uint8) ^ 128).tobytes()) for i in range(0, len(p), BLOCK)]
-            yield pd.DataFrame(rows, columns=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+
+def _to_blocks(part: pa.RecordBatch) -> dict:
+    media = values(part, "media")
+    out = {c: [] for c in ("row_", "block", "sample_offset", "n_samples", "pcm")}
+    for row, (m, p) in enumerate(zip(media, decode_streams(media), strict=True)):
+        for block, (at, pcm) in enumerate(pcm_blocks(m, p)):
+            for c, v in zip(out, (row, block, at, len(pcm), pcm), strict=True):
+                out[c].append(v)
+    return out
 
 
 def decode_blocks(media: DataFrame) -> DataFrame:
-    """Signed 8-bit PCM blocks of media rows (doc_id, media), each with the sample it starts at."""
-    return media.select("doc_id", "media").mapInPandas(_to_blocks, "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
+    """Signed 8-bit PCM blocks of media rows (doc_id, media), each with the sample it starts at.
+
+    media must not be null; a broken checksum raises. Repeated rows give their blocks again; an empty
+    table gives no rows.
+    """
+    return arrow_map(media.select("doc_id", "media"), _to_blocks, "block int, sample_offset long, n_samples int, pcm binary", keep=["doc_id"], by="media")
 
 
-def _summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        media = pdf["media"].tolist()
-        for a, b in _runs([len(m) for m in media], WORK):
-            back = decode_streams(media[a:b])
-            yield pdf[["doc_id", "n_bytes"]].iloc[a:b].assign(
-                payload_bytes=[len(p) for p in back], payload_sha256=[hashlib.sha256(p).hexdigest() for p in back], tail_crc32=[zlib.crc32(p[-UNIT:]) for p in back],
-                media_bytes=[len(m) for m in media[a:b]], media_sha256=[hashlib.sha256(m).hexdigest() for m in media[a:b]], feature=[feature(p) for p in back],
-            )
+def _summary(part: pa.RecordBatch) -> dict:
+    media = values(part, "media")
+    blocks = [pcm_blocks(m, p) for m, p in zip(media, decode_streams(media), strict=True)]
+    back = [(np.frombuffer(b"".join(pcm for _, pcm in b), np.uint8) ^ 128).tobytes() for b in blocks]
+    return {
+        "payload_bytes": [len(p) for p in back], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in back], "tail_crc32": [zlib.crc32(p[-UNIT:]) for p in back],
+        "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": [feature(p) for p in back],
+        "n_blocks": [len(b) for b in blocks], "blocks_crc32": [zlib.crc32(b"".join(at.to_bytes(8, "little") + zlib.crc32(pcm).to_bytes(4, "little") for at, pcm in b)) for b in blocks],
+    }
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Read the stored streams back: digests of payload and stream, and a feature of the decoded signal."""
-    return media.mapInPandas(_summary, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Read the stored streams back as PCM blocks: digests of payload, blocks and stream, and a feature of the signal.
+
+    blocks_crc32 covers each block's sample offset and CRC-32. media must not be null; repeated rows
+    give equal rows, an empty table none.
+    """
+    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int, blocks_crc32 long"
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), _summary, schema, keep=["doc_id", "n_bytes"], by="media")
 
 
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
