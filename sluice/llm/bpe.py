@@ -12,17 +12,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import table
+from sluice.llm.common import arrow_map, byte_symbols, table, values
 
 TOKENIZER = "byte_bpe_50k.json"
 SEGMENT = 65_536  # characters encoded in one call
@@ -35,9 +36,7 @@ def load(path: str) -> tuple[tiktoken.Encoding, list[str], regex.Pattern]:
     """The encoder of a byte-level tokenizer file, decimal strings of its ids, and its special tokens as a pattern."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    back = byte_symbols()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     enc = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -114,11 +113,12 @@ def _finish(ids: list[list[int]], enc: tiktoken.Encoding, names: list[str], dige
     return {"ids": ids, "decoded": [enc.decode_bytes(x).decode("utf-8", "replace") for x in ids]}
 
 
-def _encode_whole(batches: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[pd.DataFrame]:
-    enc, names, _ = load(path)
-    for pdf in batches:
-        ids = [encode(t, enc) if t else [] for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"]} | _finish(ids, enc, names, digest))
+def _encode_whole(path: str, digest: bool) -> Callable[[pa.RecordBatch], dict]:
+    def work(part: pa.RecordBatch) -> dict:
+        enc, names, _ = load(path)
+        return _finish([encode(t, enc) if t else [] for t in values(part, "text")], enc, names, digest)
+
+    return work
 
 
 def _split(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
@@ -156,7 +156,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = Fa
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     long_ = (F.length("text") > SEGMENT) | F.col("text").rlike(rf"\S{{{LEAF // 4}}}|\s{{{LEAF // 4}}}")
-    whole = rows.where(~long_).mapInPandas(partial(_encode_whole, path=path, digest=digest), f"doc_id long, {out}")
+    whole = arrow_map(rows.where(~long_), _encode_whole(path, digest), out, keep=["doc_id"])
     # identity of a row: its id and text; repeated rows are numbered out by their count
     far = rows.where(long_).groupBy("doc_id", "text").count().withColumn("row", F.struct("doc_id", F.sha2("text", 256).alias("h"), "count"))
     far = far.select(F.to_json("row", {"ignoreNullFields": "false"}).alias("row"), "text")

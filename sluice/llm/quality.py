@@ -3,21 +3,21 @@
 Features are counts and ratios of a whole text, cut into bins at quantiles of a bounded labelled
 sample. Training boosts cyclically: each round visits every feature in turn and adds a shrunken
 shallow tree over its bins to that feature's lookup table. The strongest residual pairs then get
-tables of their own, boosted the same way. Scoring adds table entries, vectorised over a batch.
+tables of their own, boosted the same way by trees that split one feature and then the other.
+Scoring adds table entries, vectorised over a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import table
+from sluice.llm.common import arrow_map, scratch, table, values
 
 SAMPLE_ROWS = 12_000  # bound of the labelled sample that the model is fitted on
 BINS = 32
@@ -113,6 +113,25 @@ def _step(grad: np.ndarray, hess: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
+def _pair_step(grad: np.ndarray, hess: np.ndarray) -> tuple[float, np.ndarray]:
+    """Gain and values of the best tree of four leaves over a grid: a split of the rows, then one of the columns on either side."""
+
+    def half(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
+        g, h = np.cumsum(g), np.cumsum(h)
+        left, right = g[:-1] ** 2 / (h[:-1] + PRIOR), (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + PRIOR)
+        k = int((left + right).argmax())
+        out = np.full(len(g), (g[-1] - g[k]) / (h[-1] - h[k] + PRIOR))
+        out[: k + 1] = g[k] / (h[k] + PRIOR)
+        return float(left[k] + right[k]), out
+
+    best = (-1.0, 0, None, None)
+    for cut in range(1, len(grad)):
+        above, below = half(grad[:cut].sum(0), hess[:cut].sum(0)), half(grad[cut:].sum(0), hess[cut:].sum(0))
+        if above[0] + below[0] > best[0]:
+            best = (above[0] + below[0], cut, above[1], below[1])
+    return best[0], np.vstack([np.tile(best[2], (best[1], 1)), np.tile(best[3], (len(grad) - best[1], 1))])
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     """Boost on the sample. Without both classes the model is a constant: the prior, or 0.5 without rows."""
     mean = (y.sum() + 1) / (len(y) + 2)
@@ -134,33 +153,25 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
             z += step[b]
     rough = [np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(model.coarse)]
     p = 1 / (1 + np.exp(-z))
-    gains = []
-    for a in range(len(rough)):
-        for b in range(a):
-            cell = rough[a] * PAIR_BINS + rough[b]
-            g, h = np.bincount(cell, y - p, PAIR_BINS**2), np.bincount(cell, p * (1 - p), PAIR_BINS**2)
-            gains.append((float((g**2 / (h + PRIOR)).sum()), a, b))
+    grid = lambda a, b, v: np.bincount(rough[a] * PAIR_BINS + rough[b], v, PAIR_BINS**2).reshape(PAIR_BINS, PAIR_BINS)
+    gains = [(_pair_step(grid(a, b, y - p), grid(a, b, p * (1 - p)))[0], a, b) for a in range(len(rough)) for b in range(a)]
     model.pairs = [(a, b) for _, a, b in sorted(gains, reverse=True)[:PAIRS]]
     model.pair_tables = [np.zeros((PAIR_BINS, PAIR_BINS)) for _ in model.pairs]
     for _ in range(ROUNDS // 3):
         for k, (a, b) in enumerate(model.pairs):
             p = 1 / (1 + np.exp(-z))
-            cell = rough[a] * PAIR_BINS + rough[b]
-            g, h = np.bincount(cell, y - p, PAIR_BINS**2), np.bincount(cell, p * (1 - p), PAIR_BINS**2)
-            step = RATE * g / (h + PRIOR)
-            model.pair_tables[k] += step.reshape(PAIR_BINS, PAIR_BINS)
-            z += step[cell]
+            step = RATE * _pair_step(grid(a, b, y - p), grid(a, b, p * (1 - p)))[1]
+            model.pair_tables[k] += step
+            z += step[rough[a], rough[b]]
     return model
 
 
-def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"y": pdf["y"].astype("float64"), "x": list(features(pdf["text"].tolist()))})
+def _features(part: pa.RecordBatch) -> dict:
+    return {"x": list(features(values(part, "text")))}
 
 
-def _score_rows(batches: Iterator[pd.DataFrame], model: AdditiveModel) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.drop(columns="text").assign(score=model.score(features(pdf["text"].tolist())))
+def _scorer(model: AdditiveModel, name: str) -> Callable[[pa.RecordBatch], dict]:
+    return lambda part: {name: model.score(features(values(part, "text")))}
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -176,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # sample_rows ids: a proven bound for the broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
-    found = rows.mapInPandas(_feature_rows, "y double, x array<float>").orderBy(F.xxhash64("x", "y")).limit(2 * sample_rows).toPandas()
+    found = arrow_map(rows, _features, "x array<float>", keep=["y"]).orderBy(F.xxhash64("x", "y")).limit(2 * sample_rows).toPandas()
     x = np.array(found["x"].tolist(), np.float32).reshape(len(found), len(FEATURES))
     return fit(x, found["y"].to_numpy(float))
 
@@ -187,18 +198,18 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     Empty and null texts have zero features and get a score like any other; repeated rows get equal
     scores; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInPandas(partial(_score_rows, model=model), "doc_id long, score double")
+    return arrow_map(docs.select("doc_id", "text"), _scorer(model, "score"), "score double", keep=["doc_id"])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least the threshold, with the input's columns."""
-    model = train(docs, labels)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(features(texts.tolist())))
+    """The documents that score at least the threshold, with the input's columns.
 
-    return docs.where(score("text") >= threshold)
+    Null and empty texts have a score like any other; repeated rows stay or go together; without
+    usable labels every score is 0.5, so all stay. An empty table gives no rows.
+    """
+    score = scratch(docs, "score_")
+    scored = arrow_map(docs, _scorer(train(docs, labels), score), f"{score} double", keep=docs.columns)
+    return scored.where(F.col(score) >= threshold).select(*docs.columns)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

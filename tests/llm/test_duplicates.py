@@ -110,7 +110,7 @@ def test_suffix_dedup(spark, monkeypatch, widest):
     passage, other = say(80), say(120)
     texts = [say(60) + passage + say(30), passage, say(20) + passage[:230] + say(40), other, other, say(50) + passage[37:] + other[:300], "a" * 450, "ab" * 210, say(10), "", None, passage + passage]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    out = suffixes._apply(docs, suffixes._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    out = suffixes._apply(docs, suffixes._digests, suffixes.DIGESTS, ["doc_id"]).collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out}
     assert got == dict(enumerate(brute_kept(texts)))
 

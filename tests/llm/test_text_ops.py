@@ -236,8 +236,8 @@ def test_fingerprints(spark, docs, monkeypatch):
     for i, (doc_id, text) in enumerate(rows):
         following = rows[i - 1][1]  # descending ids; before the first comes the last
         want[doc_id] = hashlib.sha256(chunks.edited(text, following).encode()).hexdigest()
-    for size in (2000, 3):
-        monkeypatch.setattr(chunks, "DOCS_PER_BIN", size)
+    for size in (1 << 20, 5000):
+        monkeypatch.setattr(chunks, "RANGE_CHARS", size)
         got = chunks.compare_neighbours(some).collect()
         assert {r["doc_id"]: r["edited_sha256"] for r in got} == want and len(got) == len(rows)
     base = " ".join(f"word{i * 7919 % 1000}" for i in range(800)).encode()
