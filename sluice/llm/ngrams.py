@@ -1,7 +1,7 @@
 """Operator 6: Jaccard join on word shingles, rare first.
 
 Texts become sets of hashed three-word shingles; equal sets form one class. The shingles of all
-classes are counted exactly: blocks of sets send their distinct shingles to hash ranges, each range
+classes are counted exactly: blocks of texts send their distinct shingles to hash ranges, each range
 adds them up, and what occurs in two or more classes goes back to the blocks that hold it. A class's
 shingles are then ordered rarest first, and of the prefix that a partner at the threshold must share
 only shingles with a second class become rows. Candidates pass a length, a positional and a suffix
@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ from sluice.llm.components import components
 
 WORDS = 3
 PERCENT = 90  # two sets link when 100 * intersection >= PERCENT * union
-BLOCK = 1 << 19  # shingles of a block of sets, of a counted range, and of a chunk compared with one leader
+BLOCK = 1 << 19  # shingles of a block of texts, of a counted range, and of a chunk compared with one leader
 TILE = 64  # shingles that a block sends to a range, on average, at least: blocks and ranges grow with the root of the input
 GRID = 1 << 18  # shingles of one side of a block comparison
 SMALL = 8  # in buckets up to this size every member is a leader, in larger ones two are
@@ -141,52 +140,28 @@ def _members(words: int) -> Callable[[pa.RecordBatch], dict]:
     return work
 
 
-def _sets(words: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets in blocks of about `size` shingles; a block's number holds its partition's."""
-        block, held = TaskContext.get().partitionId() << 32, 0
-        for part in slices(batches, "text"):
-            sets = [s for s in shingle_sets(values(part, "text"), words) if len(s)]
-            place = []
-            for s in sets:
-                if held and held + len(s) > size:
-                    block, held = block + 1, 0
-                held += len(s)
-                place.append(block)
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array(place, pa.int64()), "node": pa.array([_set_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()),
-                "bins": pa.array([suffix_histogram(s) for s in sets], pa.list_(pa.int32())), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
-            })
+def _whole_sets(words: int) -> Callable[[pa.RecordBatch], dict]:
+    def work(part: pa.RecordBatch) -> dict:
+        sets = shingle_sets(values(part, "text"), words)
+        return {"bins": [suffix_histogram(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
-    return run
+    return work
 
 
-def _to_ranges(ranges: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def send(block: int, sets: list[np.ndarray]) -> pa.RecordBatch:
-        """The distinct shingles of (a part of) a block, in how many of its sets each is, by hash range."""
+def _to_ranges(words: int, ranges: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The distinct shingles of a block, in how many of its sets each is, by hash range."""
+        sets = shingle_sets(pdf.drop_duplicates("key")["text"].tolist(), words)
         h, n = np.unique(np.concatenate(sets) >> np.uint64(16) << np.uint64(16), return_counts=True)
         place = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         cut = [slice(a, b) for a, b in zip(first, np.r_[first[1:], len(h)], strict=True)]
-        return pa.RecordBatch.from_pydict({
-            "range": pa.array(place[first].astype(np.int64), pa.int64()), "block": pa.array([block] * len(cut), pa.int64()),
-            "tokens": pa.array([_six(h[c]) for c in cut], pa.binary()), "counts": pa.array([zlib.compress(n[c].astype("<u4").tobytes(), 1) for c in cut], pa.binary()),
+        return pd.DataFrame({
+            "range": place[first].astype(np.int64), "block": pdf["block"].iloc[0],
+            "tokens": [_six(h[c]) for c in cut], "counts": [zlib.compress(n[c].astype("<u4").tobytes(), 1) for c in cut],
         })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sets, held = None, [], 0
-        for part in slices(batches, "shingles"):
-            for b, s in zip(values(part, "block"), values(part, "shingles"), strict=True):
-                if sets and (b != block or held > size):
-                    yield send(block, sets)
-                    sets, held = [], 0
-                block = b
-                sets.append(np.frombuffer(s, np.uint64))
-                held += len(sets[-1])
-        if sets:
-            yield send(block, sets)
-
-    return run
+    return send
 
 
 def _count_range(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -202,16 +177,16 @@ def _count_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([r for r in out if r[2]], columns=["block", "tokens", "levels"])
 
 
-def _prefixes(percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(sets: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _prefixes(words: int, percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Prefix rows of a block: shingles of one class only come first and give no rows."""
-        if not len(known) or not len(sets):
+        if not len(known) or not len(docs):
             return pd.DataFrame({"token": [], "node": [], "n": [], "pos": []}).astype({"token": "int64", "node": "int64", "n": "int32", "pos": "int32"})
         tokens, levels = np.concatenate([_from_six(t) for t in known["tokens"]]), np.concatenate([np.frombuffer(v, np.uint8) for v in known["levels"]])
         tokens, at = np.unique(tokens, return_index=True)
         levels = levels[at]
-        h = np.concatenate([np.frombuffer(s, np.uint64) for s in sets["shingles"]])
-        n = sets["n"].to_numpy(np.int64)
+        sets = shingle_sets(docs.drop_duplicates("key")["text"].tolist(), words)
+        h, n, node = np.concatenate(sets), np.array([len(s) for s in sets]), np.array([_set_key(s) for s in sets])
         owner = np.repeat(np.arange(len(n)), n)
         short = h >> np.uint64(16)
         place = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
@@ -220,7 +195,7 @@ def _prefixes(percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFra
         pos = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
         use = (level[order] > 0) & (pos < prefix_length(n, percent)[owner])
         own = owner[use]
-        return pd.DataFrame({"token": h[order][use].view(np.int64), "node": sets["node"].to_numpy(np.int64)[own], "n": n[own].astype(np.int32), "pos": pos[use].astype(np.int32)})
+        return pd.DataFrame({"token": h[order][use].view(np.int64), "node": node[own], "n": n[own].astype(np.int32), "pos": pos[use].astype(np.int32)})
 
     return run
 
@@ -283,15 +258,14 @@ def _verify(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a leader, b) that link. A leader's set is sent once per chunk of partners, a partner's once per pair."""
-    sized = sets.select(F.col("node").alias("a"), F.col("n").cast("long").alias("n")).distinct()
+    sized = classes.select(F.col("node").alias("a"), F.col("n").cast("long").alias("n"))
     chunks = pairs.groupBy("a").agg(F.count("*").alias("m")).join(sized, "a").select("a", F.ceil(F.col("m") * F.col("n") / BLOCK).alias("chunks"))
     dealt = materialize(pairs.join(few(materialize(chunks)), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("salt")))
-    data = sets.select("node", "shingles")
     lead = dealt.select("a", "salt").distinct().withColumn("node", F.col("a")).withColumn("b", F.lit(None).cast("long"))
     both = dealt.select("a", "salt", F.col("b").alias("node"), "b").unionByName(lead.select("a", "salt", "node", "b"))
-    sent = data.join(few(both), "node").select("a", "salt", "b", "shingles")
+    sent = sets.select("node", "shingles").join(few(both), "node").select("a", "salt", "b", "shingles")
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -369,27 +343,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spare = materialize(members.where("n > 0").join(classes.select("node", F.col("key").alias("rep")), "node").where("key <> rep").select("key").distinct())
     total = classes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     size = max(BLOCK, math.isqrt(TILE * total))
-    sets = rows.join(few(spare), "key", "left_anti").select("text").mapInArrow(_sets(words, size), "block long, node long, n int, bins array<int>, shingles binary")
-    sets = materialize(sets)
-    sent = sets.select("block", "shingles").mapInArrow(_to_ranges(max(1, -(-total // size)), size), "range long, block long, tokens binary, counts binary")
-    shared = sent.groupBy("range").applyInPandas(_count_range, "block long, tokens binary, levels binary")
-    grouped = sets.select("block", "node", "n", "shingles").groupBy("block").cogroup(shared.groupBy("block"))
-    prefixes = materialize(grouped.applyInPandas(_prefixes(percent), "token long, node long, n int, pos int"))
+    blocks = max(1, -(-total // size))
+    # one shuffle of the texts serves both the counting and the prefixes
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
+    texts = rows.join(few(spare), "key", "left_anti").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(block, "key", "text").groupBy("block")
+    shared = texts.applyInPandas(_to_ranges(words, blocks), "range long, block long, tokens binary, counts binary").groupBy("range").applyInPandas(_count_range, "block long, tokens binary, levels binary")
+    prefixes = materialize(texts.cogroup(shared.groupBy("block")).applyInPandas(_prefixes(words, percent), "token long, node long, n int, pos int"))
     buckets = _buckets(prefixes, percent)
     release(prefixes, spare)
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Whole sets of some classes; a repeated row repeats its set."""
+        keys = materialize(nodes.distinct().join(classes, "node").select("key", "node"))
+        return materialize(arrow_map(rows.join(few(keys), "key").select("node", "text"), _whole_sets(words), "bins array<int>, shingles binary", keep=["node"]))
+
     pairs = materialize(_candidates(buckets, percent))
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     bins = lambda c: sets.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}"))
     apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, v: acc + v)
     both = F.aggregate("bins_a", F.lit(0), lambda acc, v: acc + v) + F.aggregate("bins_b", F.lit(0), lambda acc, v: acc + v)
     close = pairs.join(bins("a"), "a").join(bins("b"), "b").where((percent + 100) * (both - apart).cast("long") >= 2 * percent * both.cast("long"))
     close = materialize(close.select("a", "b").distinct())
-    first = materialize(_linked(close, sets, percent))
-    blocks = _blocks(buckets, components(first))
-    gathered = sets.select("node", "shingles").join(few(blocks), "node")
-    second = materialize(gathered.groupBy("g").applyInPandas(_compare_block(percent), "a long, b long"))
+    first = materialize(_linked(close, sets, classes, percent))
+    release(sets, pairs, close)
+    groups = _blocks(buckets, components(first))
+    rest = sets_of(groups.select("node"))
+    second = materialize(rest.select("node", "shingles").join(few(groups), "node").groupBy("g").applyInPandas(_compare_block(percent), "a long, b long"))
+    release(rest, buckets, groups)
     final = components(first.unionByName(second))
-    release(sets, buckets, pairs, close)
     named = final.join(classes, "node").groupBy("component").agg(F.min("first").alias("least"))
     of_node = classes.join(final, "node", "left").join(named, "component", "left").select("node", F.coalesce("least", "first").alias("best"))
     placed = members.where("n > 0").join(of_node, "node").select("key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("key") == F.col("best.key")).alias("kept"))
