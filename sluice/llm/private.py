@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import materialize, scratch, table
-from sluice.llm.spans import SPANS, as_spans, chars, hits, joined, redact
+from sluice.llm.spans import SPANS, as_spans, blank, chars, hits, joined, redact
 
 # The start conditions keep long runs linear; \G admits a match that begins where the last one ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -63,19 +63,6 @@ def _entity(kind: str) -> Callable[[Column], Column]:
     return lambda e: F.xxhash64(F.lit(kind), same(e["hit"]))
 
 
-def _blank(t: Column, base: Column) -> Column:
-    """The text with spaces in place of its values: what is left keeps its offsets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        fresh = F.greatest(acc["at"], s["start"])
-        gap = F.substring(t, acc["at"] + 1, fresh - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.repeat(F.lit(" "), F.greatest(s["end"] - fresh, F.lit(0)))).alias("out"))
-
-    done = F.aggregate(F.array_sort(base), start, add, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return F.when(F.size(base) == 0, t).otherwise(done)
-
-
 def _words(bare: Column) -> Column:
     return F.regexp_extract_all(bare, F.lit(WORD), F.lit(0))
 
@@ -146,7 +133,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     scanned = materialize(found.select("doc_id", "key", base))
 
     # a word holds no space: in one string the words of a text move in fewer bytes than as an array
-    words = F.array_join(F.array_distinct(F.transform(_words(_blank(t, F.col("base"))), lambda w: F.lower(w))), " ")
+    words = F.array_join(F.array_distinct(F.transform(_words(blank(t, F.col("base"))), lambda w: F.lower(w))), " ")
     texts = found.select("copy", "text", base, entities.alias("entities")).select("copy", "base", "entities", words.alias("words"))
     texts = materialize(texts.groupBy("copy").agg(*[F.first(c).alias(c) for c in ("base", "entities", "words")]))
     terms = materialize(_disclosing(texts))
@@ -157,7 +144,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     told = texts.select("copy", _term()).join(_few(terms, n_terms), "term")
     of = lambda sure: F.collect_list(F.when(F.col("determines") == sure, F.col("term")))
     told = materialize(told.groupBy("copy").agg(of(True).alias("remove"), of(False).alias("general")).join(texts.select("copy", "base"), "copy"))
-    marked = rows.select("key", "copy", "text").join(_few(told, told.count()), "copy").select("key", _blank(t, F.col("base")).alias("bare"), "remove", "general")
+    marked = rows.select("key", "copy", "text").join(_few(told, told.count()), "copy").select("key", blank(t, F.col("base")).alias("bare"), "remove", "general")
     extra = marked.select("key", _places(F.col("bare"), F.col("remove"), F.col("general")).alias("extra")).groupBy("key").agg(F.first("extra").alias("extra"))
     return scanned.select("doc_id", "key", "base").join(extra, "key", "left").select("doc_id", "key", "base", F.coalesce("extra", F.array().cast(SPANS)).alias("extra"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import materialize, table
-from sluice.llm.spans import SPANS, as_spans, chars, hits, joined
+from sluice.llm.spans import SPANS, as_spans, blank, chars, hits, joined
 
 TOKENS = "array<struct<start:int,end:int,body:string>>"
 KEYS = "(?i:password|passwd|secret|token|api_?key)"
@@ -159,11 +159,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     assign = F.filter(hits(t, ASSIGN, ASSIGN_LONG, group=1), lambda x: F.length(x["value"]) >= 12)
     base = F.concat(as_spans(assign, "assign", 0), as_spans(hits(t, ACCESS), "access", 1), as_spans(hits(t, HEX), "hex", 2))
     words = F.lower(F.array_join(F.regexp_extract_all(t, F.lit(ORDINARY), F.lit(0)), ""))
-    found = rows.select("doc_id", base.alias("base"), hits(t, TOKEN).alias("tokens"), words.alias("words"))
-    apart = F.filter("tokens", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    # tokens are searched for in what the base spans leave, so that none is held against each span
+    found = rows.select("doc_id", "text", base.alias("base"), words.alias("words")).select("doc_id", "base", hits(blank(t, F.col("base")), TOKEN).alias("tokens"), "words")
     letters = F.array(*[(F.length("words") - F.length(F.translate("words", c, ""))).cast("long") for c in _L])
     # what is stored holds no token: its symbols are sorted
-    scanned = materialize(found.select("doc_id", "base", _battery(apart).alias("tokens"), letters.alias("letters")))
+    scanned = materialize(found.select("doc_id", "base", _battery(F.col("tokens")).alias("tokens"), letters.alias("letters")))
     ordinary, capitals = (F.create_map(*[F.lit(x) for kv in logs.items() for x in kv]) for logs in _frequencies(scanned))
 
     def against(x: Column, law: Column) -> Column:

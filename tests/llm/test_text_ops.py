@@ -281,3 +281,16 @@ def test_quality(spark, data, docs):
 def test_edges(spark, docs, run):
     assert run(docs).count() == docs.count()
     assert run(edge.empty(spark)).count() == 0
+
+
+def test_many_spans(spark):
+    """More matches than a chunk of running values holds, next to each other and apart."""
+    texts = ["x ".join(f"a{i}@b.co" for i in range(n)) for n in (255, 256, 257, 700)] + [" ".join(["1.2.3.4", "é", "4111 1111 1111 1111", "u@v.wx"] * 300)]
+    got = private.find_private(text_table(spark, texts)).select("doc_id", joined(F.col("base")).alias("b")).collect()
+    assert {r["doc_id"]: r["b"] for r in got} == {i: private_spans(t) for i, t in enumerate(texts)}
+    clean = {r["doc_id"]: r["text"] for r in private.sanitise(text_table(spark, texts)).collect()}
+    assert clean[3] == " ".join(["<EMAIL>"] * 700)
+    assert clean[4] == " ".join(["<IP>", "é", "<CARD>", "<EMAIL>"] * 300)
+    keys = [" ".join(f"{i:016x}" for i in range(600))]
+    got = secrets.scan_secrets(text_table(spark, keys)).select(joined(F.col("base")).alias("b")).collect()
+    assert got[0]["b"] == secret_spans(keys[0])
