@@ -23,9 +23,9 @@ from sluice.llm.common import arrow_map, few, materialize, powers, release, row_
 
 LENGTH = 200
 GRAM = 32
-WORK = 2 << 20  # bytes handled at a time
+WORK = 1 << 20  # bytes handled at a time
 PLACES = 24  # low bits of a sliding minimum hold the place; the upper ones order the k-grams
-GROUP_BYTES = 2 << 20  # of contexts sorted together
+GROUP_BYTES = 1 << 19  # of contexts sorted together
 WIDEST = 5_000  # an anchor with more different contexts is counted window by window instead
 _R = 0xD1342543DE82EF95  # odd multiplier of the rolling hash
 
@@ -193,21 +193,25 @@ def _sort_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["key", "start", "end"])
 
 
-def _cut_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for low in range(0, len(pdf), 200):
-            rows = []
-            for key, text, wanted in zip(pdf["key"].iloc[low : low + 200], pdf["text"].iloc[low : low + 200], pdf["wanted"].iloc[low : low + 200], strict=True):
-                data = text.encode()
-                rows += [(key, w["start"], w["g"], w["lone"], w["wide"], data[w["start"] : w["end"]]) for w in wanted]
-            yield pd.DataFrame(rows, columns=["key", "start", "g", "lone", "wide", "piece"])
+def _cut_pieces(part: pa.RecordBatch) -> dict:
+    out = {c: [] for c in ("row_", "start", "g", "lone", "wide", "piece")}
+    for row, (text, wanted) in enumerate(zip(values(part, "text"), values(part, "wanted"), strict=True)):
+        data = text.encode()
+        for w in wanted:
+            for c, v in zip(out, (row, w["start"], w["g"], w["lone"], w["wide"], data[w["start"] : w["end"]]), strict=True):
+                out[c].append(v)
+    return out
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for key, start, piece in zip(pdf["key"], pdf["start"], pdf["piece"], strict=True):
-            n = len(piece) - LENGTH + 1
-            yield pd.DataFrame({"key": key, "start": np.arange(start, start + n, dtype=np.int32), "digest": [hashlib.sha256(piece[i : i + LENGTH]).digest() for i in range(n)]})
+def _windows(part: pa.RecordBatch) -> dict:
+    """Digest of every string of LENGTH bytes of some pieces."""
+    out = {c: [] for c in ("row_", "start", "digest")}
+    for row, (start, piece) in enumerate(zip(values(part, "from"), values(part, "piece"), strict=True)):
+        n = len(piece) - LENGTH + 1
+        out["row_"] += [row] * n
+        out["start"] += range(start, start + n)
+        out["digest"] += [hashlib.sha256(piece[i : i + LENGTH]).digest() for i in range(n)]
+    return out
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
@@ -230,13 +234,12 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     sample = kinds.join(few(several), "g").select("g", "one.*", (F.col("n") == 1).alias("lone"), "wide")
     wanted = materialize(sample.groupBy("key").agg(F.collect_list(F.struct("start", "end", "g", "lone", "wide")).alias("wanted")))  # at most a document's contexts
     texts = rows.join(few(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    pieces = texts.join(wanted.hint("shuffle_hash"), "key").mapInPandas(_cut_pieces, "key long, start int, g long, lone boolean, wide boolean, piece binary")
-    pieces = materialize(pieces)
+    pieces = materialize(arrow_map(texts.join(wanted.hint("shuffle_hash"), "key"), _cut_pieces, "start int, g long, lone boolean, wide boolean, piece binary", keep=["key"]))
     size = sample.where("not wide").agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
     groups = max(1, -(-size // GROUP_BYTES))
     dealt = pieces.where("not wide").withColumn("group", F.pmod(F.xxhash64("g"), F.lit(groups)))
     sorted_ = dealt.groupBy("group").applyInPandas(_sort_group, "key long, start int, end int")
-    windows = pieces.where("wide").mapInPandas(_windows, "key long, start int, digest binary")
+    windows = arrow_map(pieces.where("wide").select("key", F.col("start").alias("from"), "piece"), _windows, "start int, digest binary", keep=["key"], by="piece")
     twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     counted = windows.join(twice, "digest", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("end"))
     return copied.unionByName(sorted_).unionByName(counted)
