@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,12 @@ from sluice.sources.files import explode_lines, parse_diffs
 
 ALLOW = r"(?i)leak-scan:\s*allow\b"
 CONSTANT_SETS = 32  # up to so many distinct deny sets are constants of the plan; more are joined as columns
+BROADCAST_ROWS = 100_000  # tables of more rows than this are joined by a shuffle
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Broadcast a table only if it is counted to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _fold(regex: Column | str) -> Column:
@@ -47,15 +53,18 @@ def scan_lines(lines: DataFrame, deny_sets: DataFrame, globs: list[str] | None =
     if allow_token:
         rows = rows.where(~allowed_by_comment("line", allow_token))
     sets = deny_sets.select("combined", "strict").distinct().limit(CONSTANT_SETS + 1).collect()
-    with_set = rows.join(F.broadcast(deny_sets.select("repo", "combined", "strict")), "repo")  # a row a repository
     regex = F.when(F.col("path_exempt"), F.col("strict")).otherwise(F.col("combined"))
     out = [c for c in rows.columns if c != "path_exempt"]
     if len(sets) > CONSTANT_SETS:
+        with_set = rows.join(deny_sets.select("repo", "combined", "strict"), "repo")  # the pattern texts are not broadcast
         return _match(with_set.withColumn("re", regex).where("re <> ''"), F.col("re")).select(*out, "path_exempt", "match", "column")
+    # lines carry the number of their pattern; the texts are constants of the plan
     texts = sorted({s["combined"] for s in sets} | {s["strict"] for s in sets} - {""})
-    chosen = with_set.withColumn("re", regex)
-    match = F.coalesce(*[F.when(F.col("re") == t, F.regexp_extract("line", f"(?iu){t}", 0)) for t in texts], F.lit("")) if texts else F.lit("")
-    place = F.coalesce(*[F.when(F.col("re") == t, F.regexp_instr("line", F.lit(f"(?iu){t}"))) for t in texts], F.lit(0)) if texts else F.lit(0)
+    number = lambda c: F.coalesce(*[F.when(F.col(c) == t, F.lit(i)) for i, t in enumerate(texts)], F.lit(-1)) if texts else F.lit(-1)
+    numbered = deny_sets.select("repo", number("combined").alias("all_"), number("strict").alias("strict_"))
+    chosen = rows.join(few(numbered), "repo").withColumn("re", F.when(F.col("path_exempt"), F.col("strict_")).otherwise(F.col("all_")))
+    match = F.coalesce(*[F.when(F.col("re") == i, F.regexp_extract("line", f"(?iu){t}", 0)) for i, t in enumerate(texts)], F.lit("")) if texts else F.lit("")
+    place = F.coalesce(*[F.when(F.col("re") == i, F.regexp_instr("line", F.lit(f"(?iu){t}"))) for i, t in enumerate(texts)], F.lit(0)) if texts else F.lit(0)
     return chosen.withColumn("match", match).where("match <> ''").withColumn("column", place).select(*out, "path_exempt", "match", "column")
 
 
@@ -63,7 +72,7 @@ def attribute(hits: DataFrame, scoped: DataFrame) -> DataFrame:
     """O32. Stem and id of the first pattern, in the set's order, that matches the matched text; null where none does."""
     p = scoped.select("repo", "stem", "ord", "pattern")
     texts = hits.select("repo", "match").distinct()
-    pairs = texts.join(F.broadcast(p), "repo").where(F.rlike("match", F.concat(F.lit("(?iu)"), F.col("pattern"))))
+    pairs = texts.join(few(p), "repo").where(F.rlike("match", F.concat(F.lit("(?iu)"), F.col("pattern"))))
     first = pairs.groupBy("repo", "match").agg(F.min_by(F.struct("stem", "pattern"), F.struct(stem_order(), "stem", "ord")).alias("p"))
     named = first.select("repo", "match", F.col("p.stem").alias("engagement"), pattern_id("p.stem", "p.pattern").alias("pattern_id"))
     return hits.join(named, ["repo", "match"], "left")
@@ -78,47 +87,55 @@ def is_placeholder(match: Column | str) -> Column:
     return (F.col(match) if isinstance(match, str) else match).rlike(f"(?i){PLACEHOLDER}")
 
 
-def _resume(always: str, combined: str, strict: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    known = re.compile(PLACEHOLDER.replace(r"\z", r"\Z"), re.I)
+@lru_cache(maxsize=64)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.I)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first_always = re.compile(always, re.I) if always else None
-        both = {False: re.compile(combined, re.I), True: re.compile(strict, re.I) if strict else None}
-        for pdf in batches:
-            out = []
-            for i, (line, exempt) in enumerate(zip(pdf["line"], pdf["path_exempt"], strict=True)):
-                at, hidden, found = 0, 0, None
-                while both[bool(exempt)] and (m := both[bool(exempt)].search(line, at)) and m[0]:
-                    if first_always and first_always.search(m[0]) and known.search(m[0]):
-                        hidden, at = hidden + 1, m.start() + 1
-                        continue
-                    found = m
-                    break
-                column = len(line[: found.start()].encode("utf-16-le")) // 2 + 1 if found else None
-                out.append((i, found[0] if found else None, column, hidden))
-            done = pd.DataFrame(out, columns=["i", "match", "column", "suppressed"]).drop(columns="i")
-            yield pd.concat([pdf.drop(columns=["match", "column"]).reset_index(drop=True), done.astype({"column": "Int32"})], axis=1)
 
-    return run
+def _resume(line: pd.Series, regex: pd.Series, always: pd.Series) -> pd.DataFrame:
+    """The first match that is no placeholder of the always patterns, and how many such came before it."""
+    known, out = _compiled(PLACEHOLDER.replace(r"\z", r"\Z")), []
+    for text, pattern, own in zip(line, regex, always, strict=True):
+        at, hidden, found = 0, 0, None
+        while pattern and (m := _compiled(pattern).search(text, at)) and m[0]:
+            if not (own and _compiled(own).search(m[0]) and known.search(m[0])):
+                found = m
+                break
+            hidden, at = hidden + 1, m.start() + 1
+        column = len(text[: found.start()].encode("utf-16-le")) // 2 + 1 if found else None
+        out.append((found[0] if found else None, column, hidden))
+    return pd.DataFrame(out, columns=["match", "column", "suppressed"]).astype({"column": "Int32"})
 
 
-def suppress_known(hits: DataFrame, always: str, combined: str, strict: str) -> DataFrame:
-    """O33. Hits of one deny set without documented placeholders of the always patterns.
+def suppress_known(hits: DataFrame, deny_sets: DataFrame) -> DataFrame:
+    """O33. Hits (repo, line, match, column, path_exempt, …) without documented placeholders of the always patterns.
 
     Where the first match is a placeholder (rare) the search goes on one character later on the same
-    line, in an Arrow stage; other rows stay as they are. suppressed counts the placeholders; a line
-    of which nothing else is left has a null match.
+    line, with the repo's deny set (repo, combined, strict, exemptible), in an Arrow stage; only such
+    rows leave the JVM and meet the pattern texts. suppressed counts the placeholders; a line of which
+    nothing else is left has a null match.
     """
-    rare = is_placeholder("match") & F.col("match").rlike(f"(?iu){always}") if always else F.lit(False)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.drop("match", "column").schema) + ", match string, column int, suppressed int"
-    again = hits.where(rare).mapInPandas(_resume(always, combined, strict), schema)
-    return hits.where(~rare).withColumn("suppressed", F.lit(0)).select(*again.columns).unionByName(again)
+    rare = is_placeholder("match")
+    regex = F.when(F.col("path_exempt"), F.col("strict")).otherwise(F.col("combined"))
+    again = hits.where(rare).join(deny_sets.select("repo", "combined", "strict", "exemptible"), "repo").withColumn("again_", F.pandas_udf(_resume, "match string, column int, suppressed int")("line", regex, "exemptible"))
+    again = again.withColumns({c: F.col(f"again_.{c}") for c in ("match", "column", "suppressed")})
+    return hits.where(~rare).withColumn("suppressed", F.lit(0)).unionByName(again.select(*hits.columns, "suppressed"))
 
 
-def scan_files(files: DataFrame, deny_sets: DataFrame, scoped: DataFrame, globs: list[str] | None = None, allow_token: str | None = ALLOW) -> DataFrame:
-    """O35. Hits of files (repo, path, blob, text): place, preview, blob, engagement and pattern id."""
+def scan_files_in_detail(files: DataFrame, deny_sets: DataFrame, scoped: DataFrame, globs: list[str] | None = None, allow_token: str | None = ALLOW) -> tuple[DataFrame, DataFrame]:
+    """O33, O35. Hits of files, and the placeholders left out per repo and path (suppressed). sort_files gives the files that were skipped."""
     lines = explode_lines(files.select("repo", "path", "blob", "text"))
-    hits = scan_lines(lines, deny_sets, globs, allow_token)
+    found = suppress_known(scan_lines(lines, deny_sets, globs, allow_token), deny_sets)
+    hidden = found.where("suppressed > 0").groupBy("repo", "path").agg(F.sum("suppressed").alias("suppressed"))
+    return _report(found.where("match is not null"), scoped), hidden
+
+
+def scan_files(files: DataFrame, deny_sets: DataFrame, scoped: DataFrame, globs: list[str] | None = None, allow_token: str | None = ALLOW) -> DataFrame:
+    """O35. Hits of files (repo, path, blob, text): place, preview, blob, engagement and pattern id; documented placeholders are none."""
+    return scan_files_in_detail(files, deny_sets, scoped, globs, allow_token)[0]
+
+
+def _report(hits: DataFrame, scoped: DataFrame) -> DataFrame:
     return attribute(hits, scoped).select("repo", "path", "line_no", "column", redact("match").alias("preview"), "blob", "engagement", "pattern_id", "path_exempt")
 
 
@@ -126,18 +143,19 @@ def scan_diffs(diffs: DataFrame, deny_sets: DataFrame, scoped: DataFrame, globs:
     """O36. Hits in the added lines of diffs (diff_id, repo, text)."""
     added = parse_diffs(diffs.select("diff_id", "text")).join(diffs.select("diff_id", "repo"), "diff_id")
     lines = added.select("repo", "diff_id", "path", "blob", F.col("virtual_line").alias("line_no"), F.col("content").alias("line"))
-    return attribute(scan_lines(lines, deny_sets, globs), scoped).select("repo", "diff_id", "path", "blob", "line_no", "column", redact("match").alias("preview"), "engagement", "pattern_id")
+    hits = suppress_known(scan_lines(lines, deny_sets, globs), deny_sets).where("match is not null")
+    return attribute(hits, scoped).select("repo", "diff_id", "path", "blob", "line_no", "column", redact("match").alias("preview"), "engagement", "pattern_id")
 
 
 def match_all(texts: DataFrame, scoped: DataFrame) -> DataFrame:
     """O38. Every pattern of the repo that matches a text (repo, text_id, text)."""
-    return texts.join(F.broadcast(scoped), "repo").where(F.rlike("text", F.concat(F.lit("(?iu)"), F.col("pattern")))).select("repo", "text_id", "stem", pattern_id("stem", "pattern").alias("pattern_id"))
+    return texts.join(few(scoped), "repo").where(F.rlike("text", F.concat(F.lit("(?iu)"), F.col("pattern")))).select("repo", "text_id", "stem", pattern_id("stem", "pattern").alias("pattern_id"))
 
 
 def scan_history(commit_lines: DataFrame, scoped: DataFrame, combined: str) -> DataFrame:
     """O37. Distinct (pattern, commit) over added and removed lines; the combined pattern thins the lines first."""
-    few = commit_lines.where(F.col("content").rlike(f"(?iu){combined}"))
-    pairs = few.join(F.broadcast(scoped), "repo").where(F.rlike("content", F.concat(F.lit("(?iu)"), F.col("pattern"))))
+    thin = commit_lines.where(F.col("content").rlike(f"(?iu){combined}"))
+    pairs = thin.join(few(scoped), "repo").where(F.rlike("content", F.concat(F.lit("(?iu)"), F.col("pattern"))))
     return pairs.select("repo", "sha", "summary", "stem", pattern_id("stem", "pattern").alias("pattern_id"), redact("pattern").alias("pattern")).distinct()
 
 
@@ -146,7 +164,7 @@ RUNS = ["0123456789", "1234567890", "9876543210", "0987654321"]
 
 def scan_account_ids(lines: DataFrame) -> DataFrame:
     """O42. Twelve-digit account ids per line (…, line), without repeated digits and counting runs."""
-    ids = lines.withColumn("account", F.explode(F.regexp_extract_all("line", F.lit(r"(?<![0-9])[0-9]{12}(?![0-9])"), F.lit(0))))
+    ids = lines.withColumn("account", F.explode(F.regexp_extract_all("line", F.lit(r"(?<![A-Za-z0-9_])[0-9]{12}(?![A-Za-z0-9_])"), F.lit(0))))
     counting = "|".join(re.escape((r * 2)[i : i + 12]) for r in RUNS for i in range(9))
     return ids.where(~F.col("account").rlike(r"^(\d)\1{11}$") & ~F.col("account").rlike(f"^(?:{counting})$"))
 
@@ -157,9 +175,21 @@ def redact_attribution(hits: DataFrame) -> DataFrame:
     return hits.withColumn("pattern_id", F.when(always, F.col("pattern_id")).when(F.col("pattern_id").isNotNull(), F.lit("<redacted>"))).withColumn("engagement", F.when(always, F.col("engagement")))
 
 
-FIXTURE = r"(?i)(?:^|/)(?:fixtures?|__fixtures__|testdata|test-data|samples?)(?:/[^/]+){1,4}$"
+# Folders that hold fixtures, and folders that are not searched for them.
+FIXTURE_DIRS = ["fixtures", "fixture", "__fixtures__", "test-fixtures", "testdata"]
+UNSEARCHED_DIRS = [".git", "node_modules"]
+FIXTURE_DEPTH = 4  # folders that may stand above a fixture folder
+
+
+def in_fixture(path: Column | str = "path") -> Column:
+    """O69. Whether a path lies, at any depth, below a fixture folder that is itself found near the root."""
+    folders = F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    near = F.slice(folders, 1, FIXTURE_DEPTH + 1)
+    place = lambda names: F.coalesce(F.nullif(F.array_min(F.transform(F.array(*map(F.lit, names)), lambda n: F.nullif(F.array_position(near, n), F.lit(0)))), F.lit(0)), F.lit(1 << 30))
+    return (place(FIXTURE_DIRS) < (1 << 30)) & (place(FIXTURE_DIRS) < place(UNSEARCHED_DIRS))
 
 
-def fixture_audit(files: DataFrame, deny_sets: DataFrame, scoped: DataFrame) -> DataFrame:
-    """O69. Files at most four levels below a fixture-named folder, with all exemptions off."""
-    return scan_files(files.where(F.col("path").rlike(FIXTURE)), deny_sets, scoped, None, None)
+def fixture_audit(files: DataFrame, deny_sets: DataFrame, scoped: DataFrame, globs: list[str] | None = None) -> DataFrame:
+    """O69. Hits in files of fixture folders, with the whole deny set; always hits in exempt paths are informational."""
+    hits = scan_files(files.where(in_fixture("path")), deny_sets, scoped, None, None)
+    return hits.withColumn("informational", F.coalesce(path_matches("path", globs or []) & (F.col("engagement") == ALWAYS), F.lit(False)))

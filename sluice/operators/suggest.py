@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.text import synthesize_marker, truncate_lines
+from sluice.functions.text import strip, synthesize_marker, truncate_lines
 from sluice.sources.files import explode_lines
 
 FILE_CAP, REPO_CAP, MAX_FILES, MAX_DOCS, MAX_DEPTH = 16 << 10, 128 << 10, 200, 10, 4
 KINDS = ["company", "codename", "person-name", "domain", "ticket-prefix", "account-id", "other"]
 # Names that never count as prose.
 SKIP_DIRS = ["node_modules", "dist", "build", "coverage", "target", ".next", ".git", ".ssh", ".aws", ".gnupg", "vendor", "third_party", "third-party"]
-SKIP_NAMES = r"^(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|go\.sum|\.npmrc|\.netrc|.*\.(?:key|p12|pfx|age|pem)|.*(?:secret|token|credentials).*|id_.*|\.env.*)$"
+SKIP_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", "go.sum", ".npmrc", ".netrc", ".env*", "id_*", "*.pem", "*.key", "*.p12", "*.pfx", "*.age", "*secret*", "*token*", "*credentials*"]
+SKIP_NAMES = "^(?:" + "|".join(n.replace(".", r"\.").replace("*", ".*") for n in SKIP_FILES) + ")$"
 
 
 def prose_kind(path: Column | str = "path") -> Column:
@@ -32,16 +33,22 @@ def prose_kind(path: Column | str = "path") -> Column:
 
 
 def select_prose(files: DataFrame) -> DataFrame:
-    """O81. Prose files (repo, path, text) within the caps on files, documents, bytes of a file and of a repo."""
+    """O81, O82. Prose files (repo, path, text), projected by kind, within the caps on files, documents, bytes of a file and of a repo.
+
+    The file that crosses a repo's cap is cut to what is left of it; later ones, and blank ones, are left out.
+    """
     kinds = ["readme", "package", "codeowners", "license", "doc"]
     rows = files.withColumn("kind", prose_kind()).where("kind is not null").withColumn("rank", F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")))
     docs = Window.partitionBy("repo", "kind").orderBy("path")
     rows = rows.withColumn("of_kind", F.row_number().over(docs)).where(f"kind <> 'doc' or of_kind <= {MAX_DOCS}")
     order = Window.partitionBy("repo").orderBy("rank", "path")
     rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_FILES)
+    rows = project_prose(rows).where((F.col("kind") != "license") | (strip("text") != ""))
     rows = rows.withColumn("text", truncate_lines("text", FILE_CAP)).withColumn("bytes", F.octet_length("text"))
-    total = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("total", total).where(F.col("total") <= REPO_CAP).select("repo", "path", "kind", "place", "bytes", "text")
+    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = (F.lit(REPO_CAP) - F.col("before")).cast("int")
+    cut = rows.withColumn("before", before).where(F.col("before") < REPO_CAP).withColumn("text", F.when(F.col("bytes") > left, truncate_lines("text", left)).otherwise(F.col("text")))
+    return cut.where(strip("text") != "").select("repo", "path", "kind", "place", F.octet_length("text").alias("bytes"), "text")
 
 
 def project_prose(files: DataFrame) -> DataFrame:
@@ -54,7 +61,7 @@ def project_prose(files: DataFrame) -> DataFrame:
 
 def author_domains(commits: DataFrame, n: int = 8) -> DataFrame:
     """O83. The first n distinct mail domains of each repo's commits (repo, pos, email), lower-case."""
-    d = commits.select("repo", "pos", F.lower(F.regexp_extract("email", r"@([^@\s>]+)$", 1)).alias("domain")).where("domain <> ''")
+    d = commits.select("repo", "pos", F.lower(strip(F.regexp_extract("email", r"(?s)\A[^@]*@(.*)\z", 1))).alias("domain")).where("domain <> ''")
     first = d.groupBy("repo", "domain").agg(F.min("pos").alias("pos"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy("pos", "domain"))).where(F.col("place") <= n)
 
@@ -103,9 +110,9 @@ def dependency_names(manifests: DataFrame) -> DataFrame:
     inside = lines.withColumn("section", F.last(head, ignorenulls=True).over(up)).where("line <> '' and not startswith(line, '#') and not startswith(line, '[')")
     of = lambda n: inside.where(name == n)
     cargo = of("Cargo.toml").where(F.col("section").isin("[dependencies]", "[dev-dependencies]", "[build-dependencies]")).select("repo", F.regexp_extract("line", r"^([a-zA-Z0-9_-]+)\s*=", 1).alias("dep"))
-    go = explode_lines(manifests.where(name == "go.mod"), ["repo"]).select("repo", F.regexp_extract("line", r"^\s*(?:require\s+)?([a-zA-Z0-9][a-zA-Z0-9./_-]*)\s+v\S", 1).alias("dep"))
+    go = explode_lines(manifests.where(name == "go.mod"), ["repo"]).select("repo", F.regexp_extract("line", r"^(?:\s*require)?\s*(\w[\w./-]*)[ \t]+v[0-9]", 1).alias("dep"))
     sections = ["[tool.poetry.dependencies]", "[tool.poetry.dev-dependencies]", "[project.dependencies]", "[dependency-groups.dev]", "[project.optional-dependencies.dev]"]
-    py = of("pyproject.toml").where(F.col("section").isin(sections)).select("repo", F.coalesce(F.nullif(F.regexp_extract("line", r"""^["']([A-Za-z0-9._-]+)""", 1), F.lit("")), F.regexp_extract("line", r"^([A-Za-z0-9._-]+)\s*=", 1)).alias("dep")).where("dep <> 'python'")
+    py = of("pyproject.toml").where(F.col("section").isin(sections)).select("repo", F.regexp_extract("line", r"""^(?:["'](?=[\w.-])|(?=[\w.-]+\s*=))([\w.-]+)""", 1).alias("dep")).where("dep <> 'python'")
     forms = lambda df, *fs: df.where("dep <> ''").select("repo", F.explode(F.array(F.col("dep"), *fs)).alias("name"))
     short = F.substring_index("dep", "/", -1)
     parts = [forms(npm, short), forms(cargo), forms(go, short), forms(py, F.regexp_replace("dep", "[-_.]+", "-"), F.regexp_replace("dep", "[-_.]+", "_"))]
@@ -116,8 +123,8 @@ def dependency_names(manifests: DataFrame) -> DataFrame:
 
 
 def filter_dependencies(tokens: DataFrame, names: DataFrame) -> DataFrame:
-    """O88. Tokens that name no dependency."""
-    return tokens.withColumn("low", F.lower("token")).join(names.select(F.lower("name").alias("low")).distinct(), "low", "left_anti").drop("low")
+    """O88. Tokens that name no dependency, letter case and all."""
+    return tokens.join(names.select(F.col("name").alias("token")).distinct(), "token", "left_anti").select(*tokens.columns)
 
 
 def accept_markers(candidates: DataFrame, threshold: float, identities: DataFrame) -> DataFrame:

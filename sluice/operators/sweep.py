@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.text import strip
+
 MAX_NEW = 1000
+ORG = r"(?i)\borg:\S+"
 
 
 def validate_queries(queries: DataFrame) -> DataFrame:
-    """O53. Queries (pos, name, query, …) with the first rule they break, or null."""
+    """O53. Queries (pos, name, query, …) with the first rule they break, or null. A name of blanks is a name; either quote joins words."""
     place = F.row_number().over(Window.partitionBy("name").orderBy("pos"))
-    q = F.trim("query")
-    rest = F.trim(F.regexp_replace("query", r"(?:^|\s)org:\S+", " "))
+    q = F.col("query")
+    rest = strip(F.regexp_replace(q, rf"(?s)\A(.*?){ORG}", "$1"))  # without the first filter
     issue = (
-        F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "empty name")
+        F.when(F.coalesce("name", F.lit("")) == "", "empty name")
         .when(place > 1, "duplicate name")
         .when(F.coalesce(q, F.lit("")) == "", "empty query")
-        .when(~q.rlike(r"(?:^|\s)org:\S+"), "no org filter")
-        .when(~F.contains("query", F.lit('"')) & rest.rlike(r"\s"), "bare words")
+        .when(~q.rlike(ORG), "no org filter")
+        .when(~q.rlike("[\"']") & rest.rlike(r"\s"), "bare words")
     )
     return queries.withColumn("issue", issue)
 
@@ -26,7 +29,7 @@ def validate_queries(queries: DataFrame) -> DataFrame:
 def phrase(query: Column | str) -> Column:
     """What a query looks for: its quoted phrase, or what is left without the filter."""
     query = F.col(query) if isinstance(query, str) else query
-    quoted = F.regexp_extract(query, '"([^"]+)"', 1)
+    quoted = F.coalesce(F.nullif(F.regexp_extract(query, '"([^"]+)"', 1), F.lit("")), F.regexp_extract(query, "'([^']+)'", 1))
     return F.lower(F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_replace(query, r"(?:^|\s)org:\S+", " "))))
 
 

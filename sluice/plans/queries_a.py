@@ -362,9 +362,9 @@ def o33(spark: SparkSession, d: str) -> DataFrame:
     combined = f"(?:{always})|{strict}"
     key = F.lit("AKIA" + "0" * 9 + "EXAMPLE")  # a documented placeholder, put before each line
     rows = lines(spark, d).select("repo", "path", "line_no", F.concat(key, F.lit(" "), "line").alias("line"))
-    sets = T.repos(spark, d).select("repo", F.lit(combined).alias("combined"), F.lit(strict).alias("strict"))
+    sets = T.repos(spark, d).select("repo", F.lit(combined).alias("combined"), F.lit(strict).alias("strict"), F.lit(always).alias("exemptible"))
     hits = scanning.scan_lines(rows, sets)
-    return scanning.suppress_known(hits, always, combined, strict).select("repo", "path", *long("line_no"), "match", *long("suppressed"))
+    return scanning.suppress_known(hits, sets).select("repo", "path", *long("line_no"), "match", *long("suppressed"))
 
 
 @query("o34_allow_comment", f"WITH {T.LINES_SQL}, c AS (SELECT repo, CASE WHEN doc_id % 5 = 0 THEN line || ' // leak-scan: ALLOW reviewed' ELSE line END AS line FROM lines) SELECT repo, count(*) FILTER (regexp_matches(line, '(?i)leak-scan:\\s*allow\\b')) AS allowed, count(*) AS lines FROM c GROUP BY repo")
@@ -441,12 +441,12 @@ def o41(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "o42_account_ids",
-    f"""WITH {T.LINES_SQL}, ids AS (SELECT path, line_no, unnest(regexp_extract_all(replace(line || ' ' || lpad(CAST(doc_id * 7919 AS VARCHAR), 12, '1'), '_', ' '), '[0-9]+')) AS account FROM lines)
+    f"""WITH {T.LINES_SQL}, ids AS (SELECT path, line_no, unnest(regexp_extract_all(line || CASE WHEN doc_id % 3 = 0 THEN '_' ELSE ' ' END || lpad(CAST(doc_id * 7919 AS VARCHAR), 12, '1'), '\\b[0-9]{{12}}\\b')) AS account FROM lines)
 SELECT path, CAST(line_no AS BIGINT) AS line_no, account FROM ids WHERE length(account) = 12 AND len(list_distinct(string_split(account, ''))) > 1
 AND NOT contains('01234567890123456789012', account) AND NOT contains('98765432109876543210987', account)""",
 )
 def o42(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(spark, d).withColumn("line", F.translate(F.concat("line", F.lit(" "), F.lpad((F.col("doc_id") * 7919).cast("string"), 12, "1")), "_", " "))
+    rows = lines(spark, d).withColumn("line", F.concat("line", F.when(F.col("doc_id") % 3 == 0, "_").otherwise(" "), F.lpad((F.col("doc_id") * 7919).cast("string"), 12, "1")))
     return scanning.scan_account_ids(rows).select("path", *long("line_no"), "account")
 
 

@@ -138,13 +138,13 @@ def o52(spark: SparkSession, d: str) -> DataFrame:
     return hosts.select("host", host_to_marker("host").alias("marker"))
 
 
-ASKED = r"SELECT doc_id AS pos, CASE WHEN doc_id % 10 = 0 THEN ' ' WHEN doc_id % 10 = 1 THEN 'dup' ELSE 'q' || doc_id END AS name, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN source WHEN 2 THEN 'org:acme two ' || lang WHEN 3 THEN 'org:acme \"two ' || lang || '\"' ELSE 'org:acme ' || lang END AS query FROM documents"
+ASKED = r"SELECT doc_id AS pos, CASE WHEN doc_id % 20 = 0 THEN '' WHEN doc_id = 10 THEN ' ' WHEN doc_id % 10 = 1 THEN 'dup' ELSE 'q' || doc_id END AS name, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN source WHEN 2 THEN 'org:acme two ' || lang WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'ORG:acme \"two ' || lang || '\"' ELSE 'org:acme \"two ' || lang || '\"' END ELSE 'org:acme ' || lang END AS query FROM documents"
 
 
 @query(
     "o53_validate_queries",
     f"""WITH asked AS ({ASKED.replace(chr(92) + '"', '"')}), p AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS place FROM asked)
-SELECT pos, CASE WHEN trim(name) = '' THEN 'empty name' WHEN place > 1 THEN 'duplicate name' WHEN query = '' THEN 'empty query' WHEN query NOT LIKE 'org:%' THEN 'no org filter' WHEN query LIKE 'org:acme two%' THEN 'bare words' END AS issue FROM p""",
+SELECT pos, CASE WHEN name = '' THEN 'empty name' WHEN place > 1 THEN 'duplicate name' WHEN query = '' THEN 'empty query' WHEN lower(query) NOT LIKE 'org:%' THEN 'no org filter' WHEN query LIKE 'org:acme two%' THEN 'bare words' END AS issue FROM p""",
 )
 def o53(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.sql(ASKED.replace("FROM documents", "FROM {documents}"), documents=read(spark, d, "documents"))
@@ -220,13 +220,13 @@ def o59(spark: SparkSession, d: str) -> DataFrame:
 
 def tool_events(spark: SparkSession, d: str) -> DataFrame:
     """Documents as output of a shell, a minute apart; every fifth comes from another tool."""
-    return read(spark, d, "documents").selectExpr("doc_id AS event_id", "timestamp_micros(1704067200000000 + doc_id * 60000000) AS ts", "to_json(named_struct('tool_name', CASE WHEN doc_id % 5 = 0 THEN 'editor' ELSE 'bash' END, 'tool_response', named_struct('stdout', text, 'stderr', cast(null AS string)), 'tool_result_text', 'done')) AS json")
+    return read(spark, d, "documents").selectExpr("doc_id AS event_id", "timestamp_micros(1704067200000000 + doc_id * 60000000) AS ts", "to_json(named_struct('tool_name', CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'editor' ELSE 'bash' END, 'tool_response', named_struct('stdout', text, 'stderr', cast(null AS string)), 'tool_result_text', 'done')) AS json")
 
 
 KINDS_SQL = " UNION ALL ".join(f"SELECT ts, '{k}' AS kind FROM t WHERE regexp_matches(text, '(?i){s}')" for k, s in credentials.SHAPES.items()).replace("[\\x22']", "[\\x22\\x27]")
 
 
-@query("o60_stream_tool_output", f"WITH t AS (SELECT make_timestamp(1704067200000000 + doc_id * 60000000) AS ts, text || chr(10) || 'done' AS text FROM documents WHERE doc_id % 5 <> 0), k AS ({KINDS_SQL}) SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, kind, count(*) AS n FROM k GROUP BY ALL")
+@query("o60_stream_tool_output", f"WITH t AS (SELECT make_timestamp(1704067200000000 + doc_id * 60000000) AS ts, text || chr(10) || 'done' AS text FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 <> 0), k AS ({KINDS_SQL}) SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, kind, count(*) AS n FROM k GROUP BY ALL")
 def o60(spark: SparkSession, d: str) -> DataFrame:
     """The batch form; tests run the stream and compare."""
     return streams.credential_counts(tool_events(spark, d)).select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n")
@@ -335,9 +335,9 @@ def o68(spark: SparkSession, d: str) -> DataFrame:
     return policy.audit_verdict(findings, ran)
 
 
-@query("o69_fixture_audit", f"WITH {T.hits_sql('false')} SELECT repo, path, CAST(line_no AS BIGINT) AS line_no, preview, engagement FROM hits WHERE path LIKE 'tests/fixtures/%'")
+@query("o69_fixture_audit", f"WITH {T.hits_sql('false')} SELECT repo, path, CAST(line_no AS BIGINT) AS line_no, preview, engagement, engagement = '_always' AS informational FROM hits WHERE path LIKE 'tests/fixtures/%'")
 def o69(spark: SparkSession, d: str) -> DataFrame:
-    return scanning.fixture_audit(T.files(spark, d), A.deny_sets(spark, d), A.scoped(spark, d)).select("repo", "path", *long("line_no"), "preview", "engagement")
+    return scanning.fixture_audit(T.files(spark, d), A.deny_sets(spark, d), A.scoped(spark, d), A.GLOBS).select("repo", "path", *long("line_no"), "preview", "engagement", "informational")
 
 
 SHAPES_SQL = " UNION ALL ".join(f"SELECT repo, path, '{k}' AS what, len(regexp_extract_all(text, '(?i){s}')) AS n FROM files" for k, s in credentials.SHAPES.items()).replace("[\\x22']", "[\\x22\\x27]")

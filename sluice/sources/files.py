@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.text import strip
+
 MAX_BYTES = 1 << 20
 SNIFF = 8192
 
@@ -91,7 +93,7 @@ def parse_history(logs: DataFrame) -> DataFrame:
 def parse_markers(files: DataFrame) -> DataFrame:
     """O6. Patterns of marker files (stem, text): blank lines and lines that start with ; are left out."""
     lines = explode_lines(files, ["stem"])
-    return lines.select("stem", (F.col("line_no") - 1).alias("ord"), F.trim(F.regexp_replace("line", r"\s+$", "")).alias("pattern")).where("pattern <> '' and not startswith(pattern, ';')")
+    return lines.select("stem", (F.col("line_no") - 1).alias("ord"), strip("line").alias("pattern")).where("pattern <> '' and not startswith(pattern, ';')")
 
 
 def load_markers(spark: SparkSession, root: str) -> DataFrame:

@@ -22,11 +22,13 @@ def stream_new_hits(stream: DataFrame, ttl: str) -> DataFrame:
 
 
 def tool_texts(events: DataFrame) -> DataFrame:
-    """O60. Text of shell-tool events (event_id, ts, json): all output fields joined, of any length."""
-    e = events.withColumn("e", F.from_json("json", TOOL)).where(F.col("e.tool_name").isin(SHELL))
-    r = "e.tool_response"
-    joined = F.concat_ws("\n", *[f"{r}.{c}" for c in ("stdout", "stderr", "output", "content", "result")], "e.tool_result_text")
-    return e.select("event_id", "ts", joined.alias("text"))
+    """O60. Text of shell-tool events (event_id, ts, json): all output fields that are not empty joined, of any length.
+
+    An event that names no tool counts as the shell's; one without any output has an empty text.
+    """
+    e = events.withColumn("e", F.from_json("json", TOOL)).where(F.col("e").isNotNull() & (F.col("e.tool_name").isNull() | F.col("e.tool_name").isin(SHELL)))
+    fields = F.array(*[f"e.tool_response.{c}" for c in ("stdout", "stderr", "output", "content", "result")], "e.tool_result_text")
+    return e.select("event_id", "ts", F.concat_ws("\n", F.filter(fields, lambda x: x != "")).alias("text"))
 
 
 def credential_counts(events: DataFrame, late: str = "1 hour", width: str = "10 minutes") -> DataFrame:

@@ -38,10 +38,9 @@ def test_allow_comment(spark):
 
 def test_suppression_resumes(spark):
     scoped, sets = setup(spark)
-    s = sets.first()
     line = "AKIA" + "A" * 9 + "EXAMPLE zed-corp"
     hits = scanning.scan_lines(explode_lines(files(spark, ("a", line))), sets)
-    got = scanning.suppress_known(hits, s["exemptible"], s["combined"], s["strict"]).collect()
+    got = scanning.suppress_known(hits, sets).collect()
     assert [(r["match"], r["suppressed"]) for r in got] == [("zed-corp", 1)]
 
 
@@ -125,3 +124,42 @@ def test_empty_inputs(spark):
     none = files(spark, ("a", "x")).where(F.lit(False))
     assert scanning.scan_files(none, sets, scoped).collect() == []
     assert parse_diffs(spark.createDataFrame([], "diff_id string, text string")).collect() == []
+
+
+def test_placeholders_against_loop(spark):
+    """Placeholders of always patterns are passed over wherever they stand; the next match of the line counts."""
+    rng = random.Random(12)
+    example = "AKIA" + "Q" * 9 + "EXAMPLE"
+    words = [example, example, "AKIA" + "B" * 16, "zed-corp", "plain", "x"]
+    texts = [("%s/f%d" % ("fixtures" if i % 3 == 0 else "src", i), "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(4))) for i in range(60)]
+    scoped, sets = setup(spark)
+    hits, hidden = scanning.scan_files_in_detail(files(spark, *texts), sets, scoped, ["**/fixtures/**"])
+    got = {(r["path"], r["line_no"], r["column"], r["engagement"]) for r in hits.collect()}
+    want, left_out = set(), {}
+    for path, text in texts:
+        rules = [r for r in RULES if not (path.startswith("fixtures/") and r[0] == "_always")]
+        whole = re.compile("|".join(f"(?:{p})" for _, _, p in rules), re.I)
+        for n, line in enumerate(text.split("\n"), 1):
+            at = 0
+            while m := whole.search(line, at):
+                stem = next(s for s, _, p in RULES if re.search(p, m[0], re.I))
+                if stem == "_always" and m[0].endswith("EXAMPLE"):
+                    left_out[path] = left_out.get(path, 0) + 1
+                    at = m.start() + 1
+                    continue
+                want.add((path, n, m.start() + 1, stem))
+                break
+    assert got == want and left_out
+    assert {r["path"]: r["suppressed"] for r in hidden.collect()} == left_out
+    one = spark.createDataFrame([("d", "r", f"diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -0,0 +1 @@\n+{example} zed-corp")], "diff_id string, repo string, text string")
+    assert [r["engagement"] for r in scanning.scan_diffs(one, sets, scoped).collect()] == ["customer-z"]
+
+
+def test_fixture_folders(spark):
+    paths = ["fixtures/a", "a/b/c/d/testdata/e/f/g/h/i", "a/b/c/d/e/fixture/x", "test-fixtures/deep/er", "samples/a", "Fixtures/a", "node_modules/fixtures/a", "fixtures/node_modules/a", "a/fixtures", "x/__fixtures__/y"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r["path"] for r in df.where(scanning.in_fixture("path")).collect()}
+    assert got == {"fixtures/a", "a/b/c/d/testdata/e/f/g/h/i", "test-fixtures/deep/er", "fixtures/node_modules/a", "x/__fixtures__/y"}
+    scoped, sets = setup(spark)
+    hits = scanning.fixture_audit(files(spark, ("fixtures/k", f"{PEM}\nzed"), ("src/k", PEM)), sets, scoped, ["fixtures/**"]).collect()
+    assert {(r["line_no"], r["engagement"], r["informational"]) for r in hits} == {(1, "_always", True), (2, "customer-z", False)}
