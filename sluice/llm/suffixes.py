@@ -26,6 +26,7 @@ GRAM = 32
 WORK = 1 << 20  # bytes handled at a time
 PLACES = 24  # low bits of a sliding minimum hold the place; the upper ones order the k-grams
 GROUP_BYTES = 1 << 19  # of contexts sorted together
+NEARBY_BITS = 12  # rows of a table that count as near each other: 2**NEARBY_BITS
 WIDEST = 5_000  # an anchor with more different contexts is counted window by window instead
 _R = 0xD1342543DE82EF95  # odd multiplier of the rolling hash
 
@@ -226,9 +227,11 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     again = materialize(found.join(few(anchors), "g"))
     release(found)
     one = F.struct("key", "start", "end")
-    kinds = materialize(again.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(one).alias("one")))
-    # beyond a broadcast, adaptive execution splits the rows of a passage that very many documents hold
-    copied = again.join(few(kinds.where("n > 1").select("g", "h")), ["g", "h"], "left_semi").select("key", "start", "end")
+    # copies of a context near each other travel as one row, so a passage that very many documents hold is few rows
+    nearby = F.shiftright(F.monotonically_increasing_id(), NEARBY_BITS).alias("nearby")
+    chunks = materialize(again.select("*", nearby).groupBy("g", "h", "nearby").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.collect_list(one).alias("places")))  # 2**NEARBY_BITS places at most
+    kinds = materialize(chunks.groupBy("g", "h").agg(F.sum("n").alias("n"), F.min("one").alias("one")))
+    copied = chunks.join(few(kinds.where("n > 1").select("g", "h")), ["g", "h"], "left_semi").select(F.inline("places"))
     # one of each different context goes to the sort; anchors with very many go window by window
     several = materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g", (F.col("kinds") > WIDEST).alias("wide")))
     sample = kinds.join(few(several), "g").select("g", "one.*", (F.col("n") == 1).alias("lone"), "wide")

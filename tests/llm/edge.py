@@ -15,11 +15,17 @@ def rows():
     texts = [None, "", " \n\t", "one", "two words", say(300), say(300), long_, long_, base, base.replace("w7 ", "w7x "), base, passage + say(50), say(40) + passage, "b" * 250, "ab" * 300]
     out = [(i, t, None if i % 3 else "en", "s", len(t) if t else None, i, 1, "k", 5, 2) for i, t in enumerate(texts)]
     out.append((None, "no id here", "en", "s", 1, 1, 1, "k", 5, 2))
+    out += [((1 << 60) + i, f"a text of its own {i} " * 9, None, None, (1 << 60) + 1, 1, 1, "k", 5, 2) for i in (1, 2, 3)]  # ids that a double cannot hold
     return [*out, out[9], out[5]]  # repeated rows
 
 
+def ids():
+    """Every row's id, as sorted text."""
+    return sorted(str(r[0]) for r in rows())
+
+
 def table(spark):
-    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    return spark.createDataFrame(rows(), SCHEMA).repartition(2)
 
 
 def empty(spark):

@@ -50,16 +50,40 @@ def near_copies(n, seed):
     return out + [" ".join([*base[:60], *(f"o{i}y{j}" for j in range(rng.randrange(40, 300)))]) for i in range(20)]
 
 
-@pytest.mark.parametrize(("small", "block"), [(8, 256), (2, 8)])
-def test_near_duplicates(spark, monkeypatch, small, block):
+@pytest.mark.parametrize(("small", "block", "grid"), [(8, 1 << 19, 1 << 18), (2, 900, 700)])
+def test_near_duplicates(spark, monkeypatch, small, block, grid):
     monkeypatch.setattr(ngrams, "SMALL", small)
     monkeypatch.setattr(ngrams, "BLOCK", block)
+    monkeypatch.setattr(ngrams, "GRID", grid)
     rows = list(enumerate(near_copies(60, 3) + ["a b c", "A  b\tc", "a b", "", "x", None, "a b c d"]))
     got = ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
     assert len(got) == len(rows)
 
 
+def test_one_id_on_two_texts(spark):
+    """Links go by row, not by id: (5, w) must not hide (5, u), which links 9."""
+    w = " ".join(f"w{i}" for i in range(300))
+    u = " ".join(f"u{i}" for i in range(300))
+    rows = [(1, w), (5, w), (5, u), (9, u.replace("u7 ", "v7 ")), (None, u), (12, " ".join(f"x{i}" for i in range(300)))]
+    got = ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == sorted([("1", 1), ("5", 1), ("5", 5), ("9", 5), ("None", 5), ("12", 12)])
+    kept = ngrams.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 5, 12]
+
+
+@pytest.mark.parametrize("work", [ngrams.WORK, 50])
+def test_shingle_sets_of_long_texts(monkeypatch, work):
+    """A text cut into pieces has the shingles of the whole."""
+    monkeypatch.setattr(ngrams, "WORK", work)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["Ab", "c", "dé", "x" * 70]) for _ in range(rng.randrange(90))) for _ in range(40)]
+    got = ngrams.shingle_sets(texts)
+    for text, found in zip(texts, got, strict=True):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        assert len(found) == len({tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()))
+
+
 def test_near_duplicates_edges(spark):
     docs = edge.table(spark)
     got = ngrams.near_duplicates(docs).collect()
@@ -133,3 +157,34 @@ def test_pipeline(spark, data):
         before = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert packed.select("doc_id").distinct().count() == before
+
+
+def test_near_duplicate_stage(spark):
+    """The stage at its own setting: five words, 80 %, one document of each group by brute force."""
+    texts = near_copies(40, 5) + ["a b c d e", "a b c d e", "", None, "a b c d"]
+    rows = list(enumerate(texts)) + [(3, texts[3])]
+    want = brute_components(rows, 5, 80)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(i for i, _ in rows if want[i][1] == i)
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_passage_and_private_stages(spark):
+    """Texts that the stages leave, against plain versions."""
+    passage = "".join(f"passage {i} of many; " for i in range(20))
+    texts = ["first " + passage + "end é", passage + " tail", "alone", "", None, "mail me@x.example or 10.0.0.1 now", "call +1 (555) 123-4567 é"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    count = defaultdict(int)
+    for t in texts:
+        d = (t or "").encode()
+        for i in range(len(d) - suffixes.LENGTH + 1):
+            count[d[i : i + suffixes.LENGTH]] += 1
+    for i, t in enumerate(texts):
+        d = (t or "").encode()
+        gone = {j for k in range(len(d) - suffixes.LENGTH + 1) if count[d[k : k + suffixes.LENGTH]] > 1 for j in range(k, k + suffixes.LENGTH)}
+        left = bytes(b for j, b in enumerate(d) if j not in gone).decode("utf-8", "ignore")
+        assert got[i] == ((left, len(left)) if t is not None else (None, None))
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.private_data(spark, docs, "").collect()}
+    assert clean[5] == "mail <EMAIL> or <IP> now" and clean[6] == "call <PHONE> é" and [clean[i] for i in range(5)] == texts[:5]

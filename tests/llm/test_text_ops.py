@@ -8,10 +8,11 @@ import zlib
 
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import bpe, chunks, flac, packing, private, quality, secrets, sharding
+from sluice.llm import bpe, chunks, flac, ngrams, packing, private, quality, secrets, sharding, suffixes
 from sluice.llm.spans import joined
 from tests.llm import edge
 
@@ -277,12 +278,83 @@ def test_quality(spark, data, docs):
     assert quality.keep_good(all_, labels).columns == all_.columns
 
 
-@pytest.mark.parametrize("run", [secrets.scan_secrets, private.find_private, private.sanitise, bpe.encode_documents, flac.encode_media])
+RUNS = [
+    secrets.scan_secrets, private.find_private, private.sanitise, bpe.encode_documents, lambda d: flac.describe_media(flac.encode_media(d)), chunks.compare_neighbours, chunks.fingerprint_documents,
+    sharding.shard_documents, lambda d: quality.score_quality(d, quality.AdditiveModel()), lambda d: packing.pack_documents(d).where("piece = 0"), ngrams.near_duplicates, suffixes.drop_repeats,
+]
+
+
+@pytest.mark.parametrize("run", RUNS)
 def test_edges(spark, docs, run):
-    assert run(docs).count() == docs.count()
+    """Every row comes out with its exact id, above 2**53 and beside a null one too."""
+    assert sorted(str(r["doc_id"]) for r in run(docs).select("doc_id").collect()) == edge.ids()
     assert run(edge.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("texts", "bins"), [([""] * 5000, 2), (["a"] * 100_000, 49), ([None, "a", ""], 1)])
+def test_tiny_texts_pack_by_tokens(spark, texts, bins):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = packing.pack_documents(docs, with_ids=False)
+    assert found.count() == len(texts) and found.select("sequence_id").distinct().count() == bins
+
+
+@pytest.mark.parametrize("size", [8, 64])
+def test_packing_ends_on_small_groups(spark, size):
+    """Groups of eight bins with a gap: every round leaves at most half of the bins."""
+    lengths = spark.range(3000).selectExpr("id AS row", "2100 + id % 7 AS length")
+    found = packing.pack_lengths(lengths, 4096, size)
+    assert check_packing(found.join(lengths, "row").collect(), 4096) == 3000
+    assert found.where("group_bins < group_bound").count() == 0
+
+
+def plain_chunks(data):
+    """Chunks by a byte-wise gear hash."""
+    out, at, h = [], 0, 0
+    gear, mask = chunks.GEAR.tolist(), (1 << 32) - 1
+    values = []
+    for i, b in enumerate(data):
+        h = sum(gear[data[i - k]] << k for k in range(min(i + 1, chunks.REACH))) & mask
+        values.append(h)
+    while at < len(data):
+        end = min(at + chunks.LONGEST, len(data))
+        if len(data) - at <= chunks.SHORTEST:
+            end = len(data)
+        else:
+            for e in range(at + chunks.SHORTEST, min(at + chunks.LONGEST, len(data))):
+                if values[e - 1] & int(chunks.STRICT if e - at <= chunks.USUAL else chunks.LOOSE) == 0:
+                    end = e
+                    break
+        out.append(data[at:end])
+        at = end
+    return out
+
+
+def test_fingerprints_against_loop(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["alpha", "be", "gämma", "x1"]) + str(rng.randrange(99)) for _ in range(n))
+    texts = [say(rng.randrange(120)) for _ in range(12)] + ["", "a" * 500, None]
+    sets = [{xxhash.xxh3_64_intdigest(c): len(c) for c in plain_chunks((t or "").encode())} for t in texts]
+    share = lambda a, b: sum(n for d, n in a.items() if d in b) / sum(a.values()) if a else 1.0
+    got = {r["doc_id"]: r for r in chunks.compare_neighbours(text_table(spark, texts).repartition(3)).collect()}
+    for i, text in enumerate(texts):
+        text, following = text or "", texts[i - 1] or ""
+        third = len(text) // 3
+        new = text[: len(text) - third] + following[:third]
+        other = {xxhash.xxh3_64_intdigest(c): len(c) for c in plain_chunks(new.encode())}
+        r = got[i]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        assert r["fingerprint"] == ",".join(f"{d:016x}:{n}" for d, n in sorted(sets[i].items()))
+        assert r["near_edited"] == pytest.approx(share(sets[i], other)) and r["near_next"] == pytest.approx(share(sets[i], sets[i - 1]))
+
+
+def test_bpe_beyond_a_segment(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdé") for _ in range(150_000)), " ".join(f"word{rng.randrange(999)}" for _ in range(30_000))]
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(text_table(spark, texts)).collect()}
+    assert [got[i] for i in range(2)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_many_spans(spark):
     """More matches than a chunk of running values holds, next to each other and apart."""
     texts = ["x ".join(f"a{i}@b.co" for i in range(n)) for n in (255, 256, 257, 700)] + [" ".join(["1.2.3.4", "é", "4111 1111 1111 1111", "u@v.wx"] * 300)]
