@@ -215,6 +215,21 @@ def _windows(part: pa.RecordBatch) -> dict:
     return out
 
 
+def _merge_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of places near each other, those of one document merged where they touch: a passage comes out as one row, not one a context."""
+    for batch in batches:
+        places = batch.column(batch.schema.get_field_index("places")).flatten()
+        key, start, end = (places.field(c).to_numpy(zero_copy_only=False) for c in ("key", "start", "end"))
+        if not len(key):
+            continue
+        order = np.lexsort((end, start, key))
+        key, start, end = key[order], start[order], end[order]
+        # places of one document never hold one another, so their ends rise with their starts
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (start[1:] > end[:-1])])
+        last = np.r_[first[1:], len(key)] - 1
+        yield pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(start[first], pa.int32()), pa.array(end[last], pa.int32())], names=["key", "start", "end"])
+
+
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """key (hash of doc_id and text), start, end: bytes of each document (doc_id, text) that repeated strings cover.
 
@@ -231,7 +246,8 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     nearby = F.shiftright(F.monotonically_increasing_id(), NEARBY_BITS).alias("nearby")
     chunks = materialize(again.select("*", nearby).groupBy("g", "h", "nearby").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.collect_list(one).alias("places")))  # 2**NEARBY_BITS places at most
     kinds = materialize(chunks.groupBy("g", "h").agg(F.sum("n").alias("n"), F.min("one").alias("one")))
-    copied = chunks.join(few(kinds.where("n > 1").select("g", "h")), ["g", "h"], "left_semi").select(F.inline("places"))
+    copied = chunks.join(few(kinds.where("n > 1").select("g", "h")), ["g", "h"], "left_semi").select("nearby", "places")
+    copied = copied.repartition("nearby").sortWithinPartitions("nearby").mapInArrow(_merge_places, "key long, start int, end int")
     # one of each different context goes to the sort; anchors with very many go window by window
     several = materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g", (F.col("kinds") > WIDEST).alias("wide")))
     sample = kinds.join(few(several), "g").select("g", "one.*", (F.col("n") == 1).alias("lone"), "wide")
