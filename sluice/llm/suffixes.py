@@ -26,7 +26,8 @@ GRAM = 32
 WORK = 1 << 20  # bytes handled at a time
 PLACES = 24  # low bits of a sliding minimum hold the place; the upper ones order the k-grams
 GROUP_BYTES = 1 << 19  # of contexts sorted together
-NEARBY_BITS = 12  # rows of a table that count as near each other: 2**NEARBY_BITS
+BROADCAST_ANCHORS = 1_000_000  # more repeated anchors (a long each) than this are joined by a shuffle
+NEARBY_BITS = 16  # rows of a table that count as near each other: 2**NEARBY_BITS
 WIDEST = 5_000  # an anchor with more different contexts is counted window by window instead
 _R = 0xD1342543DE82EF95  # odd multiplier of the rolling hash
 
@@ -239,12 +240,13 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     rows = docs.select(row_key().alias("key"), "text").where(F.octet_length(F.encode("text", "UTF-8")) >= LENGTH)
     found = materialize(rows.mapInArrow(_scan, "key long, g long, h long, start int, end int"))
     anchors = materialize(found.groupBy("g").count().where("count > 1").select("g"))
-    again = materialize(found.join(few(anchors), "g"))
+    # rows of neighbouring documents share a number, which stays with them through the joins
+    nearby = F.shiftright(F.monotonically_increasing_id(), NEARBY_BITS).alias("nearby")
+    again = materialize(found.select("*", nearby).join(few(anchors, BROADCAST_ANCHORS), "g"))
     release(found)
     one = F.struct("key", "start", "end")
     # copies of a context near each other travel as one row, so a passage that very many documents hold is few rows
-    nearby = F.shiftright(F.monotonically_increasing_id(), NEARBY_BITS).alias("nearby")
-    chunks = materialize(again.select("*", nearby).groupBy("g", "h", "nearby").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.collect_list(one).alias("places")))  # 2**NEARBY_BITS places at most
+    chunks = materialize(again.groupBy("g", "h", "nearby").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.collect_list(one).alias("places")))  # 2**NEARBY_BITS places at most
     kinds = materialize(chunks.groupBy("g", "h").agg(F.sum("n").alias("n"), F.min("one").alias("one")))
     copied = chunks.join(few(kinds.where("n > 1").select("g", "h")), ["g", "h"], "left_semi").select("nearby", "places")
     copied = copied.repartition("nearby").sortWithinPartitions("nearby").mapInArrow(_merge_places, "key long, start int, end int")
