@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,17 +33,26 @@ def reachable_commits(edges: DataFrame, tips: DataFrame, hops: int = 4) -> DataF
 
     A frontier moves along the edges, `hops` generations between two cuts of the lineage; commits
     already reached are dropped by an anti join, so merges add no paths. No tips give no rows.
+    Fronts are kept as they were written; two are joined into one only where the older is no larger
+    than twice the newer, so a commit is written anew a logarithmic number of times.
     """
-    seen = _cut(tips.select("tip", "sha").where("sha is not null").distinct())
+    front = _cut(tips.select("tip", "sha").where("sha is not null").distinct())
     step = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
-    front = seen
+    parts = [(front.count(), front)]
+    seen = front
     while not front.isEmpty():
         reached, last = None, front
         for _ in range(hops):
             last = last.join(step, last["sha"] == step["child"]).select("tip", F.col("parent").alias("sha")).distinct()
             reached = last if reached is None else reached.unionByName(last)
         front = _cut(reached.distinct().join(seen, ["tip", "sha"], "left_anti"))
-        seen = _cut(seen.unionByName(front))
+        size, part = front.count(), front
+        while parts and size and parts[-1][0] <= 2 * size:
+            older, rows = parts.pop()
+            size, part = size + older, _cut(rows.unionByName(part))
+        if size:
+            parts.append((size, part))
+        seen = reduce(DataFrame.unionByName, [rows for _, rows in parts])
     return seen
 
 

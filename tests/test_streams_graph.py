@@ -62,6 +62,24 @@ def test_reachability(spark):
     assert got == {"a": {1, 2, 3, 4, 5, 6}, "b": {1, 2, 4}, "c": {9}}
 
 
+def test_reachability_over_many_fronts(spark):
+    # a line of commits with side branches: fronts of one and two rows, kept apart and joined in turn
+    pairs = [(n, n - 1) for n in range(1, 10)] + [(9, 20), (20, 5), (30, 29)]
+    tips = [("a", 9), ("b", 4), ("d", None)]
+    want = set()
+    for tip, sha in tips:
+        todo = [] if sha is None else [sha]
+        while todo:
+            at = todo.pop()
+            if (tip, at) not in want:
+                want.add((tip, at))
+                todo += [p for c, p in pairs if c == at]
+    found = graph.reachable_commits(spark.createDataFrame(pairs, "child long, parent long"), spark.createDataFrame(tips, "tip string, sha long"), hops=2).collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+    none = spark.createDataFrame([], "tip string, sha long")
+    assert graph.reachable_commits(spark.createDataFrame(pairs, "child long, parent long"), none).collect() == []
+
+
 def test_new_ref_plan(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (4, 2), (5, 3), (5, 4), (6, 3), (8, 7)], "child long, parent long")
     refs = lambda rows: spark.createDataFrame(rows, "ref string, sha long")
