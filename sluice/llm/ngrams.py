@@ -271,33 +271,34 @@ def _linked(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int)
 
 def _compare_block(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between classes of different components in one block; only as many as join components."""
+        """Links between classes of different components in one block; only as many as join components.
+
+        The block is kept by shingle: the lists of a set's shingles give its intersections with all
+        later sets at once, so sets that share little cost little.
+        """
         pdf = pdf.drop_duplicates("node").sort_values("node")
         sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
         n = np.array([len(s) for s in sets])
-        comp, node = pdf["component"].to_numpy(), pdf["node"].to_numpy()
-        bins = np.stack([suffix_histogram(s) for s in sets]).astype(np.int32)
-        root = {c: c for c in comp.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
+        _, label = np.unique(pdf["component"], return_inverse=True)
+        node = pdf["node"].to_numpy()
+        _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(n)), n)[np.argsort(shingle, kind="stable")]  # by shingle, ascending within each
+        end = np.cumsum(np.bincount(shingle))
+        head = np.r_[0, end[:-1]]  # of each shingle, the first set not yet compared
+        first = np.r_[0, np.cumsum(n)]
         out = []
-        for i in range(len(sets) - 1):  # a row of the comparison at a time
-            both = n[i] + n[i + 1 :]
-            open_ = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
-            open_ &= (percent + 100) * (both - np.abs(bins[i + 1 :] - bins[i]).sum(1)) >= 2 * percent * both
-            for j in (np.flatnonzero(open_) + i + 1).tolist():
-                x, y = find(int(comp[i])), find(int(comp[j]))
-                if x == y:
-                    continue
-                common = int(np.isin(sets[i], sets[j], assume_unique=True, kind="sort").sum())
-                if 100 * common >= percent * (n[i] + n[j] - common):
-                    root[x] = y
-                    out.append((node[i], node[j]))
+        for i in range(len(sets) - 1):
+            mine = shingle[first[i] : first[i + 1]]
+            head[mine] += 1  # i itself
+            if (label[i + 1 :] == label[i]).all():
+                continue
+            met = np.concatenate([owner[x:y] for x, y in zip(head[mine].tolist(), end[mine].tolist(), strict=True)])
+            common = np.bincount(met, minlength=len(n))
+            linked = np.flatnonzero((100 * common >= percent * (n[i] + n - common)) & (common > 0) & (label != label[i]))
+            if len(linked):
+                joined, at = np.unique(label[linked], return_index=True)
+                out += [(node[i], node[j]) for j in linked[at]]
+                label[np.isin(label, joined)] = label[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
