@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 
 from sluice.llm import components, ngrams, suffixes
@@ -93,6 +94,58 @@ def test_near_duplicates_edges(spark):
     assert ngrams.near_duplicates(edge.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_block_comparison(seed):
+    """The links of a block join the same components as all linking pairs do, each link is one, and none is spare."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    sets = []
+    for _ in range(120):
+        s = base.copy()
+        k = int(rng.integers(0, 6))
+        s[rng.choice(40, k, replace=False)] = rng.integers(0, 1 << 62, k, dtype=np.uint64)
+        sets.append(np.unique(s[: int(rng.integers(1, 41))]))
+    start = [int(c) for c in rng.integers(0, 60, len(sets))]
+    rows = [(i * 7 % 120, c, s.tobytes()) for i, (c, s) in enumerate(zip(start, sets, strict=True))]
+    got = ngrams._compare_block(90)(pd.DataFrame([*rows, *rows[:9]], columns=["node", "component", "shingles"]))
+    held = {i * 7 % 120: set(s.tolist()) for i, s in enumerate(sets)}
+    alike = lambda a, b: 100 * len(held[a] & held[b]) >= 90 * len(held[a] | held[b])
+
+    def labels(links):
+        label = {i * 7 % 120: c for i, c in enumerate(start)}
+        for a, b in links:
+            old = label[b]
+            label = {k: label[a] if v == old else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    links = list(zip(got["a"].tolist(), got["b"].tolist(), strict=True))
+    assert all(alike(a, b) for a, b in links)
+    want = labels([(a, b) for a in held for b in held if a < b and alike(a, b)])
+    assert labels(links) == want
+    assert len(links) == len(labels([])) - len(want)
+
+
+def test_components_of_stars(spark):
+    """Links that are stars already need no round; no links give no rows."""
+    stars = spark.createDataFrame([(5, 1), (1, 9), (4, 2), (4, 2)], "a long, b long")
+    assert components._unfinished(stars.selectExpr("greatest(a, b) u", "least(a, b) v").distinct()) == 0
+    assert {tuple(r) for r in components.components(stars).collect()} == {(1, 1), (5, 1), (9, 1), (2, 2), (4, 2)}
+    assert components.components(stars.where("a = 0")).collect() == []
+    assert components._unfinished(spark.createDataFrame([(3, 2), (2, 1)], "u long, v long")) == 1
+    assert components._unfinished(spark.createDataFrame([(3, 2), (3, 1)], "u long, v long")) == 1
+
+
+def test_components_at_random(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    label = list(range(300))
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: label[n] for a, b in links if a != b for n in (a, b)}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (3, 3), *[(100 + i, 101 + i) for i in range(40)]]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
