@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import pattern_id, path_matches, redact
-from sluice.operators.patterns import ALWAYS, stem_order
+from sluice.operators.automaton import pattern_key, with_candidates
+from sluice.operators.patterns import ALWAYS, assemble_deny_sets
 from sluice.sources.files import explode_lines, parse_diffs
 
 ALLOW = r"(?i)leak-scan:\s*allow\b"
-CONSTANT_SETS = 32  # up to so many distinct deny sets are constants of the plan; more are joined as columns
 BROADCAST_ROWS = 100_000  # tables of more rows than this are joined by a shuffle
 
 
@@ -23,8 +23,8 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _fold(regex: Column | str) -> Column:
-    return F.concat(F.lit("(?iu)"), regex) if isinstance(regex, Column) else F.lit(f"(?iu){regex}")
+def _matches(text: Column, pattern: Column) -> Column:
+    return F.rlike(text, F.concat(F.lit("(?iu)"), pattern))
 
 
 def allowed_by_comment(line: Column | str, token: str = ALLOW) -> Column:
@@ -37,45 +37,44 @@ def choose_regex(lines: DataFrame, globs: list[str]) -> DataFrame:
     return lines.withColumn("path_exempt", path_matches("path", globs) if "path" in lines.columns else F.lit(False))
 
 
-def _match(lines: DataFrame, regex: Column | str) -> DataFrame:
-    re_ = _fold(regex)
-    hit = lines.where(F.rlike("line", re_)).withColumn("match", F.call_function("regexp_extract", F.col("line"), re_, F.lit(0)) if isinstance(regex, Column) else F.regexp_extract("line", f"(?iu){regex}", 0))
-    return hit.where("match <> ''").withColumn("column", F.regexp_instr("line", re_))
+def _candidates(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (repo, found, …) with `candidates`: the patterns (stem, pattern) of the repo's set to try, in the set's order."""
+    own = F.filter("patterns", lambda p: F.array_contains("found", pattern_key(p["stem"], p["pattern"])))
+    return rows.join(sets.select("repo", "patterns"), "repo").withColumn("candidates", own).drop("patterns", "found")
 
 
 def scan_lines(lines: DataFrame, deny_sets: DataFrame, globs: list[str] | None = None, allow_token: str | None = ALLOW) -> DataFrame:
-    """O29, O30, O34. First match of each line (repo, path, line_no, line) in its repo's deny set (repo, combined, strict).
+    """O29, O30, O34. First match of each line (repo, path, line_no, line) in its repo's deny set (repo, patterns).
 
-    Lines of exempt paths are held against the strict pattern. Distinct deny sets become constants of
-    the plan, a branch each; more than CONSTANT_SETS are joined to their lines.
+    One automaton over the patterns of all sets picks the lines worth trying and the patterns to try
+    on each; only those lines meet their repo's set, by a join that needs no broadcast. A line's match
+    starts where the first of its patterns does, and is that of the first such pattern in the set's
+    order. Always patterns are not tried on exempt paths. Returns the columns of lines, path_exempt,
+    match, column and the candidates of the line (stem, pattern), for suppress_known and attribute.
     """
-    rows = choose_regex(lines, globs or [])
+    out = lines.columns
+    tried = _candidates(with_candidates(lines, "line", deny_sets.select(F.inline("patterns"))), deny_sets)
+    rows = choose_regex(tried.where(F.size("candidates") > 0), globs or [])
     if allow_token:
         rows = rows.where(~allowed_by_comment("line", allow_token))
-    sets = deny_sets.select("combined", "strict").distinct().limit(CONSTANT_SETS + 1).collect()
-    regex = F.when(F.col("path_exempt"), F.col("strict")).otherwise(F.col("combined"))
-    out = [c for c in rows.columns if c != "path_exempt"]
-    if len(sets) > CONSTANT_SETS:
-        with_set = rows.join(deny_sets.select("repo", "combined", "strict"), "repo")  # the pattern texts are not broadcast
-        return _match(with_set.withColumn("re", regex).where("re <> ''"), F.col("re")).select(*out, "path_exempt", "match", "column")
-    # lines carry the number of their pattern; the texts are constants of the plan
-    texts = sorted({s["combined"] for s in sets} | {s["strict"] for s in sets} - {""})
-    number = lambda c: F.coalesce(*[F.when(F.col(c) == t, F.lit(i)) for i, t in enumerate(texts)], F.lit(-1)) if texts else F.lit(-1)
-    numbered = deny_sets.select("repo", number("combined").alias("all_"), number("strict").alias("strict_"))
-    chosen = rows.join(few(numbered), "repo").withColumn("re", F.when(F.col("path_exempt"), F.col("strict_")).otherwise(F.col("all_")))
-    match = F.coalesce(*[F.when(F.col("re") == i, F.regexp_extract("line", f"(?iu){t}", 0)) for i, t in enumerate(texts)], F.lit("")) if texts else F.lit("")
-    place = F.coalesce(*[F.when(F.col("re") == i, F.regexp_instr("line", F.lit(f"(?iu){t}"))) for i, t in enumerate(texts)], F.lit(0)) if texts else F.lit(0)
-    return chosen.withColumn("match", match).where("match <> ''").withColumn("column", place).select(*out, "path_exempt", "match", "column")
+    place = lambda p, i: F.struct(F.regexp_instr("line", F.concat(F.lit("(?iu)"), p["pattern"])).alias("at"), i.alias("i"))
+    usable = rows.withColumn("usable", F.filter("candidates", lambda p: ~(F.col("path_exempt") & (p["stem"] == ALWAYS))))
+    first = usable.withColumn("first", F.array_min(F.filter(F.transform("usable", place), lambda x: x["at"] > 0))).where("first is not null")
+    regex = F.concat(F.lit("(?iu)"), F.col("usable")[F.col("first.i")]["pattern"])
+    hit = first.withColumn("match", F.call_function("regexp_extract", F.col("line"), regex, F.lit(0))).where("match <> ''")
+    return hit.select(*out, "path_exempt", "match", F.col("first.at").alias("column"), "candidates")
 
 
 def attribute(hits: DataFrame, scoped: DataFrame) -> DataFrame:
-    """O32. Stem and id of the first pattern, in the set's order, that matches the matched text; null where none does."""
-    p = scoped.select("repo", "stem", "ord", "pattern")
-    texts = hits.select("repo", "match").distinct()
-    pairs = texts.join(few(p), "repo").where(F.rlike("match", F.concat(F.lit("(?iu)"), F.col("pattern"))))
-    first = pairs.groupBy("repo", "match").agg(F.min_by(F.struct("stem", "pattern"), F.struct(stem_order(), "stem", "ord")).alias("p"))
-    named = first.select("repo", "match", F.col("p.stem").alias("engagement"), pattern_id("p.stem", "p.pattern").alias("pattern_id"))
-    return hits.join(named, ["repo", "match"], "left")
+    """O32. Stem and id of the first pattern, in the set's order, that matches the matched text; null where none does.
+
+    Hits of scan_lines carry the patterns that their line can match; others (repo, match) get their
+    repo's whole set from scoped. Either way hits are read once.
+    """
+    if "candidates" not in hits.columns:
+        hits = hits.join(assemble_deny_sets(scoped).select("repo", F.col("patterns").alias("candidates")), "repo", "left")
+    named = hits.withColumn("named_", F.get(F.filter("candidates", lambda p: _matches(F.col("match"), p["pattern"])), F.lit(0)))
+    return named.withColumn("engagement", F.col("named_.stem")).withColumn("pattern_id", pattern_id("named_.stem", "named_.pattern")).drop("named_", "candidates")
 
 
 # Values that documents use in place of secrets.
@@ -111,15 +110,18 @@ def suppress_known(hits: DataFrame, deny_sets: DataFrame) -> DataFrame:
     """O33. Hits (repo, line, match, column, path_exempt, …) without documented placeholders of the always patterns.
 
     Where the first match is a placeholder (rare) the search goes on one character later on the same
-    line, with the repo's deny set (repo, combined, strict, exemptible), in an Arrow stage; only such
-    rows leave the JVM and meet the pattern texts. suppressed counts the placeholders; a line of which
-    nothing else is left has a null match.
+    line, with the patterns that the line can match (of scan_lines, or its repo's set), in an Arrow
+    stage that other rows pass as nulls. suppressed counts the placeholders; a line of which nothing
+    else is left has a null match. Hits are read once.
     """
-    rare = is_placeholder("match")
-    regex = F.when(F.col("path_exempt"), F.col("strict")).otherwise(F.col("combined"))
-    again = hits.where(rare).join(deny_sets.select("repo", "combined", "strict", "exemptible"), "repo").withColumn("again_", F.pandas_udf(_resume, "match string, column int, suppressed int")("line", regex, "exemptible"))
-    again = again.withColumns({c: F.col(f"again_.{c}") for c in ("match", "column", "suppressed")})
-    return hits.where(~rare).withColumn("suppressed", F.lit(0)).unionByName(again.select(*hits.columns, "suppressed"))
+    if "candidates" not in hits.columns:
+        hits = hits.join(deny_sets.select("repo", F.col("patterns").alias("candidates")), "repo")
+    rare = F.coalesce(is_placeholder("match"), F.lit(False))
+    joined = lambda keep: F.array_join(F.transform(F.filter("candidates", keep), lambda p: F.concat(F.lit("(?:"), p["pattern"], F.lit(")"))), "|")
+    regex, own = joined(lambda p: ~(F.col("path_exempt") & (p["stem"] == ALWAYS))), joined(lambda p: p["stem"] == ALWAYS)
+    again = F.pandas_udf(_resume, "match string, column int, suppressed int")(F.when(F.col("rare_"), F.col("line")), F.when(F.col("rare_"), regex), F.when(F.col("rare_"), own))
+    told = hits.withColumn("rare_", rare).withColumn("again_", again)
+    return told.withColumns({c: F.when(F.col("rare_"), F.col(f"again_.{c}")).otherwise(F.col(c)) for c in ("match", "column")}).withColumn("suppressed", F.col("again_.suppressed")).drop("rare_", "again_")
 
 
 def scan_files_in_detail(files: DataFrame, deny_sets: DataFrame, scoped: DataFrame, globs: list[str] | None = None, allow_token: str | None = ALLOW) -> tuple[DataFrame, DataFrame]:
@@ -141,21 +143,27 @@ def _report(hits: DataFrame, scoped: DataFrame) -> DataFrame:
 
 def scan_diffs(diffs: DataFrame, deny_sets: DataFrame, scoped: DataFrame, globs: list[str] | None = None) -> DataFrame:
     """O36. Hits in the added lines of diffs (diff_id, repo, text)."""
-    added = parse_diffs(diffs.select("diff_id", "text")).join(diffs.select("diff_id", "repo"), "diff_id")
+    added = parse_diffs(diffs.select("diff_id", "repo", "text"), ["diff_id", "repo"])
     lines = added.select("repo", "diff_id", "path", "blob", F.col("virtual_line").alias("line_no"), F.col("content").alias("line"))
     hits = suppress_known(scan_lines(lines, deny_sets, globs), deny_sets).where("match is not null")
     return attribute(hits, scoped).select("repo", "diff_id", "path", "blob", "line_no", "column", redact("match").alias("preview"), "engagement", "pattern_id")
 
 
+def _every(rows: DataFrame, column: str, scoped: DataFrame) -> DataFrame:
+    """rows (repo, column, …) once for each pattern of its repo that matches, with stem and pattern."""
+    tried = with_candidates(rows, column, scoped).select(*rows.columns, F.explode("found").alias("key"))
+    own = scoped.select("repo", "stem", "pattern", pattern_key("stem", "pattern").alias("key")).distinct()
+    return tried.join(own, ["repo", "key"]).where(_matches(F.col(column), F.col("pattern"))).drop("key")
+
+
 def match_all(texts: DataFrame, scoped: DataFrame) -> DataFrame:
     """O38. Every pattern of the repo that matches a text (repo, text_id, text)."""
-    return texts.join(few(scoped), "repo").where(F.rlike("text", F.concat(F.lit("(?iu)"), F.col("pattern")))).select("repo", "text_id", "stem", pattern_id("stem", "pattern").alias("pattern_id"))
+    return _every(texts.select("repo", "text_id", "text"), "text", scoped).select("repo", "text_id", "stem", pattern_id("stem", "pattern").alias("pattern_id"))
 
 
-def scan_history(commit_lines: DataFrame, scoped: DataFrame, combined: str) -> DataFrame:
-    """O37. Distinct (pattern, commit) over added and removed lines; the combined pattern thins the lines first."""
-    thin = commit_lines.where(F.col("content").rlike(f"(?iu){combined}"))
-    pairs = thin.join(few(scoped), "repo").where(F.rlike("content", F.concat(F.lit("(?iu)"), F.col("pattern"))))
+def scan_history(commit_lines: DataFrame, scoped: DataFrame) -> DataFrame:
+    """O37. Distinct (pattern, commit) over added and removed lines."""
+    pairs = _every(commit_lines.select("repo", "sha", "summary", "content"), "content", scoped)
     return pairs.select("repo", "sha", "summary", "stem", pattern_id("stem", "pattern").alias("pattern_id"), redact("pattern").alias("pattern")).distinct()
 
 

@@ -358,11 +358,10 @@ def o32(spark: SparkSession, d: str) -> DataFrame:
 SELECT repo, path, CAST(line_no AS BIGINT) AS line_no, NULLIF(m, '') AS "match", CAST(1 AS BIGINT) AS suppressed FROM k""",
 )
 def o33(spark: SparkSession, d: str) -> DataFrame:
-    always, strict = r"AKIA[A-Z0-9]{16}", "(?:hathis)|(?:thatthe)"
-    combined = f"(?:{always})|{strict}"
+    always = "AKIA[A-Z0-9]{16}"
     key = F.lit("AKIA" + "0" * 9 + "EXAMPLE")  # a documented placeholder, put before each line
     rows = lines(spark, d).select("repo", "path", "line_no", F.concat(key, F.lit(" "), "line").alias("line"))
-    sets = T.repos(spark, d).select("repo", F.lit(combined).alias("combined"), F.lit(strict).alias("strict"), F.lit(always).alias("exemptible"))
+    sets = T.repos(spark, d).select("repo", F.expr(f"array(named_struct('stem', '_always', 'pattern', '{always}'), named_struct('stem', 'x', 'pattern', 'hathis'), named_struct('stem', 'x', 'pattern', 'thatthe'))").alias("patterns"))
     hits = scanning.scan_lines(rows, sets)
     return scanning.suppress_known(hits, sets).select("repo", "path", *long("line_no"), "match", *long("suppressed"))
 
@@ -390,11 +389,8 @@ def o36(spark: SparkSession, d: str) -> DataFrame:
     return scanning.scan_diffs(diffs(spark, d), deny_sets(spark, d), scoped(spark, d), GLOBS).select("repo", "diff_id", "path", "blob", *long("line_no", "column"), "preview", "engagement", "pattern_id")
 
 
-COMBINED = "|".join(f"(?:{p})" for _, _, p in T.MARKERS)
-
-
 def history_hits(spark: SparkSession, d: str) -> DataFrame:
-    return scanning.scan_history(S.parse_history(logs(spark, d)), scoped(spark, d), COMBINED)
+    return scanning.scan_history(S.parse_history(logs(spark, d)), scoped(spark, d))
 
 
 HISTORY_HITS_SQL = f"{T.SCOPED_SQL}, {HISTORY_SQL}, history_hits AS (SELECT DISTINCT c.repo, c.sha, c.summary, s.stem, {T.ID_SQL.format('s.stem', 's.pattern')} AS pattern_id, {T.PREVIEW_SQL.format('s.pattern')} AS pattern FROM commit_lines c JOIN scoped s ON s.repo = c.repo AND regexp_matches(c.content, '(?i)' || s.pattern))"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.text import strip
+from sluice.sources.patches import cut_diff, cut_log, cut_texts
 
 MAX_BYTES = 1 << 20
 SNIFF = 8192
@@ -35,40 +36,19 @@ def load_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> tu
     return sort_files(raw, max_bytes)
 
 
-def _fill(value: Column, key: str) -> Column:
-    """The last value so far within a key, in order of pos."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-
-
-def parse_diffs(diffs: DataFrame) -> DataFrame:
-    """O3. Added lines of unified diffs (diff_id, text): path, blob, virtual_line and content.
+def parse_diffs(diffs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """O3. Added lines of unified diffs (diff_id, text): the columns `keep`, path, blob, virtual_line and content.
 
     The path comes from the new side's header, or from the stanza's opening line; a deleted file has
-    no added lines. Headers count only outside a hunk, whose length its own header gives; quoted paths
-    stay quoted. virtual_line runs over the whole diff.
+    no added lines. Headers count only outside a hunk, whose length its own header gives; a new stanza
+    or hunk ends one that is cut short. Quoted paths stay quoted. virtual_line runs over the whole
+    diff. A diff is cut in the task that reads it, and its pieces are dealt to all cores before they
+    become lines: one shuffle of the added text, none by diff.
     """
-    lines = diffs.select("diff_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = F.col("line")
-    hunk = r"^@@ -[0-9]+(?:,([0-9]+))? \+[0-9]+(?:,([0-9]+))? @@"
-    size = lambda g: F.when(F.regexp_extract(line, hunk, g) == "", 1).otherwise(F.regexp_extract(line, hunk, g).cast("int"))
-    seq = Window.partitionBy("diff_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    opened = lines.withColumn("stanza", F.sum(line.startswith("diff --git ").cast("int")).over(seq)).withColumn("is_hunk", line.rlike(hunk))
-    opened = opened.withColumn("old_n", F.when(F.col("is_hunk"), size(1))).withColumn("new_n", F.when(F.col("is_hunk"), size(2))).withColumn("hunk", F.sum(F.col("is_hunk").cast("int")).over(seq))
-    inner = Window.partitionBy("diff_id", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("diff_id", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.substring("line", 1, 1)
-    body = (~F.col("is_hunk")) & (F.col("hunk") > 0) & ~line.startswith("diff --git ") & ~line.startswith("\\")
-    counted = opened.withColumn("adds", F.coalesce(F.sum((body & (first == "+")).cast("int")).over(before), F.lit(0))).withColumn("dels", F.coalesce(F.sum((body & (first == "-")).cast("int")).over(before), F.lit(0))).withColumn("both", F.coalesce(F.sum((body & ((first == " ") | (line == ""))).cast("int")).over(before), F.lit(0)))
-    counted = counted.withColumn("o", F.max("old_n").over(inner)).withColumn("n", F.max("new_n").over(inner))
-    inside = body & ((F.col("adds") + F.col("both") < F.col("n")) | (F.col("dels") + F.col("both") < F.col("o")))
-    marked = counted.withColumn("inside", F.coalesce(inside, F.lit(False))).withColumn("stanza_key", F.concat_ws("/", "diff_id", "stanza"))
-    header = ~F.col("inside")
-    path = F.when(header & line.startswith("+++ "), F.regexp_replace(F.substring(line, 5, 1 << 20), r"^b/|\t.*$", "")).when(line.startswith("diff --git "), F.regexp_extract(line, r"^diff --git a/.* b/(.*)$", 1))
-    blob = F.when(header & line.startswith("index "), F.regexp_extract(line, r"^index [0-9a-f]+\.\.([0-9a-f]{40,64})(?: |$)", 1))
-    placed = marked.withColumn("path", _fill(path, "stanza_key")).withColumn("blob", F.nullif(_fill(blob, "stanza_key"), F.lit("")))
-    added = placed.withColumn("added", F.col("inside") & (first == "+") & (F.col("path") != "/dev/null"))
-    numbered = added.withColumn("virtual_line", F.sum(F.col("added").cast("int")).over(seq))
-    return numbered.where("added").select("diff_id", "path", "blob", "virtual_line", F.substring("line", 2, 1 << 30).alias("content"))
+    keep = keep or ["diff_id"]
+    pieces = cut_texts(diffs.select(*keep, "text"), cut_diff, "path string, blob string, first long, lines string")
+    lines = pieces.hint("rebalance").select(*keep, "path", "blob", "first", F.posexplode(F.split("lines", "\n", -1)).alias("at", "content"))
+    return lines.select(*keep, "path", "blob", (F.col("first") + F.col("at")).alias("virtual_line"), "content")
 
 
 def changed_files(changes: DataFrame, files: DataFrame, names: str) -> DataFrame:
@@ -77,16 +57,14 @@ def changed_files(changes: DataFrame, files: DataFrame, names: str) -> DataFrame
     return files.join(wanted, ["repo", "path", "rev"], "left_semi")
 
 
-COMMIT = "^commit ([0-9a-f]{40,64}) ?(.*)$"
-
-
 def parse_history(logs: DataFrame) -> DataFrame:
-    """O5. Added and removed lines of logs (log_id, repo, text), one marker line `commit <sha> <summary>` per commit."""
-    lines = logs.select("log_id", "repo", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    mark = F.col("line").rlike(COMMIT)
-    sha = _fill(F.when(mark, F.regexp_extract("line", COMMIT, 1)), "log_id")
-    summary = _fill(F.when(mark, F.regexp_extract("line", COMMIT, 2)), "log_id")
-    kept = lines.withColumn("sha", sha).withColumn("summary", summary).where("sha is not null").where(F.col("line").rlike(r"^[+-]") & ~F.col("line").rlike(r"^(\+\+\+|---)( |$)"))
+    """O5. Added and removed lines of logs (log_id, repo, text), one marker line `commit <sha> <summary>` per commit.
+
+    Lines before the first marker, and the names of both sides of a file, are left out. As with diffs,
+    a log is cut where it is read and dealt out in pieces.
+    """
+    pieces = cut_texts(logs.select("log_id", "repo", "text"), cut_log, "sha string, summary string, lines string")
+    kept = pieces.hint("rebalance").select("log_id", "repo", "sha", "summary", F.explode(F.split("lines", "\n", -1)).alias("line"))
     return kept.select("log_id", "repo", "sha", "summary", F.substring("line", 1, 1).alias("sign"), F.substring("line", 2, 1 << 30).alias("content"))
 
 

@@ -6,7 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import credentials, patterns, policy, scanning
+from sluice.functions.text import pattern_id
+from sluice.operators import automaton, credentials, patterns, policy, scanning
+from sluice.plans import queries_a, queries_b
+from sluice.sources import patches
 from sluice.sources.files import explode_lines, parse_diffs, parse_history, sort_files
 
 PEM = "-" * 5 + "BEGIN RSA PRIVATE KEY" + "-" * 5
@@ -60,12 +63,121 @@ def test_against_loop(spark):
     assert got == want
 
 
-def test_many_sets_take_the_column_way(spark, monkeypatch):
+def test_many_sets_and_patterns(spark):
+    """A set of its own for every repo, seeds that overlap, letters that fold, patterns without seeds."""
+    rng = random.Random(13)
+    words = ["alpha", "alphabet", "betamax", "MAX", "straße", "ΣΊΣΥΦΟΣ", "kelvin", "ſecret", "10.20.30.40", "éclair", "abc", "zz9"]
+    rules = [("_always", 0, "alpha"), ("_always", 1, r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), ("a", 0, "alphabet"), ("a", 1, "(?:betamax|max)"), ("b", 0, "sísyphos|σίσυφος"), ("b", 1, "KELVIN"), ("c", 0, "SECRET"), ("c", 1, r"\bzz\d"), ("d", 0, "ab?c"), ("d", 1, "Éclair(?= alpha)")]
+    repos = [(f"r{i}", "scratch", [x for j, x in enumerate("abcd") if i >> j & 1], False) for i in range(16)]
+    scoped = patterns.scope_deny_set(spark.createDataFrame(repos, "repo string, class string, engagements array<string>, public boolean"), spark.createDataFrame(rules, "stem string, ord int, pattern string"))
+    rows = [(f"r{i % 16}", f"p{i}", "b" * 40, "\n".join(" ".join(rng.choice([*words, "\u212aelvin", "plain"]) for _ in range(rng.randrange(4))) for _ in range(4))) for i in range(160)]
+    got = scanning.scan_files(spark.createDataFrame(rows, "repo string, path string, blob string, text string").repartition(3), patterns.assemble_deny_sets(scoped), scoped)
+    want, every = set(), set()
+    for repo, path, _, text in rows:
+        own = [r for r in rules if r[0] not in repos[int(repo[1:])][2]]
+        for n, line in enumerate(text.split("\n"), 1):
+            found = [(m.start(), k) for k, r in enumerate(own) if (m := re.search(r[2], line, re.I))]
+            every |= {(repo, f"{path}:{n}", own[k][0], own[k][2]) for _, k in found}
+            if found:
+                matched = re.search(own[min(found)[1]][2], line, re.I)[0]
+                want.add((repo, path, n, min(found)[0] + 1, next((r[0] for r in own if re.search(r[2], matched, re.I)), None)))
+    assert {(r["repo"], r["path"], r["line_no"], r["column"], r["engagement"]) for r in got.collect()} == want
+    lines = explode_lines(spark.createDataFrame(rows, "repo string, path string, blob string, text string")).selectExpr("repo", "concat(path, ':', line_no) AS text_id", "line AS text")
+    ids = spark.createDataFrame([r[::2] for r in rules], "stem string, pattern string").withColumn("pattern_id", pattern_id("stem", "pattern"))
+    assert {tuple(r) for r in scanning.match_all(lines, scoped).join(ids, ["stem", "pattern_id"]).select("repo", "text_id", "stem", "pattern").collect()} == every
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [("licen[sc]e", ["licen"]), ("abc|defg", ["abc", "defg"]), ("abc|d", []), ("(?:abc|xyz)?q+", []), (r"\bAcme\b", ["acme"]), ("a(?:bcd)+e", ["bcd"]), ("(abc)(?!def)ghij", ["ghij"]), ("[a-z&&[^b]]foobar", []), (r"\v{2}abc", []), ("x{0}abc", ["abc"]), ("(unclosed", []), ("foo.*barbaz", ["barbaz"]), ("Σίσ", ["σίσ"])],
+)
+def test_seeds(pattern, want):
+    assert sorted(automaton.seeds(pattern)) == want
+
+
+def test_seeds_are_required():
+    """A text that matches holds a seed, whatever the letters' case."""
+    rng = random.Random(14)
+    parts = ["abc", "xyz", "k", "s", ".", "[ab]", "(?:foo|bar)", "(?:qux)?", "d{2}", r"\d", "(?=a)", "ß", "İ"]
+    for _ in range(400):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))
+        found = automaton.seeds(pattern)
+        for _ in range(30):
+            text = "".join(rng.choice(["abc", "ABC", "xyz", "k", "S", "f", "foo", "BAR", "qux", "dd", "7", "ß", "İ", "\u212a", "ſ"]) for _ in range(8))
+            if found and re.search(pattern, text, re.I):
+                assert any(s in automaton.fold(text) for s in found), (pattern, text)
+            assert len(automaton.fold(text)) == len(text)
+
+
+def test_deny_list_size_is_checked(spark, monkeypatch):
+    monkeypatch.setattr(automaton, "MAX_PATTERNS", 1)
     scoped, sets = setup(spark)
-    rows = files(spark, ("a", "zed\nAKIA" + "C" * 16))
-    plain = scanning.scan_files(rows, sets, scoped).collect()
-    monkeypatch.setattr(scanning, "CONSTANT_SETS", 0)
-    assert sorted(map(tuple, scanning.scan_files(rows, sets, scoped).collect())) == sorted(map(tuple, plain))
+    with pytest.raises(ValueError, match="too large"):
+        scanning.scan_files(files(spark, ("a", "zed")), sets, scoped)
+
+
+def test_hits_are_read_once(spark, data):
+    """Placeholders and attribution add no scan of the documents."""
+    for name, most in (("o29_scan_lines", 2), ("o35_scan_files", 3), ("o36_scan_diffs", 3), ("o32_attribute", 3), ("o69_fixture_audit", 3)):
+        plan = (queries_a.QUERIES | queries_b.QUERIES)[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[-1].count("FileScan parquet") <= most, name
+
+
+def plain_diff(text):
+    """(path, blob, virtual_line, content) of a diff, line by line."""
+    out, path, blob, old, new, n = [], None, None, 0, 0, 0
+    for line in text.split("\n"):
+        hunk = re.match(r"@@ -[0-9]+(?:,([0-9]+))? \+[0-9]+(?:,([0-9]+))? @@", line)
+        if line.startswith("diff --git "):
+            path, blob, old, new = (m[1] if (m := re.match("diff --git a/.* b/(.*)", line)) else ""), None, 0, 0
+        elif hunk:
+            old, new = (1 if g is None else int(g) for g in hunk.groups())
+        elif old > 0 or new > 0:
+            if line[:1] == "+" and path != "/dev/null":
+                n += 1
+                out.append((path, blob, n, line[1:]))
+            both = line[:1] in ("", " ")
+            old, new = old - (line[:1] == "-" or both), new - (line[:1] == "+" or both)
+        elif line.startswith("+++ "):
+            path = re.sub(r"^b/|\t.*", "", line[4:])
+        elif line.startswith("index "):
+            blob = m[1] if (m := re.match(r"index [0-9a-f]+\.\.([0-9a-f]{40,64})(?: |$)", line)) else None
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 12])
+def test_diffs_against_loop(spark, monkeypatch, piece):
+    monkeypatch.setattr(patches, "PIECE", piece)
+    rng = random.Random(15)
+    parts = ["diff --git a/x b/x", "diff --git odd", "--- a/x", "+++ b/y\tdate", "+++ /dev/null", "+++ b/z", f"index {'0' * 40}..{'a' * 40} 100644", "index 12..34", "@@ -1,2 +1,3 @@", "@@ -1 +1 @@ f", "@@ -0,0 +1,4 @@", "@@ odd", "+add", "+", "-del", " ctx", "", "\\ No newline", "+++ é", "+ü😀", "other"]
+    for _ in range(400):
+        text = "\n".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        got = [(p, b, first + i, line) for p, b, first, lines in patches.cut_diff(text.encode()) for i, line in enumerate(lines.split("\n"))]
+        assert got == plain_diff(text), text
+
+
+def test_long_diff(spark, monkeypatch):
+    """One hunk of 300,000 lines comes out in pieces, numbered through."""
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -0,0 +1,300000 @@\n" + "\n".join(f"+line {i}" for i in range(300_000))
+    rows = spark.createDataFrame([("d", "r", text), ("e", "r", None), ("f", "r", "")], "diff_id string, repo string, text string")
+    assert len(list(patches.cut_diff(text.encode()))) > 3
+    got = parse_diffs(rows, ["diff_id", "repo"]).agg(F.count("*"), F.sum("virtual_line"), F.count_if(F.col("content") == F.concat(F.lit("line "), F.col("virtual_line") - 1)), F.min("repo")).first()
+    assert tuple(got) == (300_000, 300_000 * 300_001 // 2, 300_000, "r")
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 12])
+def test_logs_against_loop(monkeypatch, piece):
+    monkeypatch.setattr(patches, "PIECE", piece)
+    rng = random.Random(16)
+    parts = [f"commit {'a' * 40} first é", f"commit {'b' * 64}", "commit short", "+one", "-two", " same", "--- a/f", "+++ b/f", "---", "+++", "---x", "+", "", "é"]
+    for _ in range(300):
+        text, want, at = "\n".join(rng.choice(parts) for _ in range(rng.randrange(20))), [], None
+        for line in text.split("\n"):
+            if m := re.match("commit ([0-9a-f]{40,64}) ?(.*)$", line):
+                at = m.groups()
+            elif at and line[:1] in ("+", "-") and not re.match(r"(\+\+\+|---)( |$)", line):
+                want.append((*at, line))
+        assert [(s, t, x) for s, t, lines in patches.cut_log(text.encode()) for x in lines.split("\n")] == want
 
 
 def test_diff_headers_inside_hunks(spark):
