@@ -28,24 +28,59 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reachable_commits(edges: DataFrame, tips: DataFrame, hops: int = 4) -> DataFrame:
-    """O72. (tip, sha): every ancestor of each tip (tip, sha), itself included; edges (child, parent).
+def _edges(edges: DataFrame) -> DataFrame:
+    return edges.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct()
+
 
-    A frontier moves along the edges, `hops` generations between two cuts of the lineage; commits
-    already reached are dropped by an anti join, so merges add no paths. No tips give no rows.
-    Fronts are kept as they were written; two are joined into one only where the older is no larger
-    than twice the newer, so a commit is written anew a logarithmic number of times.
+def contract_runs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs of commits with one parent and one child, and the links between them.
+
+    runs (node, head, pos): a commit belongs to the run of its only child if it is that child's only
+    parent; pos is its distance from the run's head, which itself is not listed. links (head, next):
+    the parents of a run's last commit, all of them heads. Each round follows the pointers of the
+    round before three deep, so a run of any length takes rounds by the logarithm of it. Commits of a
+    ring, which no history has, stay alone.
+    """
+    step = _cut(_edges(edges))
+    only = lambda a, b: step.groupBy(a).agg(F.count("*").alias("n"), F.min(b).alias(b)).where("n = 1").drop("n")
+    near = only("parent", "child").join(only("child", "parent").select("child"), "child", "left_semi")
+    runs = _cut(near.select(F.col("parent").alias("node"), F.col("child").alias("head"), F.lit(1).cast("long").alias("pos")))
+    left, reached = runs.count(), 1
+    while left:
+        by = lambda c: runs.select(F.col("node").alias(c), F.col("head").alias(f"{c}_head"), F.col("pos").alias(f"{c}_pos"))  # noqa: E731, B023
+        two = runs.join(by("b"), F.col("head") == F.col("b"), "left")
+        three = two.join(by("c"), F.col("b_head") == F.col("c"), "left")
+        pos = F.col("pos") + F.coalesce("b_pos", F.lit(0)) + F.coalesce("c_pos", F.lit(0))
+        runs = _cut(three.select("node", F.coalesce("c_head", "b_head", "head").alias("head"), pos.alias("pos")))
+        open_ = runs.join(runs.select(F.col("node").alias("head")), "head", "left_semi")
+        left = open_.count()
+        reached *= 3
+        if left and reached > 3 * step.count():
+            runs = _cut(runs.join(open_.select("node"), "node", "left_anti"))
+            break
+    ends = step.join(runs.select(F.col("node").alias("parent")), "parent", "left_anti")
+    links = ends.join(runs.select(F.col("node").alias("child"), "head"), "child", "left").select(F.coalesce("head", "child").alias("head"), F.col("parent").alias("next"))
+    return runs, _cut(links.distinct())
+
+
+def _closure(links: DataFrame, front: DataFrame, hops: int) -> DataFrame:
+    """(tip, head): the rows of front and all that links (head, next) lead to.
+
+    A frontier moves along the links, `hops` generations between two cuts of the lineage; heads
+    already reached are dropped by an anti join, so merges add no paths. Fronts are kept as they were
+    written; two are joined into one only where the older is no larger than twice the newer, so a row
+    is written anew a logarithmic number of times.
     """
-    front = _cut(tips.select("tip", "sha").where("sha is not null").distinct())
-    step = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
+    front = _cut(front.distinct())
+    step = links.select(F.col("head").alias("from"), "next")
     parts = [(front.count(), front)]
     seen = front
     while not front.isEmpty():
         reached, last = None, front
         for _ in range(hops):
-            last = last.join(step, last["sha"] == step["child"]).select("tip", F.col("parent").alias("sha")).distinct()
+            last = last.join(step, last["head"] == step["from"]).select("tip", F.col("next").alias("head")).distinct()
             reached = last if reached is None else reached.unionByName(last)
-        front = _cut(reached.distinct().join(seen, ["tip", "sha"], "left_anti"))
+        front = _cut(reached.distinct().join(seen, ["tip", "head"], "left_anti"))
         size, part = front.count(), front
         while parts and size and parts[-1][0] <= 2 * size:
             older, rows = parts.pop()
@@ -56,6 +91,22 @@ def reachable_commits(edges: DataFrame, tips: DataFrame, hops: int = 4) -> DataF
     return seen
 
 
+def reachable_commits(edges: DataFrame, tips: DataFrame, hops: int = 4) -> DataFrame:
+    """O72. (tip, sha): every ancestor of each tip (tip, sha), itself included; edges (child, parent).
+
+    Runs of commits are contracted first, so the rounds follow the merges, not the generations: a
+    tip reaches what is left of its own run, then whole runs, which are put back at the end. Several
+    commits of one tip count together. No tips give no rows, null commits none.
+    """
+    runs, links = contract_runs(edges)
+    wanted = tips.select("tip", "sha").where("sha is not null").distinct()
+    starts = _cut(wanted.join(runs.withColumnRenamed("node", "sha"), "sha", "left").select("tip", F.coalesce("head", "sha").alias("head"), F.coalesce("pos", F.lit(0).cast("long")).alias("least")))
+    whole = _closure(links, starts.select("tip", "head").join(links, "head").select("tip", F.col("next").alias("head")), hops)
+    reached = starts.unionByName(whole.withColumn("least", F.lit(0).cast("long"))).groupBy("tip", "head").agg(F.min("least").alias("least"))
+    inside = reached.join(runs, "head").where("pos >= least").select("tip", F.col("node").alias("sha"))
+    return reached.where("least = 0").select("tip", F.col("head").alias("sha")).unionByName(inside)
+
+
 def already_public(hits: DataFrame, repos: DataFrame, reachable: DataFrame) -> DataFrame:
     """O73. History hits (repo, sha, …): in public-facing repos those reachable from a remote warn, all others block."""
     known = reachable.select("repo", "sha").distinct().withColumn("known", F.lit(True))

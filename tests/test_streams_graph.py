@@ -1,6 +1,10 @@
 """Streams against their batch forms, and commit graphs against plain loops."""
 
 import datetime
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from sluice.operators import graph, sweep
 from sluice.plans import queries_b
@@ -29,8 +33,9 @@ def test_new_hits_once(spark, tmp_path):
 
 def test_long_tool_output_counts(spark):
     key = "ghp" + "_" + "a1B2" * 9
-    event = "to_json(named_struct('tool_name', 'bash', 'tool_response', named_struct('stdout', concat(repeat('line of output ', 600000), key)))) AS json"
-    events = spark.createDataFrame([(1, key)], "event_id long, key string").selectExpr("event_id", "timestamp '2024-01-01' AS ts", event)
+    # the length depends on a row, so that the 9 MB text is made in the task and is no constant of the plan
+    event = f"to_json(named_struct('tool_name', 'bash', 'tool_response', named_struct('stdout', concat(repeat('line of output ', cast(600000 + id AS int)), '{key}')))) AS json"
+    events = spark.range(1).selectExpr("id AS event_id", "timestamp '2024-01-01' AS ts", event)
     assert streams.tool_texts(events).selectExpr("octet_length(text) AS n").first()["n"] > 8 << 20
     assert [r["n"] for r in streams.credential_counts(events).collect()] == [1]
 
@@ -80,6 +85,77 @@ def test_reachability_over_many_fronts(spark):
     assert graph.reachable_commits(spark.createDataFrame(pairs, "child long, parent long"), none).collect() == []
 
 
+def ancestors(pairs, sha):
+    out, todo = set(), [sha]
+    while todo:
+        if (at := todo.pop()) not in out:
+            out.add(at)
+            todo += [p for c, p in pairs if c == at]
+    return out
+
+
+def history(rng, n):
+    """Edges (child, parent) of a graph with long runs, branches and merges; a larger number is younger."""
+    pairs = []
+    for v in range(2, n):
+        pairs.append((v, v - 1 if rng.random() < 0.8 else rng.randrange(1, v)))
+        if rng.random() < 0.15:
+            pairs.append((v, rng.randrange(1, v)))
+    return pairs
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reachability_at_random(spark, seed):
+    rng = random.Random(seed)
+    pairs = history(rng, 60)
+    tips = [(rng.choice("abcde"), rng.randrange(1, 60)) for _ in range(8)] + [("z", None), ("y", 999)]
+    want = {(t, a) for t, sha in tips if sha is not None for a in ancestors(pairs, sha)}
+    rows = pairs + pairs[:5] + [(7, 7), (None, 3), (3, None)]
+    got = graph.reachable_commits(spark.createDataFrame(rows, "child long, parent long"), spark.createDataFrame(tips, "tip string, sha long"), hops=2).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """100,000 commits in a line: rounds by the logarithm, also from the middle of the line."""
+    cuts, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: cuts.append(1) or cut(df))
+    edges = spark.range(1, 100_000).selectExpr("id AS child", "id - 1 AS parent")
+    tips = spark.createDataFrame([("top", 99_999), ("mid", 40_000), ("mid", 30_000)], "tip string, sha long")
+    got = {r["tip"]: (r["n"], r["low"], r["high"]) for r in graph.reachable_commits(edges, tips).groupBy("tip").agg(F.count("*").alias("n"), F.min("sha").alias("low"), F.max("sha").alias("high")).collect()}
+    assert got == {"top": (100_000, 0, 99_999), "mid": (40_001, 0, 40_000)}
+    assert len(cuts) < 20
+
+
+def test_ring_ends(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 4), (4, 3)], "child long, parent long")
+    got = graph.reachable_commits(edges, spark.createDataFrame([("a", 5), ("b", 2)], "tip string, sha long")).collect()
+    assert sorted(map(tuple, got)) == [("a", x) for x in range(1, 6)] + [("b", x) for x in range(1, 4)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_new_ref_plan_against_loop(spark, seed):
+    """Modes, bases and counts of new refs over a random history."""
+    rng = random.Random(seed)
+    pairs = history(rng, 40)
+    news, remotes = [(f"n{i}", rng.randrange(1, 40)) for i in range(8)], [(f"r{i}", rng.randrange(1, 25)) for i in range(3)]
+    known = set().union(*(ancestors(pairs, s) for _, s in remotes))
+    want = {}
+    for ref, sha in news:
+        fresh = ancestors(pairs, sha) - known
+        border = {p for c, p in pairs if c in fresh and p in known}
+        common = set.intersection(*(ancestors(pairs, b) for b in border)) if border else set()
+        best = {c for c in common if not any(c != d and c in ancestors(pairs, d) for d in common)}
+        if not fresh:
+            want[ref] = ("nothing-new", None, 0, 0)
+        elif len(border) == 1:
+            want[ref] = ("incremental", min(border), len(fresh), 1)
+        else:
+            want[ref] = ("widened", min(best), len(fresh), len(border)) if len(border) > 1 and best else ("full-history", None, len(fresh), len(border))
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = graph.new_ref_plan(table(pairs, "child long, parent long"), table(news, "ref string, sha long"), table(remotes, "name string, sha long")).collect()
+    assert {r["ref"]: (r["mode"], r["base"], r["n_new"], r["n_border"]) for r in got} == want
+
+
 def test_new_ref_plan(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (4, 2), (5, 3), (5, 4), (6, 3), (8, 7)], "child long, parent long")
     refs = lambda rows: spark.createDataFrame(rows, "ref string, sha long")
@@ -94,7 +170,5 @@ def test_push_routes(spark):
 
 
 def test_prune_needs_days(spark):
-    import pytest
-
     with pytest.raises(ValueError):
         sweep.prune_seen(None, -1, "2024-01-01")
