@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.text import strip
+from sluice.operators.scanning import few
 
 MAX_NEW = 1000
-ORG = r"(?i)\borg:\S+"
+ORG = r"(?i)\borg:(\S+)"  # in any case, wherever a word begins: one pattern for the rule, the filter and the phrase
 
 
 def validate_queries(queries: DataFrame) -> DataFrame:
@@ -30,13 +31,13 @@ def phrase(query: Column | str) -> Column:
     """What a query looks for: its quoted phrase, or what is left without the filter."""
     query = F.col(query) if isinstance(query, str) else query
     quoted = F.coalesce(F.nullif(F.regexp_extract(query, '"([^"]+)"', 1), F.lit("")), F.regexp_extract(query, "'([^']+)'", 1))
-    return F.lower(F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_replace(query, r"(?:^|\s)org:\S+", " "))))
+    return F.lower(F.when(quoted != "", quoted).otherwise(strip(F.regexp_replace(query, ORG, " "))))
 
 
 def sweep(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """O54. Lines (org, repo, path, line_no, line) that hold a query's phrase, without excluded orgs and repos."""
-    q = queries.select("name", phrase("query").alias("phrase"), F.lower(F.regexp_extract("query", r"(?:^|\s)org:(\S+)", 1)).alias("org"), "exclude_org", "exclude_repo")
-    pairs = corpus.join(F.broadcast(q), "org").where(F.contains(F.lower("line"), F.col("phrase")))  # queries: tens
+    q = queries.select("name", phrase("query").alias("phrase"), F.lower(F.regexp_extract("query", ORG, 1)).alias("org"), "exclude_org", "exclude_repo")
+    pairs = corpus.join(few(q), "org").where(F.contains(F.lower("line"), F.col("phrase")))
     inside = ~F.coalesce(F.array_contains("exclude_org", F.col("org")), F.lit(False)) & ~F.coalesce(F.array_contains("exclude_repo", F.col("repo")), F.lit(False))
     return pairs.where(inside).select("name", "org", "repo", "path", "line_no")
 

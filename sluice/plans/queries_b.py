@@ -44,7 +44,7 @@ def o44(spark: SparkSession, d: str) -> DataFrame:
 
 LOCKS = {  # kind: (file name, text with {u} for the page's URL and {i} for its id, package, line, value)
     "npm-lock": ("package-lock.json", '{{"packages": {{"node_modules/p{i}": {{"resolved": "{u}"}}, "x": {{"resolved": "https://registry.npmjs.org/x"}}}}, "dependencies": {{"a": {{"resolved": "https://registry.npmjs.org/a", "dependencies": {{"b": {{"resolved": "{u}"}}}}}}}}}}'),
-    "yarn-lock": ("yarn.lock", '# yarn\\np{i}@1:\\n  version "1"\\n  resolved "{u}"\\n'),
+    "yarn-lock": ("yarn.lock", '# yarn\\np{i}@1:\\n  version "1"\\n  resolved "{u}"\\nq{i}@2:\\n  resolution: "{u}"\\n'),
     "pnpm-lock": ("pnpm-lock.yaml", "packages:\\n  p{i}:\\n    resolution:\\n      tarball: \\'{u}\\'\\n"),
     "npmrc": (".npmrc", "; c\\n@s:registry={u}\\n//registry.npmjs.org/:_authToken=x\\n"),
     "cargo-lock": ("Cargo.lock", '[[package]]\\nname = "c{i}"\\nsource = "registry+{u}"\\n'),
@@ -55,21 +55,19 @@ LOCKS = {  # kind: (file name, text with {u} for the page's URL and {i} for its
 
 
 def locks(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
-    """A lock file of each kind for every page, with the page's URL as a registry."""
-    p = read(spark, d, "pages")
-    out = None
+    """A lock file of each kind for every page, with the page's URL as a registry, out of one read."""
+    files = []
     for k in kinds:
         name, text = LOCKS[k]
         parts = text.replace("{{", "\x01").replace("}}", "\x02").replace("{u}", "' || url || '").replace("{i}", "' || page_id || '").replace("\x01", "{").replace("\x02", "}")
-        df = p.selectExpr("'src' || (page_id % 20) AS repo", f"'p' || page_id || '/{name}' AS path", f"'{parts}' AS text")
-        out = df if out is None else out.unionByName(df)
-    return out
+        files.append(f"named_struct('path', 'p' || page_id || '/{name}', 'text', '{parts}')")
+    return read(spark, d, "pages").selectExpr("'src' || (page_id % 20) AS repo", f"inline(array({', '.join(files)}))")
 
 
 def locks_sql(*kinds: str) -> str:
     rows = {
         "npm-lock": [("package-lock.json", "'node_modules/p' || page_id", "NULL", "url"), ("package-lock.json", "'a > b'", "NULL", "url")],
-        "yarn-lock": [("yarn.lock", "NULL", "4", "split_part(url, '#', 1)")],
+        "yarn-lock": [("yarn.lock", "NULL", "4", "split_part(url, '#', 1)"), ("yarn.lock", "NULL", "6", "split_part(url, '#', 1)")],
         "pnpm-lock": [("pnpm-lock.yaml", "'packages > p' || page_id || ' > resolution'", "NULL", "url")],
         "npmrc": [(".npmrc", "NULL", "2", "'@s:registry=' || url")],
         "cargo-lock": [("Cargo.lock", "'c' || page_id", "3", "'registry+' || url")],
@@ -119,15 +117,24 @@ def o50(spark: SparkSession, d: str) -> DataFrame:
 KIND = "CASE page_id % 6 WHEN 0 THEN 'npmrc' WHEN 1 THEN 'pip' WHEN 2 THEN 'docker' WHEN 3 THEN 'maven' WHEN 4 THEN 'cargo' ELSE 'yarnrc' END"
 
 
+SECOND = "'m' || (page_id % 50) || '.corp.example'"  # a second host on one line of pip, a credential store, another scope
+
+
 @query(
     "o51_harvest_env_hosts",
-    f"""WITH rows AS (SELECT 's' || page_id AS source, {KIND} AS kind, page_id % 3 AS priority, {HOST_SQL} AS host FROM pages),
+    f"""WITH own AS (SELECT 's' || page_id AS source, {KIND} AS kind, page_id % 3 AS priority, {HOST_SQL} AS host, page_id FROM pages),
+rows AS (SELECT source, kind, priority, host FROM own UNION ALL SELECT source, kind, priority, {SECOND} FROM own WHERE kind IN ('pip', 'docker', 'yarnrc')),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY priority, source) AS n, count(*) OVER (PARTITION BY host) AS seen FROM rows)
 SELECT host, source, kind, host <> 'therha.example.com' AS private, seen FROM ranked WHERE n = 1""",
 )
 def o51(spark: SparkSession, d: str) -> DataFrame:
-    text = "CASE page_id % 6 WHEN 0 THEN '# c\\nregistry=' || url WHEN 1 THEN '[global]\\nindex-url = ' || url WHEN 2 THEN '{\"auths\": {\"' || url || '\": {\"auth\": \"x\"}}}' WHEN 3 THEN '<mirror><url> ' || url || ' </url></mirror>' WHEN 4 THEN '[r]\\nindex = \"sparse+' || url || '\"' ELSE 'npmRegistryServer: \"' || url || '\"' END"
-    configs = read(spark, d, "pages").selectExpr("'s' || page_id AS source", f"{KIND} AS kind", "page_id % 3 AS priority", f"{text} AS text")
+    text = (
+        "CASE page_id % 6 WHEN 0 THEN '# c\\nregistry=' || url WHEN 1 THEN '[global]\\nextra-index-url = ' || url || ' https://' || m || '/simple'"
+        " WHEN 2 THEN '{\"auths\": {\"' || url || '\": {\"auth\": \"x\"}}, \"credsStore\": \"' || m || '\"}' WHEN 3 THEN '<mirror><url> ' || url || ' </url></mirror>' WHEN 4 THEN '[r]\\nindex = \"sparse+' || url || '\"'"
+        " ELSE 'npmRegistryServer: \"' || url || '\"\\nnpmScopes:\\n  s:\\n    npmRegistryServer: \"https://' || m || '\"' END"
+    )
+    pages = read(spark, d, "pages").selectExpr("page_id", "url", f"{SECOND} AS m")
+    configs = pages.selectExpr("'s' || page_id AS source", f"{KIND} AS kind", "page_id % 3 AS priority", f"{text} AS text")
     return egress.harvest_env_hosts(configs, ALLOWED).select("host", "source", "kind", "private", "seen")
 
 
@@ -151,7 +158,7 @@ def o53(spark: SparkSession, d: str) -> DataFrame:
     return sweep.validate_queries(asked).select("pos", "issue")
 
 
-SEARCHES = [("licence", 'org:org1 "license"', ["org9"], ["src7"]), ("eranea", "org:org2 eranea", [], []), ("ndble", 'org:org0 "ndble"', [], ["src0"]), ("other", "org:org4 ndble", ["org4"], []), ("none", "org:org3 nowheretobefound", [], [])]
+SEARCHES = [("licence", 'org:org1 "license"', ["org9"], ["src7"]), ("eranea", "ORG:org2 eranea", [], []), ("ndble", 'org:org0 "ndble"', [], ["src0"]), ("other", "org:org4 ndble", ["org4"], []), ("none", "org:org3 nowheretobefound", [], [])]
 
 
 def searches(spark: SparkSession) -> DataFrame:
