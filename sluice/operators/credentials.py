@@ -46,12 +46,19 @@ def summarise(hits: DataFrame) -> DataFrame:
     return hits.groupBy("text_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("n"))
 
 
-def published_audit(files: DataFrame, marker_hits: DataFrame) -> DataFrame:
-    """O70. Findings in package contents (package, path, text): marker hits and credential shapes.
+NO_PATTERNS = "NO_MARKER_PATTERNS"
 
-    A package without any marker pattern in force gets an informational row.
+
+def published_audit(files: DataFrame, marker_hits: DataFrame, armed: DataFrame) -> DataFrame:
+    """O70. Findings in package contents (package, path, text) by kind: marker hits (package, path) and credential shapes.
+
+    A package without any marker pattern in force (armed lists those that have some) gets an
+    informational row, so that its silence is not taken for a clean result; credential shapes are
+    looked for in it all the same.
     """
     texts = files.select(F.concat_ws("\x1f", "package", "path").alias("text_id"), "text")
     part = lambda i: F.split("text_id", "\x1f")[i]
     shapes = scan_credentials(texts).select(part(0).alias("package"), part(1).alias("path"), F.col("kind").alias("what"))
-    return marker_hits.select("package", "path", F.lit("MARKER").alias("what")).unionByName(shapes).groupBy("package", "what").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
+    found = marker_hits.select("package", "path", F.lit("MARKER").alias("what")).unionByName(shapes).groupBy("package", "what").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
+    bare = files.select("package").distinct().join(armed.select("package"), "package", "left_anti").select("package", F.lit(NO_PATTERNS).alias("what"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("files"))
+    return found.withColumn("informational", F.lit(False)).unionByName(bare.withColumn("informational", F.lit(True)))

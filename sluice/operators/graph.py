@@ -110,7 +110,7 @@ def reachable_commits(edges: DataFrame, tips: DataFrame, hops: int = 4) -> DataF
 def already_public(hits: DataFrame, repos: DataFrame, reachable: DataFrame) -> DataFrame:
     """O73. History hits (repo, sha, …): in public-facing repos those reachable from a remote warn, all others block."""
     known = reachable.select("repo", "sha").distinct().withColumn("known", F.lit(True))
-    flagged = hits.join(F.broadcast(repos.select("repo", "public")), "repo").join(known, ["repo", "sha"], "left")
+    flagged = hits.join(repos.select("repo", "public"), "repo").join(known, ["repo", "sha"], "left")
     public = F.col("public") & F.coalesce("known", F.lit(False))
     return flagged.withColumn("already_public", public).withColumn("action", F.when(public, "warn").otherwise("block")).drop("known")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.text import EXEMPT_GLOBS, escape_regex, pattern_id, redact
+from sluice.operators.joins import few
 
 ALWAYS, INFRA = "_always", "_private_infra"
 MIN_ID = 4
@@ -51,7 +52,7 @@ def flat_union(patterns: DataFrame) -> DataFrame:
 
 def scope_deny_set(repos: DataFrame, patterns: DataFrame) -> DataFrame:
     """O14. Per repo (repo, class, engagements, public): its patterns; open classes leave out their own engagements'."""
-    pairs = repos.select("repo", "class", "engagements", "public").crossJoin(F.broadcast(patterns))  # patterns: tens to hundreds
+    pairs = repos.select("repo", "class", "engagements", "public").crossJoin(few(patterns))  # each repo against the whole deny list, which lint bounds
     own = F.col("class").isin(OPEN_CLASSES) & F.array_contains("engagements", F.col("stem"))
     inside = (F.col("stem") == ALWAYS) | ((F.col("stem") == INFRA) & F.col("public")) | (~F.col("stem").isin(ALWAYS, INFRA) & ~F.coalesce(own, F.lit(False)))
     return pairs.where(inside).select("repo", "stem", "ord", "pattern")
@@ -181,7 +182,7 @@ def resolve_engagement(queries: DataFrame, engagements: DataFrame) -> DataFrame:
     """O28. Per query the engagement with that id, else that name, else the only one that contains it; else the candidates."""
     q = F.lower("query")
     rank = F.when(F.lower("id") == q, 1).when(F.lower("name") == q, 2).when(F.contains(F.lower("id"), q) | F.contains(F.lower("name"), q), 3)
-    pairs = queries.join(F.broadcast(engagements.select("id", "name")), rank.isNotNull(), "left").withColumn("rank", rank)  # engagements: tens
+    pairs = queries.join(few(engagements.select("id", "name")), rank.isNotNull(), "left").withColumn("rank", rank)
     best = pairs.withColumn("best", F.min("rank").over(Window.partitionBy("query"))).where("rank is null or rank = best")
     found = best.groupBy("query").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("rank").alias("rank"))
     return found.select("query", F.when(F.size("ids") == 1, F.col("ids")[0]).alias("id"), F.when(F.size("ids") > 1, F.array_join("ids", ",")).alias("candidates"), "rank")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import parse_remote
-from sluice.operators.patterns import ALWAYS
+from sluice.operators.joins import few
+from sluice.operators.patterns import ALWAYS, scope_warnings
 
 CLASSES = ["public-eligible", "private-strict", "customer-coupled", "scratch"]
 DEFAULT_CLASS = "private-strict"
@@ -45,10 +46,10 @@ def classify_repos(repos: DataFrame, personal: DataFrame, owned: DataFrame, rule
     personal (org), owned (org, id), rules (pos, pattern, class): small. inert: ids without markers.
     """
     r = repos.withColumn("remote", parse_remote("remote_url")).withColumn("org", F.col("remote.org"))
-    r = r.join(F.broadcast(personal.select("org", F.lit(True).alias("mine"))), "org", "left").join(F.broadcast(owned.groupBy("org").agg(F.min("id").alias("id"))), "org", "left")
+    r = r.join(personal.select("org", F.lit(True).alias("mine")).distinct(), "org", "left").join(owned.groupBy("org").agg(F.min("id").alias("id")), "org", "left")
     fits = F.rlike("remote_url", F.concat(F.lit("(?iu)"), F.col("pattern")))
-    by_rule = r.select("repo", "remote_url").join(F.broadcast(rules.select("pos", "pattern", F.col("class").alias("rule_class"))), fits).groupBy("repo").agg(F.min_by("rule_class", "pos").alias("rule_class"))
-    r = r.join(by_rule, "repo", "left").join(F.broadcast(inert.select("id", F.lit(True).alias("inert"))), "id", "left")
+    by_rule = r.select("repo", "remote_url").join(few(rules.select("pos", "pattern", F.col("class").alias("rule_class"))), fits).groupBy("repo").agg(F.min_by("rule_class", "pos").alias("rule_class"))
+    r = r.join(by_rule, "repo", "left").join(inert.select("id", F.lit(True).alias("inert")).distinct(), "id", "left")
     found = F.when(F.col("mine"), "public-eligible").when(F.col("id").isNotNull(), "customer-coupled").otherwise(F.col("rule_class"))
     status = F.when(F.col("class_explicit"), "already-classified").when(F.col("remote_url").isNull(), "skipped").when(F.col("mine") | F.col("id").isNotNull(), "applied").when(F.col("rule_class").isNotNull(), "needs-confirmation").otherwise("skipped")
     reason = F.when(status == "skipped", F.when(F.col("remote_url").isNull(), "no remote").otherwise("no match"))
@@ -81,18 +82,51 @@ def repo_checks(repos: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+BLOCKING_UNLESS_SCRATCH = ["markers", "egress"]  # checks whose findings only advise on a scratch repo
+
+
+def plan_checks(repos: DataFrame, names: list[str], armed: DataFrame) -> DataFrame:
+    """O68. Which checks of each repo (repo, class, visibility, remote_url, public) run: (repo, check, skip_reason, advisory).
+
+    A check without anything to hold a repo against is skipped and says why: markers without a deny
+    set (armed lists the repos that have one), visibility that is unknown, egress of a repo that does
+    not face the public, and all checks of a folder that is no repository (is_repo, if there is such
+    a column). Markers and egress only advise on scratch repos.
+    """
+    is_repo = F.coalesce("is_repo", F.lit(True)) if "is_repo" in repos.columns else F.lit(True)
+    rows = repos.join(armed.select("repo", F.lit(True).alias("armed")).distinct(), "repo", "left").withColumn("check", F.explode(F.array(*map(F.lit, names))))
+    check = F.col("check")
+    reason = (
+        F.when(~is_repo, "not a repository")
+        .when((check == "markers") & F.col("armed").isNull(), "empty deny set")
+        .when((check == "visibility") & (F.coalesce("visibility", F.lit("unknown")) == "unknown"), "visibility not known")
+        .when((check == "egress") & ~F.coalesce("public", F.lit(False)), "not public-facing")
+    )
+    return rows.select("repo", "check", reason.alias("skip_reason"), (check.isin(BLOCKING_UNLESS_SCRATCH) & (F.col("class") == "scratch")).alias("advisory"))
+
+
 def audit_verdict(findings: DataFrame, checks: DataFrame) -> DataFrame:
-    """O68. Per (repo, check), per repo and in all: findings, informational ones and ok. checks (repo, check, skipped) lists what ran."""
+    """O68. Per (repo, check), per repo and in all: findings (repo, check, informational), what ran, was skipped and failed, and ok.
+
+    checks (repo, check, skip_reason, advisory) lists what there is; one with a reason did not run.
+    A check fails by a finding that is not informational; an advisory one has such findings counted
+    as advised and does not fail. The reason is told for each check.
+    """
     n = findings.groupBy("repo", "check").agg(F.count("*").alias("found"), F.count_if("informational").alias("informational"))
     rows = checks.join(n, ["repo", "check"], "left").na.fill(0, ["found", "informational"])
-    failed = F.col("found") > F.col("informational")
-    return rows.rollup("repo", "check").agg(F.sum("found").alias("found"), F.sum("informational").alias("informational"), F.count_if(~F.col("skipped")).alias("run"), F.count_if(failed & ~F.col("skipped")).alias("failed"), (F.count_if(failed & ~F.col("skipped")) == 0).alias("ok"))
+    ran = F.col("skip_reason").isNull()
+    hit = ran & (F.col("found") > F.col("informational"))
+    failed = F.count_if(hit & ~F.col("advisory"))
+    return rows.rollup("repo", "check").agg(
+        F.sum("found").alias("found"), F.sum("informational").alias("informational"), F.count_if(ran).alias("run"), F.count_if(~ran).alias("skipped"),
+        F.when(F.grouping("check") == 0, F.max("skip_reason")).alias("skip_reason"), F.count_if(hit & F.col("advisory")).alias("advised"), failed.alias("failed"), (failed == 0).alias("ok"),
+    )
 
 
 def trust_boundaries(repos: DataFrame, owned: DataFrame, personal: DataFrame) -> DataFrame:
     """O71. Orgs a repo belongs to: its engagements', the personal ones if public-eligible, else its remote's."""
-    pairs = repos.select("repo", F.explode("engagements").alias("id")).join(F.broadcast(owned), "id").select("repo", "org")
-    mine = repos.where("class = 'public-eligible'").select("repo").crossJoin(F.broadcast(personal.select("org").distinct()))
+    pairs = repos.select("repo", F.explode("engagements").alias("id")).join(owned, "id").select("repo", "org")
+    mine = repos.where("class = 'public-eligible'").select("repo", F.lit("mine").alias("of")).join(few(personal.select(F.lit("mine").alias("of"), "org").distinct()), "of").select("repo", "org")
     orgs = pairs.unionByName(mine).groupBy("repo").agg(F.array_sort(F.collect_set("org")).alias("orgs"))
     remote = F.when(parse_remote("remote_url").isNotNull(), F.array(parse_remote("remote_url")["org"])).otherwise(F.array().cast("array<string>"))
     return repos.join(orgs, "repo", "left").select("repo", "class", F.coalesce("orgs", remote).alias("orgs"), F.col("orgs").isNull().alias("from_remote"))
@@ -105,10 +139,16 @@ def overlapping(boundaries: DataFrame) -> DataFrame:
 
 
 def repo_status(repos: DataFrame, scoped: DataFrame, engagements: DataFrame, active: Column) -> DataFrame:
-    """O90. Per repo: allowed ids with name and state, denying stems, pattern counts and whether it faces the public."""
+    """O90. Per repo: allowed ids with name and state, denying stems, pattern counts, whether it faces the public, and warnings."""
     e = engagements.select("id", "name", active.alias("active"))
-    ids = repos.select("repo", F.explode_outer("engagements").alias("id")).join(F.broadcast(e), "id", "left")
+    ids = repos.select("repo", F.explode_outer("engagements").alias("id")).join(e, "id", "left")
     label = F.concat_ws(":", "id", F.coalesce("name", "id"), F.when(F.coalesce("active", F.lit(False)), "active").otherwise("inactive"))
     allowed = ids.where("id is not null").groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set(label)), ",").alias("allowed"))
     denied = scoped.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("stem")), ",").alias("denying"), F.count("*").alias("n_patterns"), F.count_if(F.col("stem") == ALWAYS).alias("n_always"))
-    return repos.join(allowed, "repo", "left").join(denied, "repo", "left").select("repo", "class", public_facing().alias("public"), F.coalesce("allowed", F.lit("")).alias("allowed"), F.coalesce("denying", F.lit("")).alias("denying"), F.coalesce("n_patterns", F.lit(0)).alias("n_patterns"), F.coalesce("n_always", F.lit(0)).alias("n_always"))
+    ignored = scope_warnings(repos).select("repo", F.concat(F.lit("class "), "class", F.lit(" ignores "), "ignored").alias("warnings"))
+    return repos.join(allowed, "repo", "left").join(denied, "repo", "left").join(ignored, "repo", "left").select("repo", "class", public_facing().alias("public"), F.coalesce("allowed", F.lit("")).alias("allowed"), F.coalesce("denying", F.lit("")).alias("denying"), F.coalesce("n_patterns", F.lit(0)).alias("n_patterns"), F.coalesce("n_always", F.lit(0)).alias("n_always"), F.coalesce("warnings", F.lit("")).alias("warnings"))
+
+
+def unarmed_engagements(engagements: DataFrame, markers: DataFrame, active: Column) -> DataFrame:
+    """O90. Active engagements (id, name) without a marker (id): nothing is denied on their behalf."""
+    return engagements.where(active).select("id", "name").join(markers.select("id").distinct(), "id", "left_anti")

@@ -15,13 +15,6 @@ from sluice.operators.patterns import ALWAYS, assemble_deny_sets
 from sluice.sources.files import explode_lines, parse_diffs
 
 ALLOW = r"(?i)leak-scan:\s*allow\b"
-BROADCAST_ROWS = 100_000  # tables of more rows than this are joined by a shuffle
-
-
-def few(df: DataFrame) -> DataFrame:
-    """Broadcast a table only if it is counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
 
 def _matches(text: Column, pattern: Column) -> Column:
     return F.rlike(text, F.concat(F.lit("(?iu)"), pattern))
@@ -167,6 +160,10 @@ def scan_history(commit_lines: DataFrame, scoped: DataFrame) -> DataFrame:
     return pairs.select("repo", "sha", "summary", "stem", pattern_id("stem", "pattern").alias("pattern_id"), redact("pattern").alias("pattern")).distinct()
 
 
+ACCOUNT_HOSTS = [  # Fixed values: host names that hold an account id
+    r"[A-Za-z0-9][A-Za-z0-9-]*-[0-9]{12}\.d\.codeartifact\.[A-Za-z0-9-]+\.amazonaws\.com",
+    r"[0-9]{12}\.dkr\.ecr\.[A-Za-z0-9-]+\.amazonaws\.com",
+]
 RUNS = ["0123456789", "1234567890", "9876543210", "0987654321"]
 
 
@@ -177,10 +174,38 @@ def scan_account_ids(lines: DataFrame) -> DataFrame:
     return ids.where(~F.col("account").rlike(r"^(\d)\1{11}$") & ~F.col("account").rlike(f"^(?:{counting})$"))
 
 
+def text_hygiene(lines: DataFrame) -> DataFrame:
+    """O42. Lines (…, line) that hold an account id, a registry host with one, or a raw NUL: the columns of lines without the line, kind and n.
+
+    Hosts whose id is all zeros are documented placeholders. What was found is never told.
+    """
+    host = F.regexp_extract_all("line", F.lit(rf"(?i)(?<![A-Za-z0-9-])(?:{'|'.join(ACCOUNT_HOSTS)})"), F.lit(0))
+    real = F.size(F.filter(host, lambda h: ~h.rlike(r"(?<![0-9])0{12}(?![0-9])")))
+    nul = F.length("line") - F.length(F.replace("line", F.lit("\x00"), F.lit("")))
+    keep = [c for c in lines.columns if c != "line"]
+    ids = scan_account_ids(lines).groupBy(*keep).agg(F.count("*").cast("int").alias("n")).withColumn("kind", F.lit("account-id"))
+    kinds = F.inline(F.array(F.struct(F.lit("registry-host").alias("kind"), real.alias("n")), F.struct(F.lit("nul").alias("kind"), nul.alias("n"))))
+    return lines.select(*keep, kinds).where("n > 0").unionByName(ids)
+
+
+REDACTED = "<redacted>"
+
+
+def redact_stems(stems: Column | str) -> Column:
+    """O43. Stems with all but the always stem hidden; their number and places stay."""
+    return F.transform(stems, lambda s: F.when(s == ALWAYS, s).otherwise(F.lit(REDACTED)))
+
+
 def redact_attribution(hits: DataFrame) -> DataFrame:
     """O43. Hits without the names of engagements: only the always stem stays, other pattern ids lose theirs."""
     always = F.col("engagement") == ALWAYS
-    return hits.withColumn("pattern_id", F.when(always, F.col("pattern_id")).when(F.col("pattern_id").isNotNull(), F.lit("<redacted>"))).withColumn("engagement", F.when(always, F.col("engagement")))
+    return hits.withColumn("pattern_id", F.when(always, F.col("pattern_id")).when(F.col("pattern_id").isNotNull(), F.lit(REDACTED))).withColumn("engagement", F.when(always, F.col("engagement")))
+
+
+def attribution_summary(hits: DataFrame) -> DataFrame:
+    """O43. Hits by what may be told of them, and how many distinct engagements stand behind each line."""
+    known = hits.withColumn("who", F.when(F.col("engagement") != ALWAYS, F.col("engagement")))
+    return redact_attribution(known).groupBy("engagement", "pattern_id").agg(F.count("*").alias("hits"), F.count_distinct("who").alias("engagements"))
 
 
 # Folders that hold fixtures, and folders that are not searched for them.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.text import strip, synthesize_marker, truncate_lines
+from sluice.operators.joins import few
 from sluice.sources.files import explode_lines
 
 FILE_CAP, REPO_CAP, MAX_FILES, MAX_DOCS, MAX_DEPTH = 16 << 10, 128 << 10, 200, 10, 4
@@ -23,11 +24,11 @@ def prose_kind(path: Column | str = "path") -> Column:
     folder = F.concat(F.lit("/"), F.lower(path))
     skipped = name.rlike(SKIP_NAMES) | folder.rlike("/(?:" + "|".join(d.replace(".", r"\.") for d in SKIP_DIRS) + ")/") | (F.size(F.split(path, "/")) > MAX_DEPTH + 1)
     kind = (
-        F.when(name.rlike(r"^readme(?:\.(?:md|txt|rst))?$"), "readme")
+        F.when(name.startswith("readme"), "readme")
         .when(name == "codeowners", "codeowners")
-        .when(name.rlike(r"^licen[sc]e(?:\.(?:md|txt))?$"), "license")
+        .when(name.rlike("^licen[sc]e"), "license")
         .when(F.lower(path) == "package.json", "package")
-        .when(path.rlike(r"(?i)^(?:docs/.*|[^/]+)\.md$"), "doc")
+        .when(path.rlike(r"(?i)^(?:docs/)?[^/]+\.md$"), "doc")
     )
     return F.when(~skipped, kind)
 
@@ -130,4 +131,4 @@ def filter_dependencies(tokens: DataFrame, names: DataFrame) -> DataFrame:
 def accept_markers(candidates: DataFrame, threshold: float, identities: DataFrame) -> DataFrame:
     """O89. Candidates sure enough that are not the user's own names (identity)."""
     own = identities.select(F.lower("identity").alias("low")).distinct()
-    return candidates.where(F.col("confidence") >= threshold).withColumn("low", F.lower("token")).join(F.broadcast(own), "low", "left_anti").drop("low")
+    return candidates.where(F.col("confidence") >= threshold).withColumn("low", F.lower("token")).join(few(own), "low", "left_anti").drop("low")

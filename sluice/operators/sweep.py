@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.text import strip
-from sluice.operators.scanning import few
+from sluice.operators.joins import few
 
 MAX_NEW = 1000
 ORG = r"(?i)\borg:(\S+)"  # in any case, wherever a word begins: one pattern for the rule, the filter and the phrase
@@ -59,17 +59,38 @@ def cap_per_query(hits: DataFrame, cap: int = MAX_NEW) -> DataFrame:
     return ranked.where(F.col("place") <= cap).join(more, "name")
 
 
-def prune_seen(seen: DataFrame, days: int, as_of: str) -> DataFrame:
-    """O58. Entries as old as `days` at most, and undated ones."""
+def _kept(days: int, as_of: str) -> Column:
     if days < 0:
         raise ValueError("days must not be negative")
-    return seen.where(F.col("first_seen").isNull() | (F.col("first_seen") >= F.date_sub(F.to_date(F.lit(as_of)), days)))
+    return F.col("first_seen").isNull() | (F.col("first_seen") >= F.date_sub(F.to_date(F.lit(as_of)), days))
+
+
+def prune_seen(seen: DataFrame, days: int, as_of: str) -> DataFrame:
+    """O58. Entries as old as `days` at most, and undated ones."""
+    return seen.where(_kept(days, as_of))
+
+
+def prune_counts(seen: DataFrame, days: int, as_of: str) -> DataFrame:
+    """O58. How many entries stay and how many go: one row (kept, pruned)."""
+    kept = F.count_if(_kept(days, as_of))
+    return seen.agg(kept.alias("kept"), (F.count("*") - kept).alias("pruned"))
+
 
+def sweep_summary(queries: DataFrame, candidates: DataFrame, fresh: DataFrame, status: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """O59. Per query: its hits, new ones and status; then the run as a whole. Queries without hits stay.
 
-def sweep_summary(queries: DataFrame, candidates: DataFrame, fresh: DataFrame, status: DataFrame) -> DataFrame:
-    """O59. Per query: totals, new hits and its status; queries without hits stay; degraded if any failed."""
+    status (name, ok, throttled) tells how each query went; a query not listed went well. degraded: a
+    query failed. total_new: new hits of all queries. runs (run, started) are the runs before this
+    one; previous_run is when the latest of them began, null for the first.
+    """
     total = candidates.groupBy("name").agg(F.count("*").alias("total"))
     new = fresh.groupBy("name").agg(F.count("*").alias("new"), F.max("truncated").alias("truncated"))
     rows = queries.select("name").join(total, "name", "left").join(new, "name", "left").join(status, "name", "left")
-    ok = F.coalesce("ok", F.lit(True))
-    return rows.select("name", ok.alias("ok"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("new", F.lit(0)).alias("new"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.max(~ok).over(Window.partitionBy()).alias("degraded"))
+    ok, added = F.coalesce("ok", F.lit(True)), F.coalesce("new", F.lit(0))
+    throttled = F.coalesce("throttled", F.lit(False)) if "throttled" in status.columns else F.lit(False)
+    before = runs.agg(F.max_by("started", "run").alias("at")).first()["at"] if runs is not None else None  # one value
+    whole = Window.partitionBy()  # a row a query: tens
+    return rows.select(
+        "name", ok.alias("ok"), throttled.alias("throttled"), F.coalesce("total", F.lit(0)).alias("total"), added.alias("new"), F.coalesce("truncated", F.lit(False)).alias("truncated"),
+        F.max(~ok).over(whole).alias("degraded"), F.sum(added).over(whole).alias("total_new"), F.lit(before).cast("timestamp").alias("previous_run"),
+    )

@@ -446,7 +446,23 @@ def o42(spark: SparkSession, d: str) -> DataFrame:
     return scanning.scan_account_ids(rows).select("path", *long("line_no"), "account")
 
 
-@query("o43_redact_attribution", f"WITH {T.hits_sql('false')} SELECT CASE WHEN engagement = '_always' THEN engagement END AS engagement, CASE WHEN engagement = '_always' THEN pattern_id WHEN pattern_id IS NOT NULL THEN '<redacted>' END AS pattern_id, count(*) AS hits FROM hits GROUP BY ALL")
+@query(
+    "o42_text_hygiene",
+    f"""WITH {T.LINES_SQL}, n AS (SELECT path, line_no, lpad(CAST(doc_id * 7919 AS VARCHAR), 12, '1') AS a, doc_id % 4 AS k FROM lines),
+found AS (SELECT path, line_no, 'account-id' AS kind, 1 AS n FROM n WHERE k = 0 AND len(list_distinct(string_split(a, ''))) > 1 AND NOT contains('01234567890123456789012', a) AND NOT contains('98765432109876543210987', a)
+UNION ALL SELECT path, line_no, 'account-id', 1 FROM n WHERE k = 1 AND len(list_distinct(string_split(a, ''))) > 1 AND NOT contains('01234567890123456789012', a) AND NOT contains('98765432109876543210987', a)
+UNION ALL SELECT path, line_no, 'registry-host', 1 FROM n WHERE k = 1 UNION ALL SELECT path, line_no, 'nul', 2 FROM n WHERE k = 2)
+SELECT path, CAST(line_no AS BIGINT) AS line_no, kind, CAST(n AS BIGINT) AS n FROM found""",
+)
+def o42b(spark: SparkSession, d: str) -> DataFrame:
+    """Account ids, hosts with one, placeholders of such hosts and raw NULs after each line."""
+    a = "lpad(cast(doc_id * 7919 AS string), 12, '1')"
+    said = f"CASE doc_id % 4 WHEN 0 THEN ' ' || {a} WHEN 1 THEN ' https://' || {a} || '.dkr.ecr.eu-west-1.amazonaws.com/x' WHEN 2 THEN concat(char(0), 'x', char(0)) ELSE ' acme-000000000000.d.codeartifact.eu-west-1.amazonaws.com' END"
+    rows = lines(spark, d).select("path", "line_no", F.concat("line", F.expr(said)).alias("line"))
+    return scanning.text_hygiene(rows).select("path", *long("line_no"), "kind", *long("n"))
+
+
+@query("o43_redact_attribution", f"WITH {T.hits_sql('false')} SELECT CASE WHEN engagement = '_always' THEN engagement END AS engagement, CASE WHEN engagement = '_always' THEN pattern_id WHEN pattern_id IS NOT NULL THEN '<redacted>' END AS pattern_id, count(*) AS hits, count(DISTINCT CASE WHEN engagement <> '_always' THEN hits.engagement END) AS engagements FROM hits GROUP BY 1, 2")
 def o43(spark: SparkSession, d: str) -> DataFrame:
     hits = scanning.attribute(scanning.scan_lines(lines(spark, d), deny_sets(spark, d)), scoped(spark, d))
-    return scanning.redact_attribution(hits).groupBy("engagement", "pattern_id").agg(F.count("*").alias("hits"))
+    return scanning.attribution_summary(hits)

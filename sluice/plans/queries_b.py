@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from sluice.operators.patterns import active, scope_deny_set
 from sluice.plans import queries_a as A
 from sluice.plans import tables as T
 from sluice.plans.tables import AS_OF, read
+from sluice.sources.files import load_runs, save_run
 from sluice.streaming import streams
 
 QUERIES: dict = {}
@@ -215,14 +218,25 @@ def o58(spark: SparkSession, d: str) -> DataFrame:
     return sweep.prune_seen(normalise_seen(A.seen(spark, d)), 60, AS_OF).select("hit_key", F.col("first_seen").cast("string").alias("first_seen"))
 
 
+@query("o58_prune_counts", f"WITH {A.SEEN_SQL} SELECT count(*) FILTER (first_seen IS NULL OR first_seen >= DATE '2024-06-01' - 60) AS kept, count(*) FILTER (first_seen < DATE '2024-06-01' - 60) AS pruned FROM seen")
+def o58b(spark: SparkSession, d: str) -> DataFrame:
+    from sluice.sources.files import normalise_seen
+
+    return sweep.prune_counts(normalise_seen(A.seen(spark, d)), 60, AS_OF)
+
+
 @query(
     "o59_sweep_summary",
-    f"""WITH {CANDIDATES_SQL} SELECT s.name, s.name <> 'other' AS ok, (SELECT count(*) FROM candidates c WHERE c.name = s.name) AS total, (SELECT count(*) FROM capped c WHERE c.name = s.name AND place <= 40) AS new, coalesce((SELECT bool_or(truncated) FROM capped c WHERE c.name = s.name), false) AS truncated, true AS degraded FROM searches s""",
+    f"""WITH {CANDIDATES_SQL} SELECT s.name, s.name <> 'other' AS ok, s.name = 'ndble' AS throttled, (SELECT count(*) FROM candidates c WHERE c.name = s.name) AS total, (SELECT count(*) FROM capped c WHERE c.name = s.name AND place <= 40) AS new, coalesce((SELECT bool_or(truncated) FROM capped c WHERE c.name = s.name), false) AS truncated, true AS degraded, (SELECT CAST(count(*) AS BIGINT) FROM capped WHERE place <= 40) AS total_new, TIMESTAMP '2024-05-02 06:00:00' AS previous_run FROM searches s""",
 )
 def o59(spark: SparkSession, d: str) -> DataFrame:
     q = searches(spark)
-    status = q.select("name", (F.col("name") != "other").alias("ok"))
-    return sweep.sweep_summary(q, candidates(spark, d), sweep.cap_per_query(fresh(spark, d), 40), status)
+    status = q.select("name", (F.col("name") != "other").alias("ok"), (F.col("name") == "ndble").alias("throttled"))
+    found, capped, root = candidates(spark, d), sweep.cap_per_query(fresh(spark, d), 40), f"{A.shared_root(spark)}/runs-{uuid.uuid4().hex}"
+    for run, began in enumerate(["2024-05-01 06:00:00", "2024-05-02 06:00:00"], 1):  # two earlier runs, kept as they were
+        save_run(sweep.sweep_summary(q, found, capped, status).select("name", "new"), root, run, began)
+    last = sweep.sweep_summary(q, found, capped, status, load_runs(spark, root, "name string, new long", before=3))
+    return last.withColumn("previous_run", F.col("previous_run").cast("timestamp_ntz"))
 
 
 def tool_events(spark: SparkSession, d: str) -> DataFrame:
@@ -328,18 +342,19 @@ def o67(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "o68_audit_verdict",
-    f"""WITH {T.hits_sql(T.EXEMPT_SQL)}, {CHECKS_SQL}, findings AS (SELECT repo, 'markers' AS "check", path_exempt AND engagement = '_always' AS informational FROM hits UNION ALL SELECT repo, "check", false FROM checks),
-kinds AS (SELECT unnest(['markers', 'visibility', 'remote', 'engagement']) AS "check"), ran AS (SELECT repo, "check", class = 'scratch' AND "check" = 'visibility' AS skipped FROM repos, kinds),
-rows AS (SELECT r.repo, r."check", r.skipped, count(f."check") AS found, count(*) FILTER (coalesce(f.informational, false)) AS informational FROM ran r LEFT JOIN findings f ON f.repo = r.repo AND f."check" = r."check" GROUP BY ALL)
-SELECT repo, "check", CAST(sum(found) AS BIGINT) AS found, CAST(sum(informational) AS BIGINT) AS informational, count(*) FILTER (NOT skipped) AS run, count(*) FILTER (NOT skipped AND found > informational) AS failed, count(*) FILTER (NOT skipped AND found > informational) = 0 AS ok FROM rows GROUP BY ROLLUP (repo, "check")""",
+    f"""WITH {T.hits_sql(T.EXEMPT_SQL)}, {CHECKS_SQL}, findings AS (SELECT repo, 'markers' AS "check", path_exempt AND engagement = '_always' AS informational FROM hits UNION ALL SELECT repo, "check", false FROM checks UNION ALL SELECT f.repo, 'egress', false FROM ({locks_sql("cargo-lock")}) f WHERE f.repo IN (SELECT repo FROM repos WHERE public)),
+kinds AS (SELECT unnest(['markers', 'visibility', 'remote', 'engagement', 'egress']) AS "check"), ran AS (SELECT repo, "check", CASE WHEN n % 9 = 8 THEN 'not a repository' WHEN "check" = 'markers' AND n % 6 = 5 THEN 'empty deny set' WHEN "check" = 'visibility' AND n % 7 = 1 THEN 'visibility not known' WHEN "check" = 'egress' AND NOT public THEN 'not public-facing' END AS reason, class = 'scratch' AND "check" IN ('markers', 'egress') AS advisory FROM repos, kinds),
+rows AS (SELECT r.repo, r."check", r.reason, r.advisory, count(f."check") AS found, count(*) FILTER (coalesce(f.informational, false)) AS informational FROM ran r LEFT JOIN findings f ON f.repo = r.repo AND f."check" = r."check" GROUP BY ALL)
+SELECT repo, "check", CAST(sum(found) AS BIGINT) AS found, CAST(sum(informational) AS BIGINT) AS informational, count(*) FILTER (reason IS NULL) AS run, count(*) FILTER (reason IS NOT NULL) AS skipped, CASE WHEN GROUPING("check") = 0 THEN max(reason) END AS skip_reason,
+count(*) FILTER (reason IS NULL AND found > informational AND advisory) AS advised, count(*) FILTER (reason IS NULL AND found > informational AND NOT advisory) AS failed, count(*) FILTER (reason IS NULL AND found > informational AND NOT advisory) = 0 AS ok FROM rows GROUP BY ROLLUP (repo, "check")""",
 )
 def o68(spark: SparkSession, d: str) -> DataFrame:
     r = T.repos(spark, d)
     hits = A.file_hits(spark, d).select("repo", F.lit("markers").alias("check"), F.coalesce(F.col("path_exempt") & (F.col("engagement") == "_always"), F.lit(False)).alias("informational"))
-    findings = hits.unionByName(policy.repo_checks(r).select("repo", "check", F.lit(False).alias("informational")))
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("markers", "visibility", "remote", "engagement")]))
-    ran = r.select("repo", "class", kinds.alias("check")).select("repo", "check", ((F.col("class") == "scratch") & (F.col("check") == "visibility")).alias("skipped"))
-    return policy.audit_verdict(findings, ran)
+    private = egress.egress_findings(locks(spark, d, "cargo-lock"), r, ALLOWED).select("repo", F.lit("egress").alias("check"))
+    findings = hits.unionByName(policy.repo_checks(r).select("repo", "check").unionByName(private).withColumn("informational", F.lit(False)))
+    asked = r.withColumn("is_repo", F.expr("n % 9 <> 8")).withColumn("visibility", F.expr("CASE WHEN n % 7 = 1 THEN 'unknown' ELSE visibility END"))
+    return policy.audit_verdict(findings, policy.plan_checks(asked, ["markers", "visibility", "remote", "engagement", "egress"], r.where("n % 6 <> 5")))
 
 
 @query("o69_fixture_audit", f"WITH {T.hits_sql('false')} SELECT repo, path, CAST(line_no AS BIGINT) AS line_no, preview, engagement, engagement = '_always' AS informational FROM hits WHERE path LIKE 'tests/fixtures/%'")
@@ -350,10 +365,11 @@ def o69(spark: SparkSession, d: str) -> DataFrame:
 SHAPES_SQL = " UNION ALL ".join(f"SELECT repo, path, '{k}' AS what, len(regexp_extract_all(text, '(?i){s}')) AS n FROM files" for k, s in credentials.SHAPES.items()).replace("[\\x22']", "[\\x22\\x27]")
 
 
-@query("o70_published_audit", f"WITH {T.hits_sql('false')}, f AS (SELECT repo, path, 'MARKER' AS what, 1 AS n FROM hits UNION ALL SELECT * FROM ({SHAPES_SQL}) WHERE n > 0) SELECT repo AS package, what, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT path) AS files FROM f GROUP BY ALL")
+@query("o70_published_audit", f"WITH {T.hits_sql('false')}, f AS (SELECT repo, path, 'MARKER' AS what, 1 AS n FROM hits UNION ALL SELECT * FROM ({SHAPES_SQL}) WHERE n > 0) SELECT repo AS package, what, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT path) AS files, false AS informational FROM f WHERE what <> 'MARKER' OR repo NOT LIKE '%7' GROUP BY ALL UNION ALL SELECT DISTINCT repo, 'NO_MARKER_PATTERNS', 0, 0, true FROM files WHERE repo LIKE '%7'")
 def o70(spark: SparkSession, d: str) -> DataFrame:
-    hits = scanning.scan_lines(A.lines(spark, d), A.deny_sets(spark, d)).select(F.col("repo").alias("package"), "path")
-    return credentials.published_audit(T.files(spark, d).select(F.col("repo").alias("package"), "path", "text"), hits)
+    sets = A.deny_sets(spark, d).where("repo NOT LIKE '%7'")  # packages without any pattern in force
+    hits = scanning.scan_lines(A.lines(spark, d), sets).select(F.col("repo").alias("package"), "path")
+    return credentials.published_audit(T.files(spark, d).select(F.col("repo").alias("package"), "path", "text"), hits, sets.select(F.col("repo").alias("package")))
 
 
 @query("o71_trust_boundaries", f"WITH {T.REPOS_SQL}, {BOUNDARY_SQL} SELECT a.repo, b.repo AS other, CAST(len(list_intersect(a.orgs, b.orgs)) AS BIGINT) AS shared FROM boundaries a JOIN boundaries b ON a.repo < b.repo AND list_has_any(a.orgs, b.orgs)")
@@ -537,8 +553,14 @@ def o89(spark: SparkSession, d: str) -> DataFrame:
     "o90_repo_status",
     f"""WITH {T.SCOPED_SQL}, e(id, name, active) AS (VALUES ('alpha', 'Alpha Ltd', true), ('beta', 'Beta Co', false))
 SELECT r.repo, r.class, r.public, coalesce((SELECT string_agg(u || ':' || coalesce(e.name, u) || ':' || CASE WHEN e.active THEN 'active' ELSE 'inactive' END, ',' ORDER BY u) FROM (SELECT unnest(r.engagements) AS u) x LEFT JOIN e ON e.id = u), '') AS allowed,
-coalesce((SELECT string_agg(DISTINCT stem, ',' ORDER BY stem) FROM scoped s WHERE s.repo = r.repo), '') AS denying, (SELECT count(*) FROM scoped s WHERE s.repo = r.repo) AS n_patterns, (SELECT count(*) FROM scoped s WHERE s.repo = r.repo AND stem = '_always') AS n_always FROM repos r""",
+coalesce((SELECT string_agg(DISTINCT stem, ',' ORDER BY stem) FROM scoped s WHERE s.repo = r.repo), '') AS denying, (SELECT count(*) FROM scoped s WHERE s.repo = r.repo) AS n_patterns, (SELECT count(*) FROM scoped s WHERE s.repo = r.repo AND stem = '_always') AS n_always, CASE WHEN r.class NOT IN ('customer-coupled', 'scratch') AND len(r.engagements) > 0 THEN 'class ' || r.class || ' ignores ' || array_to_string(r.engagements, ',') ELSE '' END AS warnings FROM repos r""",
 )
 def o90(spark: SparkSession, d: str) -> DataFrame:
     e = spark.createDataFrame([("alpha", "Alpha Ltd", None), ("beta", "Beta Co", "2020-01-01")], "id string, name string, ended string")
     return policy.repo_status(T.repos(spark, d), scope_deny_set(T.repos(spark, d), T.markers(spark)), e, active(AS_OF))
+
+
+@query("o90_unarmed_engagements", f"WITH {T.TERMS_SQL}, marked AS (SELECT DISTINCT stem FROM all_markers WHERE stem NOT LIKE '%3') SELECT id, name FROM engagements WHERE active AND id NOT IN (SELECT stem FROM marked)")
+def o90b(spark: SparkSession, d: str) -> DataFrame:
+    """Active engagements of which the registry holds no marker."""
+    return policy.unarmed_engagements(T.engagements(spark, d), T.terms(spark, d).where("id NOT LIKE '%3'"), active(AS_OF))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from sluice.functions.text import strip
 from sluice.sources.patches import cut_diff, cut_log, cut_texts
@@ -99,6 +100,16 @@ def write_audit(records: DataFrame, path: str) -> None:
     records.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
 
 
+def stream_audit(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """O8. The same folders from a stream of records; with its checkpoint a restarted stream repeats none. Start it with a trigger.
+
+    Each batch appends files to the folders of its days, which take the place of rotation by size.
+    read_audit reads what finished batches wrote.
+    """
+    dated = records.withColumn("day", F.to_date("ts"))
+    return dated.writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
 def read_audit(spark: SparkSession, path: str, schema: str, tail: int | None = None) -> DataFrame:
     """O8. Records, malformed lines as rows with _corrupt_record; the last `tail` by time."""
     found = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
@@ -136,6 +147,21 @@ def save_seen(seen: DataFrame, root: str, version: int) -> str:
     return path
 
 
+def save_run(summary: DataFrame, root: str, run: int, started: str) -> None:
+    """O59. Write the summary of a sweep as run number `run`; a run written before is replaced."""
+    summary.withColumn("started", F.to_timestamp(F.lit(started))).write.mode("overwrite").parquet(f"{root.rstrip('/')}/run={run}")
+
+
+def load_runs(spark: SparkSession, root: str, schema: str, before: int | None = None) -> DataFrame:
+    """O59. Summaries of earlier runs with their run numbers, those before `before` if it is given; none for a missing folder."""
+    whole = f"{schema}, started timestamp, run int"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], whole)
+    runs = spark.read.schema(whole).option("basePath", root).parquet(f"{root.rstrip('/')}/run=*")
+    return runs if before is None else runs.where(F.col("run") < before)
+
+
 def normalise_seen(entries: DataFrame) -> DataFrame:
     """O10. Older entries (hit_key, value) without a parsable date have none."""
     return entries.select("hit_key", F.try_to_date("value").alias("first_seen"))

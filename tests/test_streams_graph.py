@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import graph, sweep
 from sluice.plans import queries_b
+from sluice.sources import files
 from sluice.streaming import streams
 
 
@@ -172,3 +173,57 @@ def test_push_routes(spark):
 def test_prune_needs_days(spark):
     with pytest.raises(ValueError):
         sweep.prune_seen(None, -1, "2024-01-01")
+
+
+def test_seen_state_expires_as_the_batch_prunes(spark, tmp_path):
+    """A key is new once, pruned when its days are over, and new again after that."""
+    day = lambda n, h=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n, hours=h)
+    rng = random.Random(17)
+    first = [(f"k{i}", day(rng.randrange(20), rng.randrange(24))) for i in range(40)]
+    again = [(k, t + datetime.timedelta(hours=2)) for k, t in first[:10]]
+    parts = [first + again, [("late", day(60))], [("k0", day(61)), ("last", day(61))]]
+    folder = str(tmp_path / "in")
+    schema = "hit_key string, ts timestamp"
+    for rows in parts:  # one batch each, so that the watermark passes between them
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(folder)
+        live = spark.readStream.schema(schema).json(folder)
+        run(streams.stream_seen(live, 10), str(tmp_path / "out"), str(tmp_path / "cp"))
+    told = [(r["hit_key"], r["what"], r["at"]) for r in spark.read.schema("hit_key string, what string, at timestamp").json(str(tmp_path / "out")).collect()]
+    want = {k: min(t for n, t in first + again if n == k) for k, _ in first}
+    assert {(k, t) for k, w, t in told if w == "pruned"} == set(want.items())
+    assert sorted(k for k, w, _ in told if w == "new") == sorted([*want, "late", "k0", "last"])
+    seen = spark.createDataFrame([(k, t.date()) for k, t in want.items()] + [("late", day(60).date()), ("odd", None)], "hit_key string, first_seen date")
+    counts = sweep.prune_counts(seen, 10, "2024-03-02").first()
+    assert counts["pruned"] == sum(w == "pruned" for _, w, _ in told) and counts["kept"] == 2
+    assert sweep.prune_seen(seen, 10, "2024-03-02").count() == counts["kept"]
+
+
+def test_audit_stream_is_written_once(spark, tmp_path):
+    """Stopped and started again, with new files between: every record once, in the folder of its day."""
+    schema = "ts timestamp, action string, actor string"
+    record = lambda i: (datetime.datetime(2024, 1, 1 + i % 3), f"a{i % 2}", f"u{i}")
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for part in (range(5), range(5, 9), range(0)):
+        spark.createDataFrame([record(i) for i in part], schema).coalesce(1).write.mode("append").json(source)
+        for _ in range(2):
+            q = files.stream_audit(spark.readStream.schema(schema).json(source), out, cp).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+    got = files.read_audit(spark, out, schema)
+    assert sorted((r["action"], r["actor"]) for r in got.where("_corrupt_record is null").collect()) == sorted(record(i)[1:] for i in range(9))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("day=")) == ["day=2024-01-01", "day=2024-01-02", "day=2024-01-03"]
+    assert [r["actor"] for r in files.read_audit(spark, out, schema, tail=1).collect()] in (["u2"], ["u5"], ["u8"])
+
+
+def test_runs_are_kept(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    assert files.load_runs(spark, root, "name string").count() == 0
+    q = spark.createDataFrame([("a",), ("b",)], "name string")
+    none = spark.createDataFrame([], "name string, truncated boolean")
+    status = spark.createDataFrame([("b", False, True)], "name string, ok boolean, throttled boolean")
+    first = sweep.sweep_summary(q, none, none, status, files.load_runs(spark, root, "name string"))
+    assert [(r["name"], r["ok"], r["throttled"], r["degraded"], r["total_new"], r["previous_run"]) for r in first.orderBy("name").collect()] == [("a", True, False, True, 0, None), ("b", False, True, True, 0, None)]
+    for run_no, at in ((1, "2024-01-01 00:00:00"), (2, "2024-01-02 00:00:00"), (2, "2024-01-03 00:00:00")):
+        files.save_run(q, root, run_no, at)
+    for before, at in ((3, "2024-01-03"), (2, "2024-01-01")):
+        runs = files.load_runs(spark, root, "name string", before)
+        assert {str(r["previous_run"])[:10] for r in sweep.sweep_summary(q, none, none, status, runs).collect()} == {at}
