@@ -64,6 +64,16 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
+def row_check() -> Column:
+    """A second hash of a document row: with row_key 128 bits, so that no two of any number of rows are taken for one."""
+    return F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")), "doc_id")
+
+
+def row_id() -> Column:
+    """Both hashes of a document row as one column."""
+    return F.struct(row_key().alias("key"), row_check().alias("check"))
+
+
 def scratch(df: DataFrame, name: str) -> str:
     """A column name that df does not use yet (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialize, scratch, table
-from sluice.llm.spans import SPANS, as_spans, blank, chars, hits, joined, redact
+from sluice.llm.common import materialize, row_id, scratch, table
+from sluice.llm.spans import SPANS, as_spans, blank, chars, hits, joined, let, redact, running
 
 # The start conditions keep long runs linear; \G admits a match that begins where the last one ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -68,19 +68,18 @@ def _words(bare: Column) -> Column:
 
 
 def _places(bare: Column, remove: Column, general: Column) -> Column:
-    """Spans of every word that is among the terms; an array grows only where there is one."""
+    """Spans of every word that is among the terms; offsets are running sums over all words, so cost grows with their number."""
     gaps = F.transform(F.split(bare, WORD, -1), lambda g: F.length(g))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        kind = lambda ord_, name: F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), F.lit(ord_).alias("ord"), end.cast("int").alias("end"), F.lit(name).alias("kind"))))
-        out = F.when(F.array_contains(remove, F.lower(x["hit"])), kind(5, "remove")).when(F.array_contains(general, F.lower(x["hit"])), kind(4, "general")).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def place(rows: Column) -> Column:
+        before = running(F.transform(rows, lambda x: x["gap"] + F.length(x["hit"])), lambda a, b: a + b)
+        kind = lambda x: F.when(F.array_contains(remove, F.lower(x["hit"])), "remove").when(F.array_contains(general, F.lower(x["hit"])), "general")
+        marked = F.zip_with(rows, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["hit"])).alias("end"), kind(x).alias("kind")))
+        span = lambda s: F.struct(s["start"].cast("int").alias("start"), F.when(s["kind"] == "remove", 5).otherwise(4).alias("ord"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))
+        return F.transform(F.filter(marked, lambda s: s["kind"].isNotNull()), span)
 
     rows = F.filter(F.arrays_zip(gaps.alias("gap"), _words(bare).alias("hit")), lambda x: x["hit"].isNotNull())
-    return F.aggregate(rows, empty, add, lambda acc: acc["out"]).cast(SPANS)
+    return let(rows, place).cast(SPANS)
 
 
 def _disclosing(texts: DataFrame) -> DataFrame:
@@ -118,14 +117,14 @@ def _few(df: DataFrame, n: int) -> DataFrame:
 def find_private(docs: DataFrame) -> DataFrame:
     """Spans of personal data and of disclosing terms in each document (doc_id, text).
 
-    Returns doc_id, key (hash of id and text), base and extra: arrays of start, ord, end, kind, offsets
+    Returns doc_id, key (128 bits of id and text), base and extra: arrays of start, ord, end, kind, offsets
     in code points. Extra spans (kinds general and remove) never overlap base spans and stand at every
     occurrence of a disclosing term. A null text counts as empty and has no spans. Repeated rows and
     copies count as one text in the statistics and get equal spans. An empty table gives no rows.
     Other columns are not read.
     """
     t = F.col("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"key": F.xxhash64("doc_id", "text"), "copy": F.xxhash64("text")})
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"key": row_id(), "copy": F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))})
     # the matches become columns first, so that each is searched for once
     found = rows.select("doc_id", "key", "copy", "text", *[c.alias(k) for k, c in base_hits(t).items()])
     base = F.concat(*[as_spans(F.col(k), k, i) for i, k in enumerate(KINDS)]).alias("base")
@@ -157,7 +156,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     base, extra, key = (scratch(docs, c) for c in ("base_", "extra_", "key_"))
     found = find_private(docs).where((F.size("base") > 0) | (F.size("extra") > 0)).groupBy("key").agg(F.first("base").alias(base), F.first("extra").alias(extra)).withColumnRenamed("key", key)
     found = found.select(F.col(key).alias(f"{key}_"), base, extra)
-    hashed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    hashed = docs.withColumn(key, row_id())
     spans = F.concat(F.coalesce(F.col(base), F.array().cast(SPANS)), F.coalesce(F.col(extra), F.array().cast(SPANS)))
     both = hashed.join(found, F.col(key) == F.col(f"{key}_"), "left").withColumn("text", redact(F.col("text"), spans, LABELS))
     return both.select(*docs.columns)

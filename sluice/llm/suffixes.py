@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import arrow_map, few, materialize, powers, release, row_key, scratch, slices, table, values
+from sluice.llm.common import arrow_map, few, materialize, powers, release, row_check, row_key, scratch, slices, table, values
 
 LENGTH = 200
 GRAM = 32
@@ -77,13 +77,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of every text, WORK bytes at a time; the strings that start in one part are all in it."""
     for part in slices(batches, "text", size=WORK // 4):
         out: list[tuple[np.ndarray, ...]] = []
-        for key, text in zip(values(part, "key"), values(part, "text"), strict=True):
+        for key, check, text in zip(values(part, "key"), values(part, "check"), values(part, "text"), strict=True):
             data = text.encode()
             for low in range(0, max(len(data) - LENGTH + 1, 0), WORK):
                 g, h, start, end = contexts(data[low : low + WORK + LENGTH - 1])
-                out.append((np.full(len(g), key, np.int64), g, h, (start + low).astype(np.int32), (end + low).astype(np.int32)))
+                out.append((np.full(len(g), key, np.int64), np.full(len(g), check, np.int64), g, h, (start + low).astype(np.int32), (end + low).astype(np.int32)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "g", "h", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "check", "g", "h", "start", "end"])
 
 
 def two_stage_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -191,8 +191,8 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def _sort_group(pdf: pd.DataFrame) -> pd.DataFrame:
     found = repeated_starts(pdf["piece"].tolist())
-    out = [(key, a + at, b + at) for key, at, lone, starts in zip(pdf["key"], pdf["start"], pdf["lone"], found, strict=True) if lone for a, b in runs(starts, LENGTH)]
-    return pd.DataFrame(out, columns=["key", "start", "end"])
+    out = [(key, check, a + at, b + at) for key, check, at, lone, starts in zip(pdf["key"], pdf["check"], pdf["start"], pdf["lone"], found, strict=True) if lone for a, b in runs(starts, LENGTH)]
+    return pd.DataFrame(out, columns=["key", "check", "start", "end"])
 
 
 def _cut_pieces(part: pa.RecordBatch) -> dict:
@@ -220,49 +220,49 @@ def _merge_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Stretches of places near each other, those of one document merged where they touch: a passage comes out as one row, not one a context."""
     for batch in batches:
         places = batch.column(batch.schema.get_field_index("places")).flatten()
-        key, start, end = (places.field(c).to_numpy(zero_copy_only=False) for c in ("key", "start", "end"))
+        key, check, start, end = (places.field(c).to_numpy(zero_copy_only=False) for c in ("key", "check", "start", "end"))
         if not len(key):
             continue
-        order = np.lexsort((end, start, key))
-        key, start, end = key[order], start[order], end[order]
+        order = np.lexsort((end, start, check, key))
+        key, check, start, end = key[order], check[order], start[order], end[order]
         # places of one document never hold one another, so their ends rise with their starts
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (start[1:] > end[:-1])])
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (start[1:] > end[:-1])])
         last = np.r_[first[1:], len(key)] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(start[first], pa.int32()), pa.array(end[last], pa.int32())], names=["key", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(check[first], pa.int64()), pa.array(start[first], pa.int32()), pa.array(end[last], pa.int32())], names=["key", "check", "start", "end"])
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """key (hash of doc_id and text), start, end: bytes of each document (doc_id, text) that repeated strings cover.
+    """key, check (together 128 bits of doc_id and text), start, end: bytes of each document (doc_id, text) that repeated strings cover.
 
     Rows of one key may overlap. Texts shorter than LENGTH bytes, empty and null ones have none.
     Repeated rows count as occurrences of their own, and share a key.
     """
-    rows = docs.select(row_key().alias("key"), "text").where(F.octet_length(F.encode("text", "UTF-8")) >= LENGTH)
-    found = materialize(rows.mapInArrow(_scan, "key long, g long, h long, start int, end int"))
+    rows = docs.select(row_key().alias("key"), row_check().alias("check"), "text").where(F.octet_length(F.encode("text", "UTF-8")) >= LENGTH)
+    found = materialize(rows.mapInArrow(_scan, "key long, check long, g long, h long, start int, end int"))
     anchors = materialize(found.groupBy("g").count().where("count > 1").select("g"))
     # rows of neighbouring documents share a number, which stays with them through the joins
     nearby = F.shiftright(F.monotonically_increasing_id(), NEARBY_BITS).alias("nearby")
     again = materialize(found.select("*", nearby).join(few(anchors, BROADCAST_ANCHORS), "g"))
     release(found)
-    one = F.struct("key", "start", "end")
+    one = F.struct("key", "check", "start", "end")
     # copies of a context near each other travel as one row, so a passage that very many documents hold is few rows
     chunks = materialize(again.groupBy("g", "h", "nearby").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.collect_list(one).alias("places")))  # 2**NEARBY_BITS places at most
     kinds = materialize(chunks.groupBy("g", "h").agg(F.sum("n").alias("n"), F.min("one").alias("one")))
     copied = chunks.join(few(kinds.where("n > 1").select("g", "h")), ["g", "h"], "left_semi").select("nearby", "places")
-    copied = copied.repartition("nearby").sortWithinPartitions("nearby").mapInArrow(_merge_places, "key long, start int, end int")
+    copied = copied.repartition("nearby").sortWithinPartitions("nearby").mapInArrow(_merge_places, "key long, check long, start int, end int")
     # one of each different context goes to the sort; anchors with very many go window by window
     several = materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g", (F.col("kinds") > WIDEST).alias("wide")))
     sample = kinds.join(few(several), "g").select("g", "one.*", (F.col("n") == 1).alias("lone"), "wide")
-    wanted = materialize(sample.groupBy("key").agg(F.collect_list(F.struct("start", "end", "g", "lone", "wide")).alias("wanted")))  # at most a document's contexts
-    texts = rows.join(few(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    pieces = materialize(arrow_map(texts.join(wanted.hint("shuffle_hash"), "key"), _cut_pieces, "start int, g long, lone boolean, wide boolean, piece binary", keep=["key"]))
+    wanted = materialize(sample.groupBy("key", "check").agg(F.collect_list(F.struct("start", "end", "g", "lone", "wide")).alias("wanted")))  # at most a document's contexts
+    texts = rows.join(few(wanted.select("key", "check")), ["key", "check"], "left_semi").dropDuplicates(["key", "check"])
+    pieces = materialize(arrow_map(texts.join(wanted.hint("shuffle_hash"), ["key", "check"]), _cut_pieces, "start int, g long, lone boolean, wide boolean, piece binary", keep=["key", "check"]))
     size = sample.where("not wide").agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
     groups = max(1, -(-size // GROUP_BYTES))
     dealt = pieces.where("not wide").withColumn("group", F.pmod(F.xxhash64("g"), F.lit(groups)))
-    sorted_ = dealt.groupBy("group").applyInPandas(_sort_group, "key long, start int, end int")
-    windows = arrow_map(pieces.where("wide").select("key", F.col("start").alias("from"), "piece"), _windows, "start int, digest binary", keep=["key"], by="piece")
+    sorted_ = dealt.groupBy("group").applyInPandas(_sort_group, "key long, check long, start int, end int")
+    windows = arrow_map(pieces.where("wide").select("key", "check", F.col("start").alias("from"), "piece"), _windows, "start int, digest binary", keep=["key", "check"], by="piece")
     twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    counted = windows.join(twice, "digest", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("end"))
+    counted = windows.join(twice, "digest", "left_semi").select("key", "check", "start", (F.col("start") + LENGTH).alias("end"))
     return copied.unionByName(sorted_).unionByName(counted)
 
 
@@ -279,14 +279,14 @@ def merged(found: list, size: int) -> list[tuple[int, int]]:
 
 def _apply(docs: DataFrame, finish: Callable[[pa.RecordBatch, str], dict], schema: str, keep: list[str]) -> DataFrame:
     """finish over all documents with their stretches; those without any are not shuffled."""
-    key, spans = scratch(docs, "key_"), scratch(docs, "spans_")
-    found = repeated_stretches(docs).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias(spans)).withColumnRenamed("key", key)  # at most a document's stretches
-    found = materialize(found)
-    keyed = docs.withColumn(key, row_key())
-    keys = few(found.select(key))
-    clean = keyed.join(keys, key, "left_anti").withColumn(spans, F.array().cast("array<struct<start:int,end:int>>"))
-    hit = keyed.join(keys, key, "left_semi").join(found.hint("shuffle_hash"), key).select(*clean.columns)
-    return arrow_map(clean.unionByName(hit).drop(key), lambda part: finish(part, spans), schema, keep)
+    key, check, spans = scratch(docs, "key_"), scratch(docs, "check_"), scratch(docs, "spans_")
+    found = repeated_stretches(docs).groupBy("key", "check").agg(F.collect_set(F.struct("start", "end")).alias(spans))  # at most a document's stretches
+    found = materialize(found.withColumnsRenamed({"key": key, "check": check}))
+    keyed, both = docs.withColumns({key: row_key(), check: row_check()}), [key, check]
+    keys = few(found.select(*both))
+    clean = keyed.join(keys, both, "left_anti").withColumn(spans, F.array().cast("array<struct<start:int,end:int>>"))
+    hit = keyed.join(keys, both, "left_semi").join(found.hint("shuffle_hash"), both).select(*clean.columns)
+    return arrow_map(clean.unionByName(hit).drop(*both), lambda part: finish(part, spans), schema, keep)
 
 
 def _kept(text: str | None, spans: list) -> tuple[bytes, int, list[tuple[int, int]]]:

@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import components, ngrams, suffixes
 from sluice.llm.common import materialize
@@ -241,3 +242,16 @@ def test_passage_and_private_stages(spark):
         assert got[i] == ((left, len(left)) if t is not None else (None, None))
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.private_data(spark, docs, "").collect()}
     assert clean[5] == "mail <EMAIL> or <IP> now" and clean[6] == "call <PHONE> é" and [clean[i] for i in range(5)] == texts[:5]
+
+
+def test_passages_are_known_by_both_hashes(spark, monkeypatch):
+    """Rows that share the first hash keep their own bytes and lose their own repeats."""
+    rng = random.Random(41)
+    passage = "".join(rng.choice("abcdef ") for _ in range(260))
+    texts = ["".join(rng.choice("uvwxyz ") for _ in range(rng.randrange(200, 500))) for _ in range(24)]
+    texts = [t[:90] + passage + t[90:] if i % 3 == 0 else t for i, t in enumerate(texts)] + [passage, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {r["doc_id"]: r["text"] for r in suffixes.drop_repeats(docs).collect()}
+    assert len({len(want[i]) for i in (1, 2, 4)}) == 3 and all(want[i] == texts[i] for i in (1, 2, 4)) and want[24] == ""
+    monkeypatch.setattr(suffixes, "row_key", lambda: F.pmod(F.xxhash64("text"), F.lit(2)))
+    assert {r["doc_id"]: r["text"] for r in suffixes.drop_repeats(docs).collect()} == want

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import bpe, chunks, flac, ngrams, packing, private, quality, secrets, sharding, suffixes
+from sluice.llm import bpe, chunks, common, flac, ngrams, packing, private, quality, secrets, sharding, suffixes
 from sluice.llm.spans import joined
 from tests.llm import edge
 
@@ -366,3 +367,23 @@ def test_many_spans(spark):
     keys = [" ".join(f"{i:016x}" for i in range(600))]
     got = secrets.scan_secrets(text_table(spark, keys)).select(joined(F.col("base")).alias("b")).collect()
     assert got[0]["b"] == secret_spans(keys[0])
+
+
+def test_private_rows_are_known_by_both_hashes(spark, monkeypatch):
+    """Rows that share the first hash are redacted by their own spans."""
+    rows = [(i, f"{'x' * i} write to user{i}@mail.example today" if i % 2 else f"nothing here, {'y' * i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: re.sub(r"user\d+@mail.example", "<EMAIL>", t) for i, t in rows}
+    assert {r["doc_id"]: r["text"] for r in private.sanitise(docs).collect()} == want
+    monkeypatch.setattr(common, "row_key", lambda: F.lit(7).cast("long"))
+    assert {r["doc_id"]: r["text"] for r in private.sanitise(docs).collect()} == want
+
+
+def test_many_flagged_words_in_one_text(spark):
+    """64,000 words to hide in one text: cost follows their number."""
+    text = "secretive other " * 64_000
+    row = spark.createDataFrame([(text,)], "bare string").select(private._places(F.col("bare"), F.array(F.lit("secretive")), F.array(F.lit("none"))).alias("s"))
+    began = time.time()
+    spans = row.select(F.size("s").alias("n"), F.col("s")[0].alias("first"), F.element_at("s", -1).alias("last")).first()
+    assert (spans["n"], tuple(spans["first"]), tuple(spans["last"])) == (64_000, (0, 5, 9, "remove"), (16 * 63_999, 5, 16 * 63_999 + 9, "remove"))
+    assert time.time() - began < 20
