@@ -15,8 +15,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm.common import arrow_map, table, values
+from sluice.llm.common import arrow_map, materialize, table, values
 
 BLOCK = 1024  # samples a frame
 UNIT = 64  # payloads are padded to a multiple of this
@@ -290,42 +291,66 @@ def _decode_frames(buf: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndar
     return out[:, ORDER:]
 
 
-def decode_streams(streams: list[bytes]) -> list[bytes]:
-    """Payload bytes of streams that encode_streams wrote; raises if a checksum differs."""
-    starts, lengths, owner, ends, md5, total, at = [], [], [], [], [], [], 0
-    for i, s in enumerate(streams):
-        if s[:4] != b"fLaC" or s[42] & 0x7F != 3:
-            raise ValueError("no FLAC stream with a seek table")
-        points = int.from_bytes(s[43:46], "big") // 18
-        body = 46 + 18 * points
-        table_ = np.frombuffer(s, ">u8,>u8,>u2", points, 46)
-        offset = table_["f1"].astype(np.int64) + body
-        starts.append(offset + at)
-        ends.append(np.r_[offset[1:], len(s)] + at)
-        lengths.append(table_["f2"].astype(np.int64))
-        owner.append(np.full(points, i))
-        total.append(int.from_bytes(s[18:26], "big") & ((1 << 36) - 1))
-        md5.append(s[26:42])
-        at += len(s)
-    if not streams:
-        return []
-    buf = np.frombuffer(b"".join(streams) + bytes(8), np.uint8)
-    start, end, n = np.concatenate(starts), np.concatenate(ends), np.concatenate(lengths)
+def _seek_table(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each frame of a stream: first sample, start and end in bytes, and samples."""
+    if stream[:4] != b"fLaC" or stream[42] & 0x7F != 3:
+        raise ValueError("no FLAC stream with a seek table")
+    points = int.from_bytes(stream[43:46], "big") // 18
+    body = 46 + 18 * points
+    found = np.frombuffer(stream, ">u8,>u8,>u2", points, 46)
+    start = found["f1"].astype(np.int64) + body
+    return found["f0"].astype(np.int64), start, np.r_[start[1:], len(stream)], found["f2"].astype(np.int64)
+
+
+def _pcm(buf: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Signed 8-bit PCM of frames, side by side; raises if a checksum differs."""
     if (crc_rows(buf, start, end - start, 16) != 0).any():  # over a frame with its CRC the remainder is zero
         raise ValueError("a frame's CRC-16 differs")
     order = np.argsort(-n, kind="stable")
     samples = np.empty((len(start), BLOCK), np.uint8)
     samples[order] = (_decode_frames(buf, start[order], n[order]) & 255).astype(np.uint8)
-    first = np.searchsorted(np.concatenate(owner), np.arange(len(streams) + 1))
+    return [row[:size].tobytes() for row, size in zip(samples, n.tolist(), strict=True)]
+
+
+def decode_blocks_of(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """PCM blocks of streams that encode_streams wrote, a frame each with the sample it starts at; raises if a checksum differs."""
+    if not streams:
+        return []
+    tables = [_seek_table(s) for s in streams]
+    at = np.r_[0, np.cumsum([len(s) for s in streams])]
+    buf = np.frombuffer(b"".join(streams) + bytes(8), np.uint8)
+    start, end = (np.concatenate([t[i] + a for t, a in zip(tables, at, strict=False)]) for i in (1, 2))
+    pcm = _pcm(buf, start, end, np.concatenate([t[3] for t in tables]))
+    first = np.r_[0, np.cumsum([len(t[0]) for t in tables])]
     out = []
-    for i, size in enumerate(total):
-        signed = samples[first[i] : first[i + 1]].ravel()[:size]
-        if hashlib.md5(signed.tobytes()).digest() != md5[i]:
+    for s, (sample, *_), a, b in zip(streams, tables, first, first[1:], strict=False):
+        if hashlib.md5(b"".join(pcm[a:b])).digest() != s[26:42]:
             raise ValueError("a stream's MD5 differs")
-        out.append((signed ^ 128).tobytes())
+        out.append(list(zip(sample.tolist(), pcm[a:b], strict=True)))
     return out
 
 
+def seek(stream: bytes, sample: int) -> tuple[int, bytes]:
+    """The PCM block that holds a sample, and the sample it starts at: only its frame is decoded."""
+    first, start, end, n = _seek_table(stream)
+    i = int(np.searchsorted(first, sample, side="right")) - 1
+    if i < 0 or sample >= first[i] + n[i]:
+        raise IndexError("no such sample")
+    one = slice(i, i + 1)
+    frame = np.frombuffer(stream[start[i] : end[i]] + bytes(8), np.uint8)
+    return int(first[i]), _pcm(frame, np.zeros(1, np.int64), end[one] - start[one], n[one])[0]
+
+
+def payload_of(blocks: list[bytes]) -> bytes:
+    """Payload bytes of PCM blocks in order."""
+    return (np.frombuffer(b"".join(blocks), np.uint8) ^ 128).tobytes()
+
+
+def decode_streams(streams: list[bytes]) -> list[bytes]:
+    """Payload bytes of streams that encode_streams wrote; raises if a checksum differs."""
+    return [payload_of([pcm for _, pcm in blocks]) for blocks in decode_blocks_of(streams)]
+
+
 def pad(text: str | None) -> bytes:
     data = (text or "").encode()
     return data + bytes(-len(data) % UNIT or (0 if data else UNIT))
@@ -352,52 +377,51 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), _to_media, "n_bytes long, media binary", keep=["doc_id"])
 
 
-def pcm_blocks(stream: bytes, payload: bytes) -> list[tuple[int, bytes]]:
-    """PCM blocks of a decoded stream, each with the sample it starts at: seeking to a sample reads one block."""
-    size = int.from_bytes(stream[8:10], "big")  # the stream's own block size
-    return [(at, (np.frombuffer(payload[at : at + size], np.uint8) ^ 128).tobytes()) for at in range(0, len(payload), size)]
+BLOCKS = "array<struct<sample_offset:long,pcm:binary>>"
 
 
-def _to_blocks(part: pa.RecordBatch) -> dict:
+def _to_store(part: pa.RecordBatch) -> dict:
     media = values(part, "media")
-    out = {c: [] for c in ("row_", "block", "sample_offset", "n_samples", "pcm")}
-    for row, (m, p) in enumerate(zip(media, decode_streams(media), strict=True)):
-        for block, (at, pcm) in enumerate(pcm_blocks(m, p)):
-            for c, v in zip(out, (row, block, at, len(pcm), pcm), strict=True):
-                out[c].append(v)
-    return out
+    blocks = [[{"sample_offset": at, "pcm": pcm} for at, pcm in b] for b in decode_blocks_of(media)]
+    return {"media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "blocks": blocks}
 
 
-def decode_blocks(media: DataFrame) -> DataFrame:
-    """Signed 8-bit PCM blocks of media rows (doc_id, media), each with the sample it starts at.
+def store_blocks(media: DataFrame) -> DataFrame:
+    """Decode media rows (doc_id, n_bytes, media) frame by frame and write them as PCM blocks with seekable sample offsets.
 
-    media must not be null; a broken checksum raises. Repeated rows give their blocks again; an empty
-    table gives no rows.
+    Returns the written table: doc_id, n_bytes, media_bytes, media_sha256 and blocks, the stream's
+    signed 8-bit PCM in order, each block with the sample it starts at. media must not be null; a
+    broken checksum raises. Repeated rows give equal rows; an empty table gives none.
     """
-    return arrow_map(media.select("doc_id", "media"), _to_blocks, "block int, sample_offset long, n_samples int, pcm binary", keep=["doc_id"], by="media")
+    return materialize(arrow_map(media.select("doc_id", "n_bytes", "media"), _to_store, f"media_bytes long, media_sha256 string, blocks {BLOCKS}", keep=["doc_id", "n_bytes"], by="media"))
+
+
+def decode_blocks(stored: DataFrame) -> DataFrame:
+    """The blocks of store_blocks one to a row: doc_id, block, sample_offset, n_samples, pcm. Seeking is a filter on the offset."""
+    rows = stored.select("doc_id", F.posexplode("blocks").alias("block", "b"))
+    return rows.select("doc_id", "block", "b.sample_offset", F.octet_length("b.pcm").alias("n_samples"), "b.pcm")
 
 
 def _summary(part: pa.RecordBatch) -> dict:
-    media = values(part, "media")
-    blocks = [pcm_blocks(m, p) for m, p in zip(media, decode_streams(media), strict=True)]
-    back = [(np.frombuffer(b"".join(pcm for _, pcm in b), np.uint8) ^ 128).tobytes() for b in blocks]
+    blocks = values(part, "blocks")
+    back = [payload_of([x["pcm"] for x in b]) for b in blocks]
+    at = lambda x: x["sample_offset"].to_bytes(8, "little") + zlib.crc32(x["pcm"]).to_bytes(4, "little")
     return {
-        "payload_bytes": [len(p) for p in back], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in back], "tail_crc32": [zlib.crc32(p[-UNIT:]) for p in back],
-        "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": [feature(p) for p in back],
-        "n_blocks": [len(b) for b in blocks], "blocks_crc32": [zlib.crc32(b"".join(at.to_bytes(8, "little") + zlib.crc32(pcm).to_bytes(4, "little") for at, pcm in b)) for b in blocks],
+        "payload_bytes": [len(p) for p in back], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in back], "tail_crc32": [zlib.crc32(p[-UNIT:]) for p in back], "feature": [feature(p) for p in back],
+        "n_blocks": [len(b) for b in blocks], "blocks_crc32": [zlib.crc32(b"".join(map(at, b))) for b in blocks],
     }
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Read the stored streams back as PCM blocks: digests of payload, blocks and stream, and a feature of the signal.
+    """Decode the streams into written PCM blocks; digests of payload, blocks and stream and a feature of the signal come from what was written.
 
     blocks_crc32 covers each block's sample offset and CRC-32. media must not be null; repeated rows
     give equal rows, an empty table none.
     """
-    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int, blocks_crc32 long"
-    return arrow_map(media.select("doc_id", "n_bytes", "media"), _summary, schema, keep=["doc_id", "n_bytes"], by="media")
+    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, n_blocks int, blocks_crc32 long"
+    return arrow_map(store_blocks(media), _summary, schema, keep=["doc_id", "n_bytes", "media_bytes", "media_sha256"], by="media_sha256")
 
 
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, stored as FLAC and read back."""
+    """All documents, stored as FLAC, decoded into written PCM blocks and read back from them. Null and empty texts give one unit of zeros."""
     return describe_media(encode_media(table(spark, sf_dir, "documents")))

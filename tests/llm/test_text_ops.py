@@ -225,10 +225,22 @@ def test_flac(spark, docs):
     got = flac.describe_media(media).collect()
     want = [(str(r["doc_id"]), hashlib.sha256(flac.pad(r["text"])).hexdigest(), zlib.crc32(flac.pad(r["text"])[-64:])) for r in docs.collect()]
     assert sorted((str(r["doc_id"]), r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
-    blocks = flac.decode_blocks(media.where("doc_id = 7")).orderBy("block").collect()
+    stored = flac.store_blocks(media)
+    blocks = flac.decode_blocks(stored.where("doc_id = 7")).orderBy("block").collect()
     assert [b["sample_offset"] for b in blocks] == [flac.BLOCK * i for i in range(len(blocks))]
     whole = b"".join(bytes(b["pcm"]) for b in blocks)
     assert bytes(x ^ 128 for x in whole) == flac.pad(next(r["text"] for r in docs.collect() if r["doc_id"] == 7))
+    # one block of the long text, from the table by its offset and from the stream by its seek table
+    stream, at = bytes(media.where("doc_id = 7").first()["media"]), 5 * flac.BLOCK + 77
+    row = flac.decode_blocks(stored.where("doc_id = 7")).where((F.col("sample_offset") <= at) & (F.col("sample_offset") + F.col("n_samples") > at)).collect()
+    assert [(r["sample_offset"], bytes(r["pcm"])) for r in row] == [flac.seek(stream, at)] == [(5 * flac.BLOCK, whole[5 * flac.BLOCK : 6 * flac.BLOCK])]
+    assert flac.seek(stream, len(whole) - 1)[1] == whole[len(whole) - len(whole) % flac.BLOCK :]
+    for outside in (-1, len(whole)):
+        with pytest.raises(IndexError):
+            flac.seek(stream, outside)
+    with pytest.raises(ValueError, match="CRC-16"):
+        flac.seek(bytes(broken), 0 if len(payloads[7]) <= flac.BLOCK else len(payloads[7]) - 1)
+    assert flac.decode_blocks(flac.store_blocks(flac.encode_media(edge.empty(spark)))).count() == 0
 
 
 def test_fingerprints(spark, docs, monkeypatch):
