@@ -69,6 +69,11 @@ def row_check() -> Column:
     return F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")), "doc_id")
 
 
+def row_digest() -> Column:
+    """128 bits of a document row (doc_id, text) as bytes."""
+    return F.unhex(F.md5(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))), "UTF-8")))
+
+
 def row_id() -> Column:
     """Both hashes of a document row as one column."""
     return F.struct(row_key().alias("key"), row_check().alias("check"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import arrow_map, few, materialize, powers, release, row_key, scratch, slices, table, values
+from sluice.llm.common import arrow_map, few, materialize, powers, release, row_digest, scratch, slices, table, values
 from sluice.llm.components import components
 
 WORDS = 3
@@ -34,6 +34,7 @@ TILE = 64  # shingles that a block sends to a range, on average, at least: block
 GRID = 1 << 18  # shingles of one side of a block comparison
 SMALL = 8  # in buckets up to this size every member is a leader, in larger ones two are
 WORK = 1 << 18  # bytes hashed at a time
+SECOND = 1 << 40  # salt of the hash that tells apart sets which share the first one
 _R = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -105,9 +106,9 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def _set_key(h: np.ndarray) -> int:
+def _set_key(h: np.ndarray, salt: int = 0) -> int:
     """Signed 64-bit hash of a whole set."""
-    x = np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(_R)
+    x = np.arange(1 + salt, len(h) + 1 + salt, dtype=np.uint64) * np.uint64(_R)
     return int(_mix(np.array([(_mix(h ^ x)).sum(dtype=np.uint64)]))[0].astype(np.int64))
 
 
@@ -135,7 +136,7 @@ def _from_six(data: bytes) -> np.ndarray:
 def _members(words: int) -> Callable[[pa.RecordBatch], dict]:
     def work(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(values(part, "text"), words)
-        return {"n": [len(s) for s in sets], "node": [_set_key(s) for s in sets]}
+        return {"n": [len(s) for s in sets], "node": [_set_key(s) for s in sets], "check": [_set_key(s, SECOND) for s in sets]}
 
     return work
 
@@ -177,7 +178,7 @@ def _count_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([r for r in out if r[2]], columns=["block", "tokens", "levels"])
 
 
-def _prefixes(words: int, percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _prefixes(words: int, percent: int, shared_nodes: frozenset[int]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Prefix rows of a block: shingles of one class only come first and give no rows."""
         if not len(known) or not len(docs):
@@ -186,7 +187,7 @@ def _prefixes(words: int, percent: int) -> Callable[[pd.DataFrame, pd.DataFrame]
         tokens, at = np.unique(tokens, return_index=True)
         levels = levels[at]
         sets = shingle_sets(docs.drop_duplicates("key")["text"].tolist(), words)
-        h, n, node = np.concatenate(sets), np.array([len(s) for s in sets]), np.array([_set_key(s) for s in sets])
+        h, n, node = np.concatenate(sets), np.array([len(s) for s in sets]), np.array([_set_key(s, SECOND) if k in shared_nodes else k for s in sets for k in [_set_key(s)]])
         owner = np.repeat(np.arange(len(n)), n)
         short = h >> np.uint64(16)
         place = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
@@ -338,8 +339,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     too, and a component of such rows only has a null component_id. An empty table gives no rows.
     Other columns are not read.
     """
-    rows = docs.select("doc_id", "text", row_key().alias("key"))
-    members = materialize(arrow_map(rows, _members(words), "n int, node long", keep=["doc_id", "key"]))
+    rows = docs.select("doc_id", "text", row_digest().alias("key"))
+    members = materialize(arrow_map(rows, _members(words), "n int, node long, check long", keep=["doc_id", "key"]))
+    two = members.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+    shared_nodes = frozenset(r["node"] for r in two.select("node").collect())  # chance alone: a dozen at 2 * 10**10 documents
+    members = members.withColumn("node", F.when(F.col("node").isin(list(shared_nodes)), F.col("check")).otherwise(F.col("node")) if shared_nodes else F.col("node")).drop("check")
     classes = materialize(members.where("n > 0").groupBy("node").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first"), F.min("key").alias("key"), F.max("n").alias("n")))
     spare = materialize(members.where("n > 0").join(classes.select("node", F.col("key").alias("rep")), "node").where("key <> rep").select("key").distinct())
     total = classes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
@@ -349,7 +353,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
     texts = rows.join(few(spare), "key", "left_anti").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(block, "key", "text").groupBy("block")
     shared = texts.applyInPandas(_to_ranges(words, blocks), "range long, block long, tokens binary, counts binary").groupBy("range").applyInPandas(_count_range, "block long, tokens binary, levels binary")
-    prefixes = materialize(texts.cogroup(shared.groupBy("block")).applyInPandas(_prefixes(words, percent), "token long, node long, n int, pos int"))
+    prefixes = materialize(texts.cogroup(shared.groupBy("block")).applyInPandas(_prefixes(words, percent, shared_nodes), "token long, node long, n int, pos int"))
     buckets = _buckets(prefixes, percent)
     release(prefixes, spare)
 
@@ -387,7 +391,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     key = scratch(docs, "key_")
     gone = materialize(near_duplicates(docs, words, percent).where("not kept").select(F.col("key").alias(key)).distinct())
-    return docs.withColumn(key, row_key()).join(few(gone), key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, row_digest()).join(few(gone), key, "left_anti").select(*docs.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,12 @@ def test_passages_are_known_by_both_hashes(spark, monkeypatch):
     assert len({len(want[i]) for i in (1, 2, 4)}) == 3 and all(want[i] == texts[i] for i in (1, 2, 4)) and want[24] == ""
     monkeypatch.setattr(suffixes, "row_key", lambda: F.pmod(F.xxhash64("text"), F.lit(2)))
     assert {r["doc_id"]: r["text"] for r in suffixes.drop_repeats(docs).collect()} == want
+
+
+def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """With the first hash of a set narrowed to two bits the classes are the same."""
+    first = ngrams._set_key
+    monkeypatch.setattr(ngrams, "_set_key", lambda h, salt=0: first(h, salt) if salt else first(h) % 4)
+    rows = list(enumerate(near_copies(40, 5) + ["a b c", "A  b\tc", "a b", "", "x", None, "a b c d"]))
+    got = ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
