@@ -83,12 +83,24 @@ def assemble_deny_sets(scoped: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(repos: DataFrame) -> DataFrame:
+def fingerprint(repos: DataFrame, by: tuple[str, ...] = ("class", "engagements", "public", "exempt")) -> DataFrame:
     """O17. Equal inputs share one set: class, sorted engagements, public flag and exempt list decide."""
-    key = F.to_json(F.struct("class", F.array_sort("engagements").alias("engagements"), "public", "exempt"), {"ignoreNullFields": "false"})
+    key = F.to_json(F.struct(*[F.array_sort(c).alias(c) if c == "engagements" else F.col(c) for c in by]), {"ignoreNullFields": "false"})
     return repos.withColumn("set_id", F.sha2(key, 256))
 
 
+def deny_sets(repos: DataFrame, patterns: DataFrame) -> DataFrame:
+    """O14, O16, O17. What assemble_deny_sets makes of scope_deny_set, with each distinct set put together once.
+
+    Repos of one class, engagements and public flag share a set; only such scopes meet the patterns,
+    however many repos there are, and repos get their set by its id.
+    """
+    keyed = fingerprint(repos.select("repo", "class", "engagements", "public"), ("class", "engagements", "public"))
+    scopes = keyed.drop("repo").dropDuplicates(["set_id"]).withColumnRenamed("set_id", "repo")
+    sets = assemble_deny_sets(scope_deny_set(scopes, patterns)).withColumnRenamed("repo", "set_id")
+    return keyed.select("repo", "set_id").join(sets, "set_id").drop("set_id")
+
+
 def resolve_exempt_paths(repos: DataFrame, registry_list: list[str] | None) -> DataFrame:
     """O18. The registry's globs, or the built-in ones if it names none, and the repo's own; trimmed, first occurrence kept."""
     base = F.array(*[F.lit(g) for g in (EXEMPT_GLOBS if registry_list is None else registry_list)]).cast("array<string>")

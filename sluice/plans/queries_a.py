@@ -320,7 +320,7 @@ def scoped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deny_sets(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.assemble_deny_sets(scoped(spark, d))
+    return patterns.deny_sets(T.repos(spark, d), T.markers(spark))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
