@@ -101,7 +101,11 @@ def _texts(column: pa.Array) -> tuple[str, np.ndarray]:
     column = column.cast(pa.large_string())
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = memoryview(column.buffers()[2] or b"")[at[0] : at[-1]]
-    text = bytes(data).decode()
+    try:
+        text = bytes(data).decode()
+    except UnicodeDecodeError:  # bytes that are no text, text by text
+        texts = [bytes(data[a - at[0] : b - at[0]]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+        return "".join(texts), np.cumsum([len(t) for t in texts])
     if len(text) == len(data):
         return text, at[1:] - at[0]
     chars = np.r_[0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, dtype=np.int32)]
@@ -137,6 +141,8 @@ def with_candidates(df: DataFrame, column: str, patterns: DataFrame) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(pairs)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             text, ends = _texts(batch.column(place))
             keys = {int(r): set(always) for r in np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))}
             hits = list(automaton.iter(fold(text)))

@@ -56,7 +56,7 @@ def cut_diff(data: bytes) -> Iterator[tuple[str | None, str | None, int, str]]:
     size, place = 0, (None, None)
 
     def piece() -> tuple:
-        return (*place, n - len(held) + 1, b"\n".join(held).decode())
+        return (*place, n - len(held) + 1, b"\n".join(held).decode("utf-8", "replace"))
 
     def hunks() -> Iterator[tuple[int, int, str | None, str | None]]:
         """(first line, end, path, blob) of each hunk."""
@@ -67,7 +67,7 @@ def cut_diff(data: bytes) -> Iterator[tuple[str | None, str | None, int, str]]:
             if text.startswith(b"diff --git "):
                 yield at, min(end, line), path, blob
                 found = _OPEN.match(text)
-                path, blob, at, end = found[1].decode() if found else "", None, line, line
+                path, blob, at, end = found[1].decode("utf-8", "replace") if found else "", None, line, line
             elif found := _HUNK.match(text):
                 yield at, min(end, line), path, blob
                 at = line + 1
@@ -76,7 +76,7 @@ def cut_diff(data: bytes) -> Iterator[tuple[str | None, str | None, int, str]]:
                 continue
             elif text.startswith(b"+++ "):
                 yield at, end, path, blob
-                at, path = end, re.sub(rb"^b/|\t.*", b"", text[4:]).decode()
+                at, path = end, re.sub(rb"^b/|\t.*", b"", text[4:]).decode("utf-8", "replace")
             elif text.startswith(b"index "):
                 yield at, end, path, blob
                 at, blob = end, (m[1].decode() if (m := _BLOB.match(text)) else None)
@@ -109,10 +109,10 @@ def cut_log(data: bytes) -> Iterator[tuple[str, str, str]]:
             held.append(line[0])
             size += len(line[0]) + 1
             if size >= PIECE:
-                yield mark[1].decode(), mark[2].decode(), b"\n".join(held).decode()
+                yield mark[1].decode(), mark[2].decode("utf-8", "replace"), b"\n".join(held).decode("utf-8", "replace")
                 held, size = [], 0
         if held:
-            yield mark[1].decode(), mark[2].decode(), b"\n".join(held).decode()
+            yield mark[1].decode(), mark[2].decode("utf-8", "replace"), b"\n".join(held).decode("utf-8", "replace")
 
 
 def cut_texts(df: DataFrame, cut: Cut, schema: str) -> DataFrame:

@@ -63,6 +63,15 @@ def test_against_loop(spark):
     assert got == want
 
 
+def test_bytes_that_are_no_text(spark):
+    """Invalid UTF-8 in one text hides nothing in it or in others."""
+    scoped, sets = setup(spark)
+    rows = spark.createDataFrame([("r", p, "b" * 40, t) for p, t in [("a", b"\xff\xfe zed\nx"), ("b", "é zed-corp".encode()), ("c", b"\x80\x80\nzed"), ("d", b"")]], "repo string, path string, blob string, raw binary")
+    texts = rows.coalesce(1).select("repo", "path", "blob", F.col("raw").cast("string").alias("text"))
+    assert sorted((r["path"], r["line_no"]) for r in scanning.scan_files(texts, sets, scoped).collect()) == [("a", 1), ("b", 1), ("c", 2)]
+    assert [r[3] for r in patches.cut_diff(b"diff --git a/x b/x\n@@ -0,0 +1 @@\n+\xffzed")] == ["\ufffdzed"]
+
+
 def test_sets_by_scope(spark):
     """Putting each distinct set together once gives every repo what it gets by itself."""
     rng = random.Random(18)
