@@ -264,3 +264,19 @@ def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
     rows = list(enumerate(near_copies(40, 5) + ["a b c", "A  b\tc", "a b", "", "x", None, "a b c d"]))
     got = ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+def test_pipeline_edges(spark, data):
+    """Nulls, empty and long texts, repeats, ids beyond a double and clashing columns go through all stages; so does an empty table."""
+    docs = edge.table(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialize(stage(spark, docs, data))
+        assert kept.columns == docs.columns, name
+        assert {str(r[0]) for r in kept.select("doc_id").collect()} <= set(edge.ids()), name
+        docs = kept
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
+    assert sorted(str(r[0]) for r in packed.where("piece = 0").select("doc_id").collect()) == sorted(str(r[0]) for r in docs.select("doc_id").collect())
+    none = edge.empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        none = materialize(stage(spark, none, data))
+        assert none.count() == 0
