@@ -183,5 +183,5 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def op9_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, their edited texts and their next documents."""
+    """All documents, their edited texts and their next documents. Null texts count as empty; rows of one doc_id stand in order of their text's hash; a single document is its own next."""
     return compare_neighbours(table(spark, sf_dir, "documents"))

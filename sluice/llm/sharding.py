@@ -142,5 +142,5 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
 
 
 def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into 16 shards by bytes."""
+    """All documents into 16 shards by bytes. Null texts count as empty; equal texts are neighbours, repeated rows stay in one shard."""
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])

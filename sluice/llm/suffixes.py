@@ -323,5 +323,5 @@ DIGESTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of all documents, as digests."""
+    """What is left of all documents, as digests. Null and empty texts keep nothing and lose nothing; repeated rows lose the bytes they share and give equal rows."""
     return _apply(table(spark, sf_dir, "documents").select("doc_id", "text"), _digests, DIGESTS, ["doc_id"])
