@@ -67,7 +67,8 @@ def _kept(days: int, as_of: str) -> Column:
 
 def prune_seen(seen: DataFrame, days: int, as_of: str) -> DataFrame:
     """O58. Entries as old as `days` at most, and undated ones."""
-    return seen.where(_kept(days, as_of))
+    kept = _kept(days, as_of)
+    return seen.where(kept)
 
 
 def prune_counts(seen: DataFrame, days: int, as_of: str) -> DataFrame:
