@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -201,8 +202,6 @@ def test_packing(spark, docs, data):
 
 
 def test_lower_bound():
-    import numpy as np
-
     assert packing.lower_bound(np.array([60, 60, 60]), 100) == 3
     assert packing.lower_bound(np.array([34] * 6), 100) == 3
     assert packing.lower_bound(np.array([], int), 100) == 0
@@ -211,6 +210,31 @@ def test_lower_bound():
         assert packing.lower_bound(sizes, 100) <= len(packing.best_fit(sizes, 100)[2])
 
 
+def optimum(sizes, room):
+    """Fewest bins, by all subsets: (bins, least fill of the last one) of each set of pieces."""
+    best = [(1, 0)] + [None] * ((1 << len(sizes)) - 1)
+    for chosen in range(1, 1 << len(sizes)):
+        options = []
+        for i, size in enumerate(sizes):
+            if chosen >> i & 1:
+                bins, fill = best[chosen ^ (1 << i)]
+                options.append((bins, fill + size) if fill + size <= room else (bins + 1, size))
+        best[chosen] = min(options)
+    return best[-1][0]
+
+
+def test_bounds_and_bins_against_the_optimum():
+    """On small sets the certified bound never exceeds the fewest bins, and best fit takes at most one more."""
+    exact = 0
+    for seed in range(60):
+        rng = random.Random(seed)
+        sizes = [rng.choice([rng.randint(1, 100), rng.randint(25, 55)]) for _ in range(rng.randint(1, 11))]
+        fewest, taken, bound = optimum(sizes, 100), len(packing.best_fit(np.array(sizes), 100)[2]), packing.lower_bound(np.array(sizes), 100)
+        assert bound <= fewest <= taken <= fewest + 1
+        exact += bound == taken
+    assert exact >= 45
+
+
 def test_flac(spark, docs):
     rng = random.Random(3)
     payloads = [flac.pad("x" * n) for n in (0, 1, 63, 64, 65, 1024, 1025, 5000)] + [rng.randbytes(64 * rng.randint(1, 60)) for _ in range(30)]
