@@ -302,6 +302,44 @@ def test_sharding(spark, data, docs):
     assert sharding.shard_documents(edge.empty(spark)).count() == 0
 
 
+def plain_tree(grad, hess, leaves):
+    """Splits one at a time, of all places the one that gains most; then each leaf's value."""
+    room, edges = quality.PRIOR / 4, [0, len(grad)]
+    part = lambda a, b: sum(grad[a:b]) ** 2 / (sum(hess[a:b]) + room)
+    for _ in range(leaves - 1):
+        options = [(part(a, k) + part(k, b) - part(a, b), k) for a, b in zip(edges, edges[1:], strict=False) for k in range(a + 1, b)]
+        if not options or max(options)[0] <= 1e-9:
+            break
+        edges = sorted([*edges, max(options)[1]])
+    return [sum(grad[a:b]) / (sum(hess[a:b]) + room) for a, b in zip(edges, edges[1:], strict=False) for _ in range(a, b)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_against_loops(seed):
+    """Single trees, trees over a pair and the scores of a fitted model, by plain loops."""
+    rng = np.random.default_rng(seed)
+    grad, hess = rng.normal(0, 5, 9), rng.uniform(0.1, 4, 9)
+    assert np.allclose(quality._step(grad, hess, 4), plain_tree(grad.tolist(), hess.tolist(), 4))
+    g, h = rng.normal(0, 5, (4, 5)), rng.uniform(0.1, 4, (4, 5))
+    leaf = lambda rows, cols: (g[rows, cols].sum(), h[rows, cols].sum() + quality.PRIOR)
+    best = max((sum(a * a / b for a, b in found), cut, up, low) for cut in range(1, 4) for up in range(1, 5) for low in range(1, 5) for found in [[leaf(slice(0, cut), slice(0, up)), leaf(slice(0, cut), slice(up, 5)), leaf(slice(cut, 4), slice(0, low)), leaf(slice(cut, 4), slice(low, 5))]])
+    gain, values = quality._pair_step(g, h)
+    assert np.isclose(gain, best[0])
+    for i in range(4):
+        for j in range(5):
+            rows, at = (slice(0, best[1]), best[2]) if i < best[1] else (slice(best[1], 4), best[3])
+            a, b = leaf(rows, slice(0, at) if j < at else slice(at, 5))
+            assert np.isclose(values[i, j], a / b)
+    x = rng.normal(0, 1, (300, len(quality.FEATURES))).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.3, 300) > 0).astype(float)
+    model = quality.fit(x, y)
+    for row, got in zip(x[:20], model.score(x[:20]), strict=True):
+        z = model.base + sum(t[sum(c <= v for c in cut)] for cut, t, v in zip(model.cuts, model.tables, row, strict=True))
+        z += sum(t[sum(c <= row[a] for c in model.coarse[a]), sum(c <= row[b] for c in model.coarse[b])] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert np.isclose(got, 1 / (1 + math.exp(-z)))
+    assert ((model.score(x) > 0.5) == y).mean() > 0.8
+
+
 def test_quality(spark, data, docs):
     all_, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     bigger = data.replace("0.001", "0.01")
