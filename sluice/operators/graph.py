@@ -91,14 +91,15 @@ def _closure(links: DataFrame, front: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def reachable_commits(edges: DataFrame, tips: DataFrame, hops: int = 4) -> DataFrame:
+def reachable_commits(edges: DataFrame, tips: DataFrame, hops: int = 4, contracted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """O72. (tip, sha): every ancestor of each tip (tip, sha), itself included; edges (child, parent).
 
     Runs of commits are contracted first, so the rounds follow the merges, not the generations: a
     tip reaches what is left of its own run, then whole runs, which are put back at the end. Several
-    commits of one tip count together. No tips give no rows, null commits none.
+    commits of one tip count together. No tips give no rows, null commits none. `contracted` is what
+    contract_runs made of the same edges, if it is there already.
     """
-    runs, links = contract_runs(edges)
+    runs, links = contracted or contract_runs(edges)
     wanted = tips.select("tip", "sha").where("sha is not null").distinct()
     starts = _cut(wanted.join(runs.withColumnRenamed("node", "sha"), "sha", "left").select("tip", F.coalesce("head", "sha").alias("head"), F.coalesce("pos", F.lit(0).cast("long")).alias("least")))
     whole = _closure(links, starts.select("tip", "head").join(links, "head").select("tip", F.col("next").alias("head")), hops)
@@ -129,18 +130,19 @@ def new_ref_plan(edges: DataFrame, news: DataFrame, remotes: DataFrame, force: b
     nothing-new, incremental (one boundary commit), widened (several: from a common ancestor of all
     that is no ancestor of another such), or full-history; force always scans all.
     """
-    new_reach = reachable_commits(edges, news.select(F.col("ref").alias("tip"), "sha"))
-    known = reachable_commits(edges, remotes.select(F.lit("remote").alias("tip"), "sha")).select("sha")
+    runs = contract_runs(edges)  # once for all four questions
+    new_reach = reachable_commits(edges, news.select(F.col("ref").alias("tip"), "sha"), contracted=runs)
+    known = reachable_commits(edges, remotes.select(F.lit("remote").alias("tip"), "sha"), contracted=runs).select("sha")
     fresh = _cut(new_reach.join(known, "sha", "left_anti"))
     n_new = fresh.groupBy("tip").agg(F.count("*").alias("n_new"))
     border = fresh.join(edges, fresh["sha"] == edges["child"]).select("tip", F.col("parent").alias("sha")).join(known, "sha", "left_semi").distinct()
     border = _cut(border)
     n_border = border.groupBy("tip").agg(F.count("*").alias("n_border"), F.min("sha").alias("only"))
     wide = border.join(n_border.where("n_border > 1").select("tip", "n_border"), "tip")
-    up = reachable_commits(edges, wide.select(F.concat_ws("\x1f", "tip", "sha").alias("tip"), "sha"))
+    up = reachable_commits(edges, wide.select(F.concat_ws("\x1f", "tip", "sha").alias("tip"), "sha"), contracted=runs)
     common = up.select(F.substring_index("tip", "\x1f", 1).alias("ref"), "sha", F.col("tip").alias("start")).groupBy("ref", "sha").agg(F.count_distinct("start").alias("n"))
     common = _cut(common.join(n_border.select(F.col("tip").alias("ref"), "n_border"), "ref").where("n = n_border").select("ref", "sha"))
-    below = reachable_commits(edges, common.select(F.concat_ws("\x1f", "ref", "sha").alias("tip"), "sha"))
+    below = reachable_commits(edges, common.select(F.concat_ws("\x1f", "ref", "sha").alias("tip"), "sha"), contracted=runs)
     inner = below.where(F.substring_index("tip", "\x1f", -1) != F.col("sha")).select(F.substring_index("tip", "\x1f", 1).alias("ref"), "sha").distinct()
     base = common.join(inner, ["ref", "sha"], "left_anti").groupBy("ref").agg(F.min("sha").alias("merge_base"))
     rows = news.select("ref").join(n_new.withColumnRenamed("tip", "ref"), "ref", "left").join(n_border.withColumnRenamed("tip", "ref"), "ref", "left").join(base, "ref", "left")
