@@ -172,7 +172,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     order = [F.col("doc_id").desc_nulls_last(), F.col("place").asc()]
     dealt = rows.withColumn("place", F.xxhash64("text")).repartitionByRange(max(1, -(-size // RANGE_CHARS)), *order).sortWithinPartitions(*order)
-    found = materialize(dealt.select("doc_id", "text").mapInArrow(_compare, _ddl(EDGE)))
+    found = materialize(dealt.select("doc_id", "text").mapInArrow(_compare, _ddl(EDGE)), "zstd")  # digests in hexadecimal take half the room so
     edges = found.where("part is not null")
     heads = edges.where("not last").select(F.col("part").alias("to"), F.col("text").alias("following"))
     # one number a range: which range comes next, the first after the last
