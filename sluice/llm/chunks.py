@@ -118,14 +118,15 @@ RESULT = {
     "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string",
     "near_edited": "double", "near_next": "double",
 }
-EDGE = RESULT | {"part": "int", "last": "boolean", "text": "string"}  # and the first and last row of a range, for the neighbours across it
+STORED = {c: t for c, t in RESULT.items() if not c.endswith("fingerprint")} | {"prints": "string"}  # both fingerprints in one column: what they share takes room once
+EDGE = STORED | {"part": "int", "last": "boolean", "text": "string"}  # and the first and last row of a range, for the neighbours across it
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def _row(doc_id: int | None, text: str, own: dict[int, int], following: str, chunks: dict[int, int]) -> tuple:
     data = edited(text, following).encode()
     other = chunk_set(data)
-    return doc_id, len(text), hashlib.sha256(data).hexdigest(), fingerprint(own), fingerprint(other), containment(own, other), containment(own, chunks)
+    return doc_id, len(text), hashlib.sha256(data).hexdigest(), containment(own, other), containment(own, chunks), f"{fingerprint(own)}|{fingerprint(other)}"
 
 
 def _ddl(columns: dict[str, str]) -> str:
@@ -145,19 +146,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(values(part, "doc_id"), values(part, "text"), strict=True):
             chunks = chunk_set(text.encode())
             if kept is None:
-                out.append((doc_id, *[None] * 6, number, False, text))
+                out.append((doc_id, *[None] * 5, number, False, text))
             else:
                 out.append((*_row(*kept, text, chunks), *blank))
             kept = (doc_id, text, chunks)
         yield _batch(out, EDGE)
     if kept is not None:
-        yield _batch([(kept[0], *[None] * 6, number, True, kept[1])], EDGE)
+        yield _batch([(kept[0], *[None] * 5, number, True, kept[1])], EDGE)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         rows = zip(values(part, "doc_id"), values(part, "text"), values(part, "following"), strict=True)
-        yield _batch([_row(i, t, chunk_set(t.encode()), f, chunk_set(f.encode())) for i, t, f in rows], RESULT)
+        yield _batch([_row(i, t, chunk_set(t.encode()), f, chunk_set(f.encode())) for i, t, f in rows], STORED)
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
@@ -179,7 +180,9 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     ring = Window.orderBy("part")
     numbers = edges.where("last").select("part").withColumn("to", F.coalesce(F.lead("part").over(ring), F.min("part").over(Window.partitionBy(F.lit(1)))))
     pairs = edges.where("last").select("part", "doc_id", "text").join(numbers, "part").join(heads, "to").select("doc_id", "text", "following")
-    return found.where("part is null").select(*RESULT).unionByName(pairs.mapInArrow(_across, _ddl(RESULT)))
+    done = found.where("part is null").select(*STORED).unionByName(pairs.mapInArrow(_across, _ddl(STORED)))
+    split = {"fingerprint": F.substring_index("prints", "|", 1), "edited_fingerprint": F.substring_index("prints", "|", -1)}
+    return done.withColumns(split).select(*RESULT)
 
 
 def op9_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
