@@ -511,9 +511,16 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL1, SQL2 = "regexp_extract(text, '[\\p{L}]+')", "regexp_extract(text, '([\\p{L}]+)[^\\p{L}]*$', 1)"
-TOKENS_SQL = f"""tokens AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN lower({SQL1}) || '-' || lower({SQL2}) WHEN 1 THEN lower({SQL1}) || '_' || lower({SQL2}) WHEN 2 THEN lower({SQL1}) || '.Example.com' WHEN 3 THEN upper({SQL1}) WHEN 4 THEN CAST(doc_id * 1009 AS VARCHAR) ELSE {SQL1} || '+' END AS token, {KIND_OF} AS kind, (doc_id % 11) / 10.0::DOUBLE AS confidence, lang, lower({SQL1}) AS a, lower({SQL2}) AS b, regexp_matches({SQL1} || CASE WHEN doc_id % 6 < 2 THEN {SQL2} ELSE '' END, '[^\\x00-\\x7f]') AS wide FROM documents),
-bodies AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN a || '[-_ ]?' || b WHEN 1 THEN a || '[-_ ]?' || b WHEN 2 THEN a || '\\.example\\.com' WHEN 5 THEN a || '\\+' END AS body FROM tokens),
-made AS (SELECT doc_id, token, kind, confidence, lang, CASE WHEN doc_id % 6 = 3 THEN CASE WHEN regexp_full_match(token, '[A-Z][A-Z0-9]+') THEN '\\b' || token || '-[0-9]+\\b' END WHEN doc_id % 6 = 4 THEN CASE WHEN length(token) BETWEEN 6 AND 16 THEN '\\b' || token || '\\b' END WHEN wide THEN '(?<!\\p{{L}})' || body || '(?!\\p{{L}})' ELSE '\\b' || body || '\\b' END AS pattern FROM bodies)"""
+# DuckDB maps one character to one; Unicode's full mapping, which Spark has, writes ß as SS and ends words on ς.
+FULL_UPPER = {chr(c): chr(c).upper() for c in range(0x80, 0xFB18) if len(chr(c).upper()) > 1} | {"\u019b": "\ua7dc", "\u0264": "\ua7cb"}
+UPPER_SQL = "array_to_string(list_transform(regexp_extract_all({0}, '.'), lambda c: coalesce(MAP {{" + ", ".join(f"'{c}': '{u}'" for c, u in FULL_UPPER.items()) + "}}[c], upper(c))), '')"
+CASED, SKIPPED = "[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]", "[\\p{{Lm}}\\p{{Mn}}]*"
+LOWER_SQL = f"array_to_string(list_transform(regexp_extract_all({{0}}, '.'), lambda c, i: CASE WHEN c = 'İ' THEN 'i\u0307' WHEN c = 'Σ' AND regexp_matches(left({{0}}, i - 1), '{CASED}{SKIPPED}$') AND NOT regexp_matches(substr({{0}}, i + 1), '^{SKIPPED}{CASED}') THEN 'ς' ELSE lower(c) END), '')"
+TOKENS_SQL = f"""ends AS (SELECT doc_id, lang, {SQL1} AS w1, {SQL2} AS w2 FROM documents),
+lows AS (SELECT *, {LOWER_SQL.format('w1')} AS a, {LOWER_SQL.format('w2')} AS b FROM ends),
+tokens AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN a || '-' || b WHEN 1 THEN a || '_' || b WHEN 2 THEN a || '.Example.com' WHEN 3 THEN {UPPER_SQL.format('w1')} WHEN 4 THEN CAST(doc_id * 1009 AS VARCHAR) ELSE w1 || '+' END AS token, {KIND_OF} AS kind, (doc_id % 11) / 10.0::DOUBLE AS confidence, lang, a, b FROM lows),
+bodies AS (SELECT *, CASE kind WHEN 'domain' THEN a || '\\.example\\.com' WHEN 'other' THEN a || '\\+' ELSE a || CASE WHEN a <> '' AND b <> '' THEN '[-_ ]?' ELSE '' END || b END AS body FROM tokens),
+made AS (SELECT doc_id, token, kind, confidence, lang, CASE WHEN kind = 'ticket-prefix' THEN CASE WHEN regexp_full_match(token, '[A-Z][A-Z0-9]+') THEN '\\b' || token || '-[0-9]+\\b' END WHEN kind = 'account-id' THEN CASE WHEN regexp_full_match(token, '[0-9]{{6,16}}') THEN '\\b' || token || '\\b' END WHEN regexp_matches(token, '[^\\x00-\\x7f]') THEN '(?<!\\p{{L}})' || body || '(?!\\p{{L}})' ELSE '\\b' || body || '\\b' END AS pattern FROM bodies)"""
 
 
 @query("o85_synthesize_markers", f"WITH {TOKENS_SQL} SELECT doc_id, token, kind, pattern FROM made")
