@@ -534,7 +534,7 @@ def o86(spark: SparkSession, d: str) -> DataFrame:
     return suggest.filter_dictionary(read(spark, d, "documents").selectExpr("doc_id", f"{W1} AS token"), words)
 
 
-@query("o87_filter_existing", f"WITH {TOKENS_SQL}, have AS (SELECT token AS p FROM made WHERE lang = 'de' UNION SELECT pattern FROM made WHERE lang = 'es' AND pattern IS NOT NULL) SELECT doc_id, token FROM made WHERE token NOT IN (SELECT p FROM have) AND (pattern IS NULL OR pattern NOT IN (SELECT p FROM have))")
+@query("o87_filter_existing", f"WITH {TOKENS_SQL}, have AS (SELECT token AS p FROM made WHERE lang = 'de' UNION SELECT pattern FROM made WHERE lang = 'es' AND pattern IS NOT NULL) SELECT doc_id, token FROM made WHERE NOT EXISTS (SELECT 1 FROM have WHERE p = token) AND NOT EXISTS (SELECT 1 FROM have WHERE p = pattern)")
 def o87(spark: SparkSession, d: str) -> DataFrame:
     t = tokens(spark, d)
     have = t.where("lang = 'de'").select(F.col("token").alias("pattern")).unionByName(suggest.synthesize(t.where("lang = 'es'")).select("pattern"))

@@ -37,3 +37,11 @@ def test_synthesize_markers(spark, odd):
     text = {i: t for i, t, _ in rows}
     assert len(got) == len(rows)
     assert {r[3] for r in got if r[2] == "ticket-prefix" and text[r[0]] == "straße"} == {r"\bSTRASSE-[0-9]+\b"}
+
+
+def test_filter_existing(spark, odd):
+    """Tokens are compared in that case too, and a missing token among the registered ones hides nothing."""
+    d, rows = odd
+    got = compare(spark, d, "o87_filter_existing")
+    lang = {i: x for i, _, x in rows}
+    assert {"fr", "en"} <= {lang[i] for i, _ in got} and "de" not in {lang[i] for i, token in got if token is not None}
