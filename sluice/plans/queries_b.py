@@ -550,7 +550,7 @@ def o88(spark: SparkSession, d: str) -> DataFrame:
     return suggest.dependency_names(read(spark, d, "documents").selectExpr("source AS repo", f"{names} AS path", f"{MANIFEST} AS text")).select("repo", "name")
 
 
-@query("o89_accept_markers", f"WITH {TOKENS_SQL}, own AS (SELECT DISTINCT lower(token) AS w FROM made WHERE lang = 'fr') SELECT doc_id, token, pattern FROM made WHERE confidence >= 0.6 AND lower(token) NOT IN (SELECT w FROM own)")
+@query("o89_accept_markers", f"WITH {TOKENS_SQL}, own AS (SELECT DISTINCT {LOWER_SQL.format('token')} AS w FROM made WHERE lang = 'fr') SELECT doc_id, token, pattern FROM made WHERE confidence >= 0.6 AND NOT EXISTS (SELECT 1 FROM own WHERE w = {LOWER_SQL.format('token')})")
 def o89(spark: SparkSession, d: str) -> DataFrame:
     t = suggest.synthesize(tokens(spark, d))
     return suggest.accept_markers(t, 0.6, t.where("lang = 'fr'").select(F.col("token").alias("identity"))).select("doc_id", "token", "pattern")

@@ -45,3 +45,11 @@ def test_filter_existing(spark, odd):
     got = compare(spark, d, "o87_filter_existing")
     lang = {i: x for i, _, x in rows}
     assert {"fr", "en"} <= {lang[i] for i, _ in got} and "de" not in {lang[i] for i, token in got if token is not None}
+
+
+def test_accept_markers(spark, odd):
+    """Own names count in any case by the same mapping, and a missing one hides nothing."""
+    d, rows = odd
+    got = compare(spark, d, "o89_accept_markers")
+    lang = {i: x for i, _, x in rows}
+    assert "en" in {lang[i] for i, *_ in got} and "fr" not in {lang[i] for i, token, _ in got if token is not None}
