@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.text import cosine, host_allowed, host_of, host_to_marker, parse_remote, truncate_utf8
+from sluice.functions.text import host_allowed, host_of, host_to_marker, parse_remote, truncate_utf8
 from sluice.operators import credentials, egress, graph, policy, scanning, semantic, suggest, sweep
 from sluice.operators.patterns import active, scope_deny_set
 from sluice.plans import queries_a as A
@@ -417,10 +417,8 @@ REFS = "vec_id % 100 = 0"  # queries are the rows whose id is divisible by 100,
 
 @query("o75_cosine", f"SELECT q.vec_id AS query_id, count(*) AS n, round(max(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS best, round(avg(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS mean FROM embeddings q, embeddings e WHERE q.{REFS} AND q.vec_id <> e.vec_id GROUP BY q.vec_id")
 def o75(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings")
-    q = e.where(REFS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = e.join(F.broadcast(q) if q.count() <= semantic.BROADCAST_VECTORS else q, F.col("query_id") != F.col("vec_id")).withColumn("c", cosine("q", "embedding"))
-    return pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("c"), 6).alias("best"), F.round(F.avg("c"), 6).alias("mean"))
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return semantic.cosine_summary(e, e.where(REFS)).select(F.col("vec_id").alias("query_id"), "n", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"))
 
 
 @query("o76_semantic_hits", f"WITH p AS (SELECT 'e' || label AS engagement_id, embedding AS ref FROM embeddings WHERE {REFS}), s AS (SELECT vec_id, engagement_id, max(list_cosine_similarity(embedding::DOUBLE[], ref::DOUBLE[])) AS c FROM embeddings, p GROUP BY ALL) SELECT vec_id, engagement_id, round(c, 6) AS similarity FROM s WHERE c >= 0.3")

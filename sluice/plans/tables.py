@@ -68,7 +68,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; a file too small to be split gives each core a part (a large table has more parts already)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if name in ("documents", "pages", "conversations", "embeddings") and df.rdd.getNumPartitions() < cores else df
 
 
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
