@@ -112,26 +112,26 @@ def resolve_exempt_paths(repos: DataFrame, registry_list: list[str] | None) -> D
 def lint_patterns(patterns: DataFrame) -> DataFrame:
     """O21. Patterns (stem, pattern) with a reason where they are refused.
 
-    The distinct patterns (hundreds by the combined limit) are compiled once on the driver by the
-    engine's own matcher, since one bad pattern would stop a job.
+    The distinct patterns that are not too long (hundreds by the combined limit) are compiled once on
+    the driver by the engine's own matcher, since one bad pattern would stop a job.
     """
     java = patterns.sparkSession.sparkContext._jvm.java.util.regex.Pattern
     bad = []
-    for row in patterns.select("pattern").distinct().collect():
+    for row in patterns.select("pattern").where(F.length("pattern") <= MAX_PATTERN).distinct().collect():
         try:
             java.compile(f"(?iu){row['pattern']}")
         except Exception:
             bad.append(row["pattern"])
-    combined = patterns.groupBy("stem").agg(F.sum(F.octet_length("pattern") + 5).alias("size"))
+    size = F.sum(F.octet_length("pattern") + 5).over(Window.partitionBy("stem"))
     reason = (
         F.when(F.trim("pattern") == "", "empty")
         .when(F.length("pattern") > MAX_PATTERN, "too long")
         .when(F.col("pattern").isin(bad) if bad else F.lit(False), "does not compile")
-        .when(F.col("pattern").rlike(r"\((?:[^()\\]|\\.)*[+*]\)[+*{]"), "nested repetition")
+        .when(F.col("pattern").rlike(r"\([^()\\]*(?:\\.[^()\\]*)*[+*]\)[+*{]"), "nested repetition")  # no step of the group per character: a long pattern would overflow the stack
         .when(F.col("pattern").rlike(r"\\[1-9]"), "back reference")
         .when(F.col("size") > MAX_COMBINED, "set too large")
     )
-    return patterns.join(combined, "stem").withColumn("reason", reason).drop("size")
+    return patterns.withColumn("size", size).withColumn("reason", reason).drop("size")
 
 
 def require_min_patterns(scoped: DataFrame, repos: DataFrame, floor: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = "2024-06-01"
 GLOBS = ["tests/**", "**/*.spec.*"]
@@ -101,10 +102,20 @@ def engagements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repos(spark, sf_dir).selectExpr("repo AS id", "name", "ended", "array(repo) AS repos")
 
 
-def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def low(text: str) -> str:
+    """Lower case one character to one, as the SQL has it: no dot of its own after İ's i, no other sigma at an end."""
+    return f"lower(translate({text}, 'İΣ', 'iσ'))"
+
+
+def own_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers (id, ord, pattern): the first and last first words, and the first last word, of each repository's documents."""
-    w = read(spark, sf_dir, "documents").selectExpr("source AS id", r"lower(regexp_extract(text, '[\\p{L}]+', 0)) AS f", r"lower(regexp_extract(text, '([\\p{L}]+)[^\\p{L}]*$', 1)) AS l")
-    t = w.groupBy("id").agg({"f": "min"}).withColumnRenamed("min(f)", "a").join(w.groupBy("id").agg({"f": "max", "l": "min"}).withColumnRenamed("max(f)", "b").withColumnRenamed("min(l)", "c"), "id")
-    own = t.selectExpr("id", "inline(array(named_struct('ord', 0, 'pattern', a), named_struct('ord', 1, 'pattern', b), named_struct('ord', 2, 'pattern', c || '.*' || a)))")
+    first, last = low(r"regexp_extract(text, '[\\p{L}]+', 0)"), low(r"regexp_extract(text, '([\\p{L}]+)[^\\p{L}]*$', 1)")
+    w = read(spark, sf_dir, "documents").selectExpr("source AS id", f"{first} AS f", f"{last} AS l")
+    t = w.groupBy("id").agg(F.min("f").alias("a"), F.max("f").alias("b"), F.min("l").alias("c"))
+    return t.selectExpr("id", "inline(array(named_struct('ord', 0, 'pattern', a), named_struct('ord', 1, 'pattern', b), named_struct('ord', 2, 'pattern', c || '.*' || a)))")
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """own_terms, and the markers of no repository."""
     fixed = spark.createDataFrame([("_always", 0, "licen[sc]e"), ("_private_infra", 0, r"corp\.example")], "id string, ord int, pattern string")
-    return own.unionByName(fixed)
+    return own_terms(spark, sf_dir).unionByName(fixed)
